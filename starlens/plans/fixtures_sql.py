@@ -60,7 +60,7 @@ WS = r"[\x{09}-\x{0D}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 
 def word_count_sql(expr: str) -> str:
-    return f"coalesce(len(list_filter(regexp_split_to_array({expr}, '{WS}+'), w -> w <> '')), 0)"
+    return f"CAST(coalesce(len(list_filter(regexp_split_to_array({expr}, '{WS}+'), lambda w: w <> '')), 0) AS INT)"
 
 
 def strip_sql(expr: str) -> str:
