@@ -54,6 +54,128 @@ def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
     return g.select(
         "n",
-        F.round(1 - F.col("_sse") / sst, DIGITS).alias("r2"),
+        F.round(1 - F.try_divide(F.col("_sse"), sst), DIGITS).alias("r2"),  # constant labels → NULL
         F.round(F.sqrt(F.col("_sse") / F.col("n")), DIGITS).alias("rmse"),
     )
+
+
+# ---------------------------------------------------------------- text topic models (MLlib)
+
+def _argmax(vec: Column) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    arr = vector_to_array(vec)
+    return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
+
+
+def canonical_labels(df: DataFrame, pred: str, key: str, out: str = "topic") -> DataFrame:
+    """Relabel arbitrary cluster ids: by size descending, then by smallest member key (k rows, broadcast)."""
+    from pyspark.sql import Window
+
+    sizes = df.groupBy(pred).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_k"))
+    order = sizes.withColumn(out, (F.row_number().over(Window.orderBy(F.desc("_n"), F.asc("_k"))) - 1).cast("int"))
+    return df.join(F.broadcast(order.select(pred, out)), pred).drop(pred)
+
+
+def tfidf_pipeline(text: str, stop, min_df=10, max_df=0.95, vocab_size=1000):
+    """Tokenise (2+ word chars), drop stop words, count (df bounds, top-N by corpus count)."""
+    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+
+    from starlens.functions.text import TOKEN
+
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True, minTokenLength=2),
+        StopWordsRemover(inputCol="_tok", outputCol="_words", stopWords=list(stop)),
+        CountVectorizer(inputCol="_words", outputCol="_tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocab_size),
+    ]
+
+
+def fit_topics(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=10, max_df=0.95, vocab_size=1000):
+    """ML-1: smooth-idf TF-IDF (idf + 1, as in the reference's vectoriser), L2 rows, KMeans(k) with k-means||.
+
+    Returns a fitted PipelineModel whose output column is ``_cluster``.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
+
+    counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, vocab_size)).fit(df)
+    tf = counting.transform(df)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
+    norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
+    km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4)
+    return Pipeline(stages=[counting, scale, norm, km]).fit(df)
+
+
+def apply_topics(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
+    """ML-2: apply a fitted topic pipeline; labels made canonical."""
+    return canonical_labels(model.transform(df).select(key, "_cluster"), "_cluster", key, out)
+
+
+def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2, max_df=0.95, max_iter: int = 10):
+    """ML-3: counts (2 ≤ df ≤ 95 %) → online LDA on the full corpus each iteration."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import LDA
+
+    lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
+              topicDistributionCol="_dist")
+    stages = tfidf_pipeline(text, stop, min_df, max_df, 1 << 18)
+    return Pipeline(stages=stages + [lda]).fit(df)
+
+
+def dominant_topic(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
+    """argmax of the topic distribution (an empty document's zero vector gives 0)."""
+    return model.transform(df).select(key, _argmax(F.col("_dist")).alias(out))
+
+
+def lda_words(model, k: int = 10) -> DataFrame:
+    """ML-4: (topic, word_rank, term, weight) — top k words per topic."""
+    cv, lda = model.stages[2], model.stages[-1]
+    topics = lda.describeTopics(k)
+    spark = topics.sparkSession
+    # the vocabulary already lives on the driver inside the fitted CountVectorizerModel
+    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "term_index int, term string")
+    ex = topics.select(
+        F.col("topic").cast("int").alias("topic"),
+        F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("word_rank", "_z"),
+    ).select("topic", "word_rank", F.col("_z.termIndices").alias("term_index"), F.col("_z.termWeights").alias("weight"))
+    return ex.join(vocab, "term_index").select("topic", "word_rank", "term", F.round("weight", DIGITS).alias("weight"))
+
+
+def embedding_clusters(df: DataFrame, vec: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """ML-5: KMeans on embedding arrays; (key, cluster) with canonical labels."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    d = df.select(key, array_to_vector(F.col(vec)).alias("_x"))
+    km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(d)
+    return canonical_labels(km.transform(d).select(key, "_cluster"), "_cluster", key, "cluster")
+
+
+# ---------------------------------------------------------------- forests
+
+def fit_forest(train: DataFrame, target: str, features, seed: int = 42, trees: int = 100, depth: int = 15):
+    """ML-7: random forest on the product features, all features per split, deep trees."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    va = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="keep")
+    rf = RandomForestRegressor(featuresCol="_f", labelCol=target, predictionCol="_pred", numTrees=trees, seed=seed,
+                               maxDepth=depth, featureSubsetStrategy="all", minInstancesPerNode=1)
+    return Pipeline(stages=[va, rf]).fit(train)
+
+
+def feature_importance(model, features) -> DataFrame:
+    """ML-9: (feature, importance, importance_rank), importances summing to 1."""
+    rf = model.stages[-1]
+    imp = rf.featureImportances.toArray().tolist()
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = sorted(zip(features, imp), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame(
+        [(f, float(round(v, DIGITS)), i + 1) for i, (f, v) in enumerate(rows)], "feature string, importance double, importance_rank int"
+    )
