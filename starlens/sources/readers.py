@@ -48,9 +48,11 @@ def read_reviews_tolerant(spark: SparkSession, path: str, scored: bool = True) -
     return good, rejects
 
 
-def with_category(df: DataFrame, pattern: str = SHARD_PATTERN, group: int = 1, name: str = "category") -> DataFrame:
-    """Derive a column from the source file name (e.g. the category of a shard)."""
-    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, group))
+def with_category(
+    df: DataFrame, pattern: str = SHARD_PATTERN, group: int = 1, name: str = "category", source: str = "file_name"
+) -> DataFrame:
+    """Derive a column from the source file name or path (e.g. the category of a shard)."""
+    return df.withColumn(name, F.regexp_extract(F.col(f"_metadata.{source}"), pattern, group))
 
 
 def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = PROJECTED_REVIEW) -> DataFrame:
@@ -103,9 +105,10 @@ def review_projection(df: DataFrame) -> DataFrame:
     return out.filter(F.col("rating").isNotNull())
 
 
-def line_manifest(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Rows per source file; with ``known`` (file_name, n_rows) only files not yet listed."""
-    m = df.select(F.col("_metadata.file_name").alias("file_name")).groupBy("file_name").agg(
+def line_manifest(df: DataFrame, known: DataFrame | None = None, source: str = "file_path") -> DataFrame:
+    """Rows per source file (full path by default: part-file names repeat across partition folders);
+    with ``known`` (file_name, n_rows) only files not yet listed."""
+    m = df.select(F.col(f"_metadata.{source}").alias("file_name")).groupBy("file_name").agg(
         F.count(F.lit(1)).alias("n_rows")
     )
     return m if known is None else m.join(known.select("file_name"), "file_name", "left_anti")

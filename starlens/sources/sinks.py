@@ -36,10 +36,16 @@ def write_projection_csv(df: DataFrame, path: str) -> None:
         .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    opts = {"header": "true", "escape": '"'} if fmt == "csv" else {}
+    opts = (
+        {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        if fmt == "csv"
+        else {}
+    )
     df.write.mode("overwrite").options(**opts).format(fmt).save(path)
