@@ -60,8 +60,8 @@ def merge_text(title, text, sep: str = " ", strip: bool = False) -> Column:
 
 def word_count(c) -> Column:
     """Number of whitespace-separated words; null text counts 0."""
-    parts = F.split(_c(c), WS_RUN)
-    return F.coalesce(F.size(F.filter(parts, lambda w: w != F.lit(""))), F.lit(0)).cast("int")
+    parts = F.array_remove(F.split(_c(c), WS_RUN), "")
+    return F.coalesce(F.size(parts), F.lit(0)).cast("int")
 
 
 def char_length(c) -> Column:
@@ -78,14 +78,17 @@ def strip_html(c) -> Column:
 
     A regex pass, not a DOM parser: broken markup is not repaired.
     """
-    col = _c(c)
-    col = F.regexp_replace(col, r"(?s)<!--.*?-->", "")
+    src = _c(c)
+    col = F.regexp_replace(src, r"(?s)<!--.*?-->", "")
     col = F.regexp_replace(col, r"(?is)<script[^>]*>.*?</script>", "")
     col = F.regexp_replace(col, r"(?is)<style[^>]*>.*?</style>", "")
     col = F.regexp_replace(col, r"<[^>]*>", "")
+    # markup passes only run on values that contain markup at all
+    col = F.when(F.instr(src, "<") > 0, col).otherwise(src)
+    ents = col
     for ent, ch in HTML_ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+        ents = F.replace(ents, F.lit(ent), F.lit(ch))
+    return F.when(F.instr(col, "&") > 0, ents).otherwise(col)
 
 
 def clean_text(c, abbreviations=ABBREVIATIONS, word_boundary: bool = False) -> Column:

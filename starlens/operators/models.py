@@ -100,13 +100,21 @@ def fit_topics(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_d
     from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
+    from pyspark.ml import PipelineModel
+    from pyspark.storagelevel import StorageLevel
+
     counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, vocab_size)).fit(df)
-    tf = counting.transform(df)
+    tf = counting.transform(df).select("_tf")
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
     norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
-    km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4)
-    return Pipeline(stages=[counting, scale, norm, km]).fit(df)
+    # KMeans iterates over its input: persist the (sparse) feature vectors once instead of re-tokenising per pass
+    feats = norm.transform(scale.transform(tf)).select("_x").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(feats)
+    finally:
+        feats.unpersist()
+    return PipelineModel(stages=[counting, scale, norm, km])
 
 
 def apply_topics(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
@@ -119,10 +127,17 @@ def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
 
-    lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
-              topicDistributionCol="_dist")
-    stages = tfidf_pipeline(text, stop, min_df, max_df, 1 << 18)
-    return Pipeline(stages=stages + [lda]).fit(df)
+    from pyspark.ml import PipelineModel
+    from pyspark.storagelevel import StorageLevel
+
+    counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, 1 << 18)).fit(df)
+    tf = counting.transform(df).select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
+                  topicDistributionCol="_dist").fit(tf)
+    finally:
+        tf.unpersist()
+    return PipelineModel(stages=counting.stages + [lda])
 
 
 def dominant_topic(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
@@ -149,7 +164,9 @@ def embedding_clusters(df: DataFrame, vec: str, key: str, k: int = 5, seed: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = df.select(key, array_to_vector(F.col(vec)).alias("_x"))
+    from pyspark.storagelevel import StorageLevel
+
+    d = df.select(key, array_to_vector(F.col(vec)).alias("_x")).persist(StorageLevel.MEMORY_AND_DISK)
     km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(d)
     return canonical_labels(km.transform(d).select(key, "_cluster"), "_cluster", key, "cluster")
 

@@ -55,36 +55,43 @@ def _checked_lexicon(lexicon: DataFrame) -> DataFrame:
 
 
 def word_tokens(c: Column) -> Column:
-    return F.filter(F.split(F.coalesce(c, F.lit("")), WS_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), WS_RUN), "")
 
 
-def _context(toks: Column, but_pos: Column) -> Column:
-    """Per token: struct(tok, boost, negs, but_w) computed from the three preceding tokens."""
-
-    def ctx(t, i):
-        boost = F.lit(0.0)
-        negs = F.lit(0)
-        for d, scale in zip((1, 2, 3), BOOST_DISTANCE):
-            prev = F.when(i >= d, F.element_at(toks, i + 1 - d))
-            boost = boost + F.when(prev.isin(*BOOST_UP), BOOST * scale).when(prev.isin(*BOOST_DOWN), -BOOST * scale).otherwise(0.0)
-            negs = negs + F.when(prev.isin(*NEGATORS), 1).otherwise(0)
-        pos = i + 1
-        but = F.when(but_pos == 0, 1.0).when(pos < but_pos, BUT_BEFORE).when(pos > but_pos, BUT_AFTER).otherwise(1.0)
-        return F.struct(t.alias("tok"), boost.alias("boost"), negs.alias("negs"), but.alias("but_w"))
-
-    return F.transform(toks, ctx)
+def _shifted(arr: str, d: int) -> Column:
+    """The array shifted right by d (d leading nulls, same length): element i is token i-d."""
+    pad = F.array(*[F.lit(None).cast("string")] * d)
+    return F.slice(F.concat(pad, F.col(arr)), 1, F.size(arr))
 
 
 def score_texts(df: DataFrame, keys, clean_col: str, lexicon: DataFrame, carry=()) -> DataFrame:
-    """keys + carry + ``n_words`` + compound ``sentiment`` of the (already cleaned) text column."""
+    """keys + carry + ``n_words`` + compound ``sentiment`` of the (already cleaned) text column.
+
+    The look-back uses shifted copies of the token array zipped with it (codegen-able array functions,
+    no interpreted lambdas), then one ``posexplode_outer``.
+    """
     keys, carry = list(keys), list(carry)
     d = df.select(*keys, *carry, word_tokens(F.col(clean_col)).alias("_toks"))
-    d = d.withColumn("_but", F.array_position("_toks", "but")).withColumn("n_words", F.size("_toks"))
-    d = d.select(*keys, *carry, "n_words", F.explode_outer(_context(F.col("_toks"), F.col("_but"))).alias("_c"))
-    d = d.select(*keys, *carry, "n_words", "_c.*")
+    d = d.select(
+        *keys, *carry,
+        F.size("_toks").alias("n_words"),
+        F.array_position("_toks", "but").alias("_but"),
+        F.arrays_zip(
+            F.col("_toks").alias("tok"), _shifted("_toks", 1).alias("p1"), _shifted("_toks", 2).alias("p2"),
+            _shifted("_toks", 3).alias("p3"),
+        ).alias("_z"),
+    )
+    d = d.select(*keys, *carry, "n_words", "_but", F.posexplode_outer("_z").alias("_pos", "_c"))
+    d = d.select(*keys, *carry, "n_words", "_but", "_pos", "_c.*")
     d = d.join(_checked_lexicon(lexicon), d["tok"] == F.col("token"), "left")
+    boost, negs = F.lit(0.0), F.lit(0)
+    for p, scale in zip(("p1", "p2", "p3"), BOOST_DISTANCE):
+        boost = boost + F.when(F.col(p).isin(*BOOST_UP), BOOST * scale).when(F.col(p).isin(*BOOST_DOWN), -BOOST * scale).otherwise(0.0)
+        negs = negs + F.when(F.col(p).isin(*NEGATORS), 1).otherwise(0)
+    pos, but_pos = F.col("_pos") + 1, F.col("_but")
+    but = F.when(but_pos == 0, 1.0).when(pos < but_pos, BUT_BEFORE).when(pos > but_pos, BUT_AFTER).otherwise(1.0)
     v = F.coalesce(F.col("valence"), F.lit(0.0))
-    x = F.when(v == 0, F.lit(0.0)).otherwise((v + F.signum(v) * F.col("boost")) * F.pow(F.lit(NEGATION), F.col("negs")) * F.col("but_w"))
+    x = F.when(v == 0, F.lit(0.0)).otherwise((v + F.signum(v) * boost) * F.pow(F.lit(NEGATION), negs) * but)
     g = d.groupBy(*keys, *carry, "n_words").agg(F.sum(x).alias("_s"))
     s = F.col("_s")
     return g.withColumn("sentiment", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + ALPHA)))).drop("_s")

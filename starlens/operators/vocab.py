@@ -35,10 +35,9 @@ MAX_BROADCAST_TERMS = 500_000
 
 def doc_terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS_EN) -> DataFrame:
     """(key, term, tf): raw term counts per document."""
-    t = tokens(F.col(text))
+    ex = df.select(key, F.explode(tokens(F.col(text))).alias("term"))
     if stop:
-        t = F.filter(t, lambda w: ~w.isin(*stop))
-    ex = df.select(key, F.explode(t).alias("term"))
+        ex = ex.filter(~F.col("term").isin(*stop))
     return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
