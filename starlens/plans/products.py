@@ -136,18 +136,57 @@ def scatter_series(spark, sf):
     return product_stats_df(spark, sf).select("asin", "rating", "reputation_risk", "sales_proxy", "sentiment")
 
 
-_SENT_SPLIT = f"(?<=[.!?]){WS}+"
+# Oracle form of the sentence split: mark each boundary with a private-use sentinel, then split on it.
+_SENTINEL = "\ue000"
+_SENT_CTE = f"""sents AS (
+  SELECT review_id, unnest(parts) AS sentence, unnest(range(0, len(parts))) AS pos FROM (
+    SELECT review_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^{WS}+|{WS}+$', '', 'g'),
+                                                  '([.!?]){WS}+', '\\1{_SENTINEL}', 'g'), '{_SENTINEL}') AS parts
+    FROM review_texts))"""
 
 
 @register(
     "sentence_split",
-    None,
+    with_ctes(REVIEW_TEXTS, _SENT_CTE) + " SELECT review_id, CAST(pos AS INT) AS pos, sentence FROM sents",
 )
 def sentence_split(spark, sf):
     """FUN-12: (review_id, pos, sentence) — blank text gives one empty sentence."""
     return SE.sentences(review_texts(spark, sf))
 
 
+def _star_sql() -> str:
+    """Sentence stars with the lexicon scorer, mean per review, half-even round, default 3."""
+    return with_ctes(
+        REVIEW_TEXTS,
+        LEXICON,
+        _SENT_CTE,
+        f"sclean AS (SELECT review_id, pos, {clean_text_sql('sentence')} AS c FROM sents)",
+        f"""stoks AS (SELECT review_id, pos, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS tpos
+          FROM (SELECT review_id, pos, list_filter(regexp_split_to_array(c, '{WS}+'), lambda w: w <> '') AS l FROM sclean))""",
+        """slooked AS (SELECT t.review_id, t.pos, t.tpos, coalesce(CAST(x.valence AS DOUBLE), 0.0) AS v,
+             lag(t.tok, 1) OVER w AS p1, lag(t.tok, 2) OVER w AS p2, lag(t.tok, 3) OVER w AS p3,
+             min(CASE WHEN t.tok = 'but' THEN t.tpos END) OVER (PARTITION BY t.review_id, t.pos) AS but_pos
+          FROM stoks t LEFT JOIN lexicon x ON t.tok = x.token
+          WINDOW w AS (PARTITION BY t.review_id, t.pos ORDER BY t.tpos))""",
+        f"""sadj AS (SELECT review_id, pos,
+             CASE WHEN v = 0 THEN 0.0 ELSE
+               (v + sign(v) * ({_boost('p1', 1.0)} + {_boost('p2', 0.95)} + {_boost('p3', 0.9)}))
+               * pow({SE.NEGATION}, {_neg('p1')} + {_neg('p2')} + {_neg('p3')})
+               * CASE WHEN but_pos IS NULL THEN 1.0 WHEN tpos < but_pos THEN {SE.BUT_BEFORE}
+                      WHEN tpos > but_pos THEN {SE.BUT_AFTER} ELSE 1.0 END END AS x
+          FROM slooked)""",
+        "ssum AS (SELECT review_id, pos, sum(x) AS s FROM sadj GROUP BY review_id, pos)",
+        f"""sstar AS (SELECT c.review_id, c.pos,
+             least(5, greatest(1, CAST(floor((greatest(-1.0, least(1.0, coalesce(s.s, 0.0)
+               / sqrt(coalesce(s.s, 0.0) * coalesce(s.s, 0.0) + {SE.ALPHA}))) + 1.0) * 2.5) AS INT) + 1)) AS star
+          FROM sclean c LEFT JOIN ssum s ON c.review_id = s.review_id AND c.pos = s.pos)""",
+        "per AS (SELECT review_id, CAST(round_even(avg(star), 0) AS INT) AS stars FROM sstar GROUP BY review_id)",
+    ) + """
+  SELECT r.review_id, r.rating, coalesce(p.stars, 3) AS predict_stars,
+         CASE WHEN p.stars IS NULL THEN 'default' ELSE 'scored' END AS predict_status
+  FROM review_texts r LEFT JOIN per p ON r.review_id = p.review_id"""
+
+
 @register(
     "sentence_counts",
     with_ctes(REVIEW_TEXTS)
@@ -161,7 +200,7 @@ def sentence_counts(spark, sf):
     return SE.sentences(review_texts(spark, sf)).groupBy("review_id").agg(F.count(F.lit(1)).alias("n_sentences"))
 
 
-@register("star_rollup", None)
+@register("star_rollup", _star_sql())
 def star_rollup(spark, sf):
     """ML-6: per-sentence stars (lexicon scorer) → mean → half-even round → default 3 with a status column."""
     d = review_texts(spark, sf).select("review_id", "text", "rating")
