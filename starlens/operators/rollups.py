@@ -159,3 +159,58 @@ def group_misleading_rate(df: DataFrame, topic_id: int | None, topic: str = "top
     return d.groupBy(grp.alias("review_group")).agg(
         F.round(F.avg(_flag()) * 100.0, DIGITS).alias("misleading_rate_pct"), F.count(F.lit(1)).alias("review_count")
     )
+
+
+# ----------------------------------------------------------------- one-pass report cube
+#
+# The trend and rate reports need the top-k keys first and then those keys' rows: two passes over the
+# raw data.  Instead, one pass builds a cube (key, month, verification) → (rows, misleading rows); the
+# top-k ranking, the monthly trends and the per-verification rates are all re-aggregations of that much
+# smaller table.  The cube is materialised with a reliable checkpoint (shared checkpoint folder): without
+# it Catalyst pushes each branch's filters and the semi-join below the aggregate, the branches differ and
+# the raw data would be scanned and joined twice.  The checkpoint also cuts the lineage for retries.
+
+def key_cube(df: DataFrame, key: str, materialise: bool = True) -> DataFrame:
+    cube = (
+        df.filter(F.col(key).isNotNull())
+        .groupBy(
+            key,
+            X.month_end("review_time").alias("month"),
+            F.col("verified_purchase").alias("_v"),
+        )
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum(_flag()).cast("bigint").alias("_m"))
+    )
+    return cube.checkpoint(eager=True) if materialise else cube
+
+
+def top_from_cube(cube: DataFrame, key: str, min_reviews: int, k: int = 10) -> DataFrame:
+    g = (
+        cube.groupBy(key)
+        .agg(F.sum("_n").cast("bigint").alias("review_count"), F.sum("_m").cast("bigint").alias("misleading_count"))
+        .filter(F.col("review_count") >= min_reviews)
+        .withColumn("misleading_rate_pct", F.round(F.col("misleading_count") * 100.0 / F.col("review_count"), DIGITS))
+    )
+    return g.orderBy(F.desc("misleading_count"), F.asc(key)).limit(k)
+
+
+def cube_of_top(cube: DataFrame, key: str, min_reviews: int, k: int = 10) -> DataFrame:
+    top = top_from_cube(cube, key, min_reviews, k)
+    return cube.join(F.broadcast(top.select(key)), key, "left_semi")
+
+
+def trend_from_cube(cube_top: DataFrame, keys=(), how: str = "count") -> DataFrame:
+    """AGG-10 (``count`` of misleading rows) / AGG-11 (``sum`` of the flag, zero groups kept)."""
+    c = cube_top.filter(F.col("month").isNotNull() & F.col("_v").isNotNull())
+    if how == "count":
+        c = c.filter(F.col("_m") > 0)
+    g = c.groupBy("month", *keys, X.verified_label("_v").alias("verification")).agg(
+        F.sum("_m").cast("bigint").alias("misleading_count")
+    )
+    return g
+
+
+def rate_from_cube(cube_top: DataFrame, key: str) -> DataFrame:
+    c = cube_top.filter(F.col("_v").isNotNull())
+    return c.groupBy(key, X.verified_label("_v").alias("verification")).agg(
+        F.round(F.sum("_m") * 100.0 / F.sum("_n"), DIGITS).alias("misleading_rate_pct")
+    )

@@ -167,8 +167,8 @@ _VLABEL = "CASE WHEN CAST(verified_purchase AS INT) = 1 THEN 'Verified' ELSE 'Un
 )
 def monthly_product_trend(spark, sf):
     """AGG-10: misleading rows of the top products per month-end × verification."""
-    df = _prepared(spark, sf)
-    return R.monthly_trend(R.rows_of(df, _top_products(df), "product_id", only_misleading=True), how="count")
+    cube = R.key_cube(_prepared(spark, sf), "product_id")
+    return R.trend_from_cube(R.cube_of_top(cube, "product_id", PRODUCT_MIN, TOP_K), how="count")
 
 
 @register(
@@ -183,8 +183,8 @@ def monthly_product_trend(spark, sf):
 )
 def monthly_user_trend(spark, sf):
     """AGG-11: top users' rows per month-end × user × verification, sum of the flag."""
-    df = _prepared(spark, sf)
-    return R.monthly_trend(R.rows_of(df, _top_users(df), "user_id"), keys=("user_id",), how="sum")
+    cube = R.key_cube(_prepared(spark, sf), "user_id")
+    return R.trend_from_cube(R.cube_of_top(cube, "user_id", USER_MIN, TOP_K), keys=("user_id",), how="sum")
 
 
 def _rate_body(top_cte: str, key: str) -> str:
@@ -201,15 +201,15 @@ def _rate_sql(top_cte: str, key: str) -> str:
 @register("product_rate_by_verified", _rate_sql(TOP_PRODUCTS_CTE, "product_id"))
 def product_rate_by_verified(spark, sf):
     """AGG-12."""
-    df = _prepared(spark, sf)
-    return R.rate_by_verified(df, _top_products(df), "product_id")
+    cube = R.key_cube(_prepared(spark, sf), "product_id")
+    return R.rate_from_cube(R.cube_of_top(cube, "product_id", PRODUCT_MIN, TOP_K), "product_id")
 
 
 @register("user_rate_by_verified", _rate_sql(TOP_USERS_CTE, "user_id"))
 def user_rate_by_verified(spark, sf):
     """AGG-13."""
-    df = _prepared(spark, sf)
-    return R.rate_by_verified(df, _top_users(df), "user_id")
+    cube = R.key_cube(_prepared(spark, sf), "user_id")
+    return R.rate_from_cube(R.cube_of_top(cube, "user_id", USER_MIN, TOP_K), "user_id")
 
 
 def _pivot_sql(top_cte: str, key: str) -> str:
@@ -223,15 +223,15 @@ def _pivot_sql(top_cte: str, key: str) -> str:
 @register("product_rate_pivot", _pivot_sql(TOP_PRODUCTS_CTE, "product_id"))
 def product_rate_pivot(spark, sf):
     """AGG-14 (products)."""
-    df = _prepared(spark, sf)
-    return R.rate_pivot(R.rate_by_verified(df, _top_products(df), "product_id"), "product_id")
+    cube = R.key_cube(_prepared(spark, sf), "product_id")
+    return R.rate_pivot(R.rate_from_cube(R.cube_of_top(cube, "product_id", PRODUCT_MIN, TOP_K), "product_id"), "product_id")
 
 
 @register("user_rate_pivot", _pivot_sql(TOP_USERS_CTE, "user_id"))
 def user_rate_pivot(spark, sf):
     """AGG-14 (users)."""
-    df = _prepared(spark, sf)
-    return R.rate_pivot(R.rate_by_verified(df, _top_users(df), "user_id"), "user_id")
+    cube = R.key_cube(_prepared(spark, sf), "user_id")
+    return R.rate_pivot(R.rate_from_cube(R.cube_of_top(cube, "user_id", USER_MIN, TOP_K), "user_id"), "user_id")
 
 
 @register(
