@@ -138,23 +138,50 @@ def length_histogram(spark, sf):
     return C.histogram(prepare_texts(review_texts(spark, sf)), "review_words", 50)
 
 
-@register(
-    "kde_text_length",
-    with_ctes(REVIEW_TEXTS, TEXTS_PREPARED)
-    + f""", t1 AS (SELECT {_VLABEL} AS verification, CAST(review_words AS DOUBLE) AS x FROM texts_prepared WHERE topic = {TOPIC_ID}),
-  st AS (SELECT verification, count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM t1 GROUP BY 1
+def _kde_sql(value: str, group: str) -> str:
+    return with_ctes(REVIEW_TEXTS, TEXTS_PREPARED) + f""", t1 AS (SELECT {group} AS grp, CAST({value} AS DOUBLE) AS x
+          FROM texts_prepared WHERE topic = {TOPIC_ID} AND {value} IS NOT NULL),
+  st AS (SELECT grp, count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM t1 GROUP BY 1
          HAVING count(x) >= 2 AND stddev_samp(x) > 0),
-  p AS (SELECT verification, n, sd * pow(n, -0.2) AS h, lo, hi FROM st),
-  g AS (SELECT verification, k AS point, (lo - 3.0 * h) + k * ((hi - lo + 6.0 * h) / 199) AS gx, h, n FROM p, range(0, 200) r(k))
-  SELECT g.verification, CAST(point AS INT) AS point, round(gx, 6) AS x,
+  p AS (SELECT grp, n, sd * pow(n, -0.2) AS h, lo, hi FROM st),
+  g AS (SELECT grp, k AS point, (lo - 3.0 * h) + k * ((hi - lo + 6.0 * h) / 199) AS gx, h, n FROM p, range(0, 200) r(k))
+  SELECT g.grp AS {_KDE_GROUP}, CAST(point AS INT) AS point, round(gx, 6) AS x,
          round(sum(exp(-0.5 * ((gx - x) / h) * ((gx - x) / h)) / sqrt(2 * pi()) / (h * n)), 6) AS density
-  FROM g JOIN t1 USING (verification) GROUP BY g.verification, point, gx""",
-)
+  FROM g JOIN t1 USING (grp) GROUP BY g.grp, point, gx"""
+
+
+_KDE_GROUP = "review_group"
+_CLS = "CASE WHEN review_words >= 50 THEN 'Long' ELSE 'Short' END"
+
+
+def _kde(spark, sf, value, group_col):
+    d = prepare_texts(review_texts(spark, sf)).filter(F.col("topic") == TOPIC_ID)
+    d = d.withColumn(_KDE_GROUP, group_col)
+    return C.kde(d, value, _KDE_GROUP, 200)
+
+
+@register("kde_text_length", _kde_sql("review_words", _VLABEL))
 def kde_text_length(spark, sf):
     """VIZ-2: Gaussian density of word counts in topic 1, verified vs unverified (200-point grid)."""
-    d = prepare_texts(review_texts(spark, sf)).filter(F.col("topic") == TOPIC_ID)
-    d = d.withColumn("verification", X.verified_label("verified_purchase"))
-    return C.kde(d, "review_words", "verification", 200)
+    return _kde(spark, sf, "review_words", X.verified_label("verified_purchase"))
+
+
+@register("kde_rating_diff", _kde_sql("rating_diff", _VLABEL))
+def kde_rating_diff(spark, sf):
+    """VIZ-2: density of (predict − rating) in topic 1, verified vs unverified."""
+    return _kde(spark, sf, "rating_diff", X.verified_label("verified_purchase"))
+
+
+@register("kde_rating_diff_by_length", _kde_sql("rating_diff", _CLS))
+def kde_rating_diff_by_length(spark, sf):
+    """VIZ-2: density of (predict − rating) in topic 1, long (≥ 50 words) vs short reviews."""
+    return _kde(spark, sf, "rating_diff", X.length_bucket2("review_words"))
+
+
+@register("kde_rating_diff_by_group", _kde_sql("rating_diff", f"concat_ws(' + ', {_VLABEL}, {_CLS})"))
+def kde_rating_diff_by_group(spark, sf):
+    """VIZ-2: density of (predict − rating) in topic 1 per verification + length group."""
+    return _kde(spark, sf, "rating_diff", X.group_label(X.length_bucket2("review_words"), "verified_purchase", "verified_first"))
 
 
 @register(

@@ -263,3 +263,20 @@ def verified_partition(spark, sf):
     return df.groupBy("category", X.verified_label(F.coalesce("verified_purchase", F.lit(False))).alias("verification")).agg(
         F.count(F.lit(1)).alias("n_reviews"), F.sum(F.col("is_misleading").cast("int")).cast("bigint").alias("misleading_count")
     )
+
+
+@register(
+    "top_product_samples",
+    with_ctes(REVIEWS, PREPARED, TOP_PRODUCTS_CTE)
+    + """, pick AS (SELECT product_id FROM top_products ORDER BY misleading_count DESC, product_id LIMIT 1)
+  SELECT review_id, predict_stars, rating FROM prepared
+  WHERE product_id IN (SELECT product_id FROM pick) AND is_misleading
+  ORDER BY md5(concat_ws('|', '42', review_id)), review_id LIMIT 5""",
+)
+def top_product_samples(spark, sf):
+    """SMP-1 on SRT-3: five seeded misleading reviews of the top product."""
+    from starlens.operators import sampling as S
+
+    df = _prepared(spark, sf)
+    rows = R.rows_of(df, R.mismatch(df, "product_id", PRODUCT_MIN, 1), "product_id", only_misleading=True)
+    return S.sample_n(rows.select("review_id", "predict_stars", "rating"), 5, ["review_id"])

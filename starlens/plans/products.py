@@ -206,3 +206,15 @@ def star_rollup(spark, sf):
     d = review_texts(spark, sf).select("review_id", "text", "rating")
     out = SE.predict_stars(d, SE.lexicon_star_scorer(lexicon(spark, sf)))
     return out.select("review_id", "rating", "predict_stars", "predict_status")
+
+
+@register("reputation_risk", PRODUCT_CTES + " SELECT asin, reputation_risk FROM stats")
+def reputation_risk(spark, sf):
+    """AGG-20: n / (negatives + 1) · |mean sentiment| per product, from built-in aggregates."""
+    return P.reputation_risk(P.product_features(_sentiment(spark, sf)))
+
+
+@register("sales_proxy", PRODUCT_CTES + " SELECT asin, sales_proxy FROM stats")
+def sales_proxy(spark, sf):
+    """AGG-21: log1p(review count) per product."""
+    return P.sales_proxy(P.product_features(_sentiment(spark, sf)))

@@ -345,3 +345,18 @@ def strip_html_pages(spark, sf):
     """FUN-3 on raw web pages: comments, script/style blocks and tags removed, entities decoded."""
     p = table(spark, sf, "pages")
     return p.select("page_id", T.strip_html("html").alias("page_text"))
+
+
+_NULL_COLS = ("review_id", "asin", "user_id", "category", "title", "text", "rating", "predict_stars",
+              "verified_purchase", "helpful_vote", "timestamp", "topic", "images")
+
+
+@register(
+    "null_counts",
+    BASE + "\n" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count FROM review_texts" for c in _NULL_COLS
+    ),
+)
+def null_counts(spark, sf):
+    """AGG-3: nulls per column, one pass, long form."""
+    return R.null_counts(review_texts(spark, sf), list(_NULL_COLS))

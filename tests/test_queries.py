@@ -10,7 +10,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from starlens.sources.tables import TABLES
 
-from .conftest import SF_SMALL
+from conftest import SF_SMALL
 
 
 def norm(v):
