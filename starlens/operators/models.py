@@ -33,10 +33,9 @@ def _sq_dist(vec: Column, center: Sequence[float]) -> Column:
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, label: str, out: str = "cluster") -> DataFrame:
     """Assign each vector to its closest centroid (squared Euclidean; ties → smallest label)."""
-    n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids exceed {MAX_CENTROIDS}; assign with a join on a coarser index")
-    rows = centroids.select(label, "centroid").collect()
+    rows = centroids.select(label, "centroid").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids; assign with a join on a coarser index")
     cands = F.array(*[F.struct(_sq_dist(F.col(vec), c).alias("d"), F.lit(lab).alias("l")) for lab, c in rows])
     return df.withColumn(out, F.array_min(cands)["l"])
 

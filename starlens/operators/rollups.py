@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starlens.functions import features as X
+from starlens.session import materialise as materialise_table
 
 DIGITS = 6
 
@@ -140,12 +141,18 @@ def topic_rating_diff(df: DataFrame, topic: str = "topic") -> DataFrame:
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str, values, names) -> DataFrame:
-    """Row-normalised % of ``col`` values per ``row`` (null cells skipped; every value column present)."""
+    """Row-normalised % of ``col`` values per ``row`` (null cells skipped; every value column present).
+
+    Null cells are skipped by counting (``count(col)``, ``count_if``) rather than by a filter on ``col``:
+    a predicate on a derived column would be pushed below the projection and re-evaluate the derivation
+    (e.g. a regex word count) once per reference.
+    """
     counts = [F.count_if(F.col(col) == F.lit(v)).alias(f"_c{i}") for i, v in enumerate(values)]
     g = (
-        df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+        df.filter(F.col(row).isNotNull())
         .groupBy(row)
-        .agg(F.count(F.lit(1)).alias("_n"), *counts)
+        .agg(F.count(col).alias("_n"), *counts)
+        .filter(F.col("_n") > 0)
     )
     return g.select(
         row, *[F.round(F.col(f"_c{i}") * 100.0 / F.col("_n"), DIGITS).alias(n) for i, n in enumerate(names)]
@@ -166,9 +173,9 @@ def group_misleading_rate(df: DataFrame, topic_id: int | None, topic: str = "top
 # The trend and rate reports need the top-k keys first and then those keys' rows: two passes over the
 # raw data.  Instead, one pass builds a cube (key, month, verification) → (rows, misleading rows); the
 # top-k ranking, the monthly trends and the per-verification rates are all re-aggregations of that much
-# smaller table.  The cube is materialised with a reliable checkpoint (shared checkpoint folder): without
+# smaller table.  The cube is materialised as a written table in the shared checkpoint folder: without
 # it Catalyst pushes each branch's filters and the semi-join below the aggregate, the branches differ and
-# the raw data would be scanned and joined twice.  The checkpoint also cuts the lineage for retries.
+# the raw data would be scanned and joined twice.  The written table also cuts the lineage for retries.
 
 def key_cube(df: DataFrame, key: str, materialise: bool = True) -> DataFrame:
     cube = (
@@ -180,7 +187,7 @@ def key_cube(df: DataFrame, key: str, materialise: bool = True) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(_flag()).cast("bigint").alias("_m"))
     )
-    return cube.checkpoint(eager=True) if materialise else cube
+    return materialise_table(cube, f"cube-{key}") if materialise else cube
 
 
 def top_from_cube(cube: DataFrame, key: str, min_reviews: int, k: int = 10) -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlens.session import materialise
+
 BUCKET_HEX = 3  # 16**3 = 4,096 buckets
 BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_SEED = 42
@@ -61,8 +63,9 @@ def rank_select(
         F.col("_b").alias("_bstar"),
         (F.col("_t") - before).alias("_r"),
     )
-    # One row per stratum: materialise it once (reliable checkpoint) and check its size before broadcasting.
-    bound = bound.checkpoint(eager=True)
+    # One row per stratum: materialise it once (a written table in the shared checkpoint folder) and check
+    # its size before broadcasting.
+    bound = materialise(bound, "split-bounds")
     small = bound.count() <= BROADCAST_MAX_ROWS
     cond = [base[k].eqNullSafe(bound[f"_s_{k}"]) for k in gkeys]
     lab = base.join(F.broadcast(bound) if small else bound, cond, "left").drop(*[f"_s_{k}" for k in gkeys])

@@ -49,7 +49,11 @@ MAX_LEXICON_ROWS = 200_000
 
 
 def _checked_lexicon(lexicon: DataFrame) -> DataFrame:
+    """Materialise the lexicon once (shared checkpoint folder), count it, broadcast it only under the limit."""
+    from starlens.session import materialise
+
     lex = lexicon.select("token", F.col("valence").cast("double").alias("valence")).filter(F.col("valence") != 0)
+    lex = materialise(lex, "lexicon")
     n = lex.count()
     return F.broadcast(lex) if n <= MAX_LEXICON_ROWS else lex
 

@@ -41,6 +41,23 @@ def doc_terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WOR
     return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def doc_terms_counted(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS_EN):
+    """(doc_terms, n_docs) in ONE pass over the raw text.
+
+    The (doc, term, tf) table is written once to the shared checkpoint folder (vocabulary, weights and
+    counts all re-read it instead of re-tokenising), and the document count is observed on the same job
+    with ``DataFrame.observe`` instead of a second scan.
+    """
+    from pyspark.sql import Observation
+
+    from starlens.session import materialise
+
+    obs = Observation("docs")
+    seen = df.observe(obs, F.count(F.lit(1)).alias("n_docs"))
+    dt = materialise(doc_terms(seen, key, text, stop), "doc-terms")
+    return dt, int(obs.get["n_docs"])
+
+
 def term_stats(
     dt: DataFrame,
     n_docs: int,
@@ -65,9 +82,11 @@ def term_stats(
 
 
 def _vocab_side(vocab: DataFrame, bounded: bool) -> DataFrame:
-    if bounded or vocab.count() <= MAX_BROADCAST_TERMS:
+    """Broadcast a vocabulary bounded by max_features; otherwise only after checking its row count
+    (above the limit the join stays a shuffle join)."""
+    if bounded:
         return F.broadcast(vocab)
-    return vocab
+    return F.broadcast(vocab) if vocab.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS else vocab
 
 
 def tfidf(dt: DataFrame, vocab: DataFrame, n_docs: int, key: str, bounded: bool = True) -> DataFrame:

@@ -52,16 +52,14 @@ RQ3_CTES = with_ctes(
 
 def _rq2(spark, sf):
     d = prepare_texts(review_texts(spark, sf))
-    dt = V.doc_terms(d, "review_id", "review_text")
-    n = d.count()
+    dt, n = V.doc_terms_counted(d, "review_id", "review_text")
     vocab = V.term_stats(dt, n, RQ2_MIN_DF, RQ2_MAX_DF, RQ2_FEATURES)
     return d, dt, n, vocab
 
 
 def _rq3(spark, sf):
     d = review_texts(spark, sf).withColumn("clean_text", clean("text"))
-    dt = V.doc_terms(d, "review_id", "clean_text")
-    n = d.count()
+    dt, n = V.doc_terms_counted(d, "review_id", "clean_text")
     vocab = V.term_stats(dt, n, RQ3_MIN_DF, RQ3_MAX_DF, None)
     return d, dt, n, vocab
 

@@ -18,7 +18,7 @@ from starlens.sources import readers as RD
 from starlens.sources import sinks as SK
 from starlens.sources.schema import NA_STRINGS
 from starlens.sources.tables import review_texts
-from starlens.streaming.ingest import job_metrics, stream_ingest
+from starlens.streaming.ingest import job_metrics, stream_ingest, unseen_files
 
 _VSTR = "CASE WHEN verified_purchase THEN 'true' ELSE 'false' END"
 
@@ -166,7 +166,7 @@ def _land_stream_source(spark, sf, cond=None, name="stream-src", path=None):
         rec = rec.filter(cond)
     path = path or scratch_path(spark, name)
     # several files per landing so that maxFilesPerTrigger cuts real chunks
-    rec.repartition(4, "review_id").write.mode("append").json(path)
+    SK.write_scored(rec.repartition(4, "review_id"), path, mode="append")
     return path
 
 
@@ -208,11 +208,30 @@ def stream_resume(spark, sf):
     return d.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("review_id").alias("n_ids"))
 
 
-@register("file_status", with_ctes(REVIEW_TEXTS) + " SELECT 'done' AS status, count(*) AS n_rows FROM review_texts")
+@register(
+    "file_status",
+    with_ctes(REVIEW_TEXTS)
+    + " SELECT CASE WHEN review_id % 3 = 2 THEN 'pending' ELSE 'done' END AS status, count(*) AS n_rows"
+    " FROM review_texts GROUP BY 1",
+)
 def file_status(spark, sf):
-    """STR-3 / JON-4: the per-file status table written by the stream; every file done once."""
-    _, st, _ = _resume_run(spark, sf)
-    return spark.read.parquet(st).groupBy("status").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+    """STR-3 / JON-4: per-file status written by the stream; files landed after the last run are pending
+    (anti-join of the listed files against the status table)."""
+    schema = scored_records(spark, sf).schema
+    src = _land_stream_source(spark, sf, F.col("review_id") % 3 == 0, "status-src")
+    dst, ck, st = scratch_path(spark, "status-dst"), scratch_path(spark, "status-ckpt"), scratch_path(spark, "status")
+    stream_ingest(spark, src, dst, ck, status=st, schema=schema, max_files=2)
+    _land_stream_source(spark, sf, F.col("review_id") % 3 == 1, path=src)
+    stream_ingest(spark, src, dst, ck, status=st, schema=schema, max_files=2)
+    _land_stream_source(spark, sf, F.col("review_id") % 3 == 2, path=src)  # arrives after the last run
+    listed = (
+        spark.read.schema(schema).json(src)
+        .select(F.col("_metadata.file_name").alias("source_file"))
+        .groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+    done = spark.read.parquet(st).select("source_file", "n_rows", "status")
+    pending = unseen_files(listed, done, "source_file").withColumn("status", F.lit("pending"))
+    return done.unionByName(pending).groupBy("status").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
 @register("stream_metrics")

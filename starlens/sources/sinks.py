@@ -26,8 +26,9 @@ def write_partitioned(
     )
 
 
-def write_scored(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_scored(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Scored records as JSON lines (``mode="append"`` lands new files next to earlier ones)."""
+    df.write.mode(mode).json(path)
 
 
 def write_projection_csv(df: DataFrame, path: str) -> None:
