@@ -49,7 +49,7 @@ def _s(c) -> F.Column:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: one scored review per lineitem row."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
