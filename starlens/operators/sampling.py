@@ -6,11 +6,11 @@ count, and DuckDB computes the same order, so every result here has an exact SQL
 Scale design (``rank_select``): picking "the first t rows of each stratum by hash" would naively be a
 window per stratum — with a few strata that sends a whole stratum to one task.  Instead:
 
-1. a 4,096-bucket histogram of the hash prefix per stratum (partial aggregation, tiny output);
-2. a running sum over each stratum's ≤ 4,096 buckets finds the one bucket where the cut falls;
+1. a 65,536-bucket histogram of the hash prefix per stratum (partial aggregation, small output);
+2. a running sum over each stratum's ≤ 65,536 buckets finds the one bucket where the cut falls;
 3. that per-stratum boundary table (one row per stratum, row count checked before it is broadcast)
    labels every row by comparing its bucket — no shuffle of the big side;
-4. only rows of the boundary bucket (≈ 1/4,096 of a stratum) are ranked by a window.
+4. only rows of the boundary bucket (≈ 1/65,536 of a stratum) are ranked by a window.
 
 The result is exact: identical to ``row_number() over (partition by strata order by hash, key) <= t``.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from starlens.session import materialise
 
-BUCKET_HEX = 3  # 16**3 = 4,096 buckets
+BUCKET_HEX = 4  # 16**4 = 65,536 buckets
 BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_SEED = 42
 

@@ -42,20 +42,22 @@ def doc_terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WOR
 
 
 def doc_terms_counted(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS_EN):
-    """(doc_terms, n_docs) in ONE pass over the raw text.
+    """(doc_terms, n_docs) with ONE pass over the raw text.
 
-    The (doc, term, tf) table is written once to the shared checkpoint folder (vocabulary, weights and
-    counts all re-read it instead of re-tokenising), and the document count is observed on the same job
-    with ``DataFrame.observe`` instead of a second scan.
+    Every document also emits one marker row (term NULL) so that documents without tokens are counted;
+    the (doc, term, tf) table is written once to the shared checkpoint folder and re-read by vocabulary,
+    weights and counts instead of re-tokenising.  The document count is read from that written table
+    (retry-safe, unlike an accumulator observed inside a shuffle-map stage).
     """
-    from pyspark.sql import Observation
-
     from starlens.session import materialise
 
-    obs = Observation("docs")
-    seen = df.observe(obs, F.count(F.lit(1)).alias("n_docs"))
-    dt = materialise(doc_terms(seen, key, text, stop), "doc-terms")
-    return dt, int(obs.get["n_docs"])
+    terms = F.concat(tokens(F.col(text)), F.array(F.lit(None).cast("string")))
+    ex = df.select(key, F.explode(terms).alias("term"))
+    if stop:
+        ex = ex.filter(F.col("term").isNull() | ~F.col("term").isin(*stop))
+    counted = materialise(ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "doc-terms")
+    n_docs = counted.filter(F.col("term").isNull()).count()
+    return counted.filter(F.col("term").isNotNull()), int(n_docs)
 
 
 def term_stats(
