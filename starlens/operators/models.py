@@ -103,22 +103,28 @@ def fit_topics(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_d
     from pyspark.storagelevel import StorageLevel
 
     counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, vocab_size)).fit(df)
-    tf = counting.transform(df).select("_tf")
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
-    norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
-    # KMeans iterates over its input: persist the (sparse) feature vectors once instead of re-tokenising per pass
-    feats = norm.transform(scale.transform(tf)).select("_x").persist(StorageLevel.MEMORY_AND_DISK)
+    # term-count vectors are computed once and reused by the IDF fit and every KMeans pass
+    tf = counting.transform(df).select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
+        scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
+        norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
+        feats = norm.transform(scale.transform(tf)).select("_x")
         km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(feats)
     finally:
-        feats.unpersist()
+        tf.unpersist()
     return PipelineModel(stages=[counting, scale, norm, km])
 
 
 def apply_topics(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
-    """ML-2: apply a fitted topic pipeline; labels made canonical."""
-    return canonical_labels(model.transform(df).select(key, "_cluster"), "_cluster", key, out)
+    """ML-2: apply a fitted topic pipeline; labels made canonical.
+
+    Predictions are written once (shared checkpoint folder) because relabelling reads them twice.
+    """
+    from starlens.session import materialise
+
+    preds = materialise(model.transform(df).select(key, "_cluster"), "topic-predictions")
+    return canonical_labels(preds, "_cluster", key, out)
 
 
 def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2, max_df=0.95, max_iter: int = 10):

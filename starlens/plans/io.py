@@ -18,7 +18,7 @@ from starlens.sources import readers as RD
 from starlens.sources import sinks as SK
 from starlens.sources.schema import NA_STRINGS
 from starlens.sources.tables import review_texts
-from starlens.streaming.ingest import job_metrics, stream_ingest, unseen_files
+from starlens.streaming.ingest import job_metrics, stream_ingest, stream_monthly_trend, unseen_files
 
 _VSTR = "CASE WHEN verified_purchase THEN 'true' ELSE 'false' END"
 
@@ -243,4 +243,24 @@ def stream_metrics(spark, sf):
     return job_metrics(spark, q)
 
 
+@register(
+    "stream_monthly_trend",
+    with_ctes(REVIEW_TEXTS)
+    + """ SELECT last_day(make_timestamp(timestamp * 1000)) AS month,
+         CASE WHEN verified_purchase THEN 'Verified' ELSE 'Unverified' END AS verification,
+         count(*) AS n_reviews,
+         CAST(sum(CAST(coalesce(abs(predict_stars - rating) >= 2, false) AS INT)) AS BIGINT) AS misleading_count
+  FROM review_texts WHERE timestamp IS NOT NULL AND verified_purchase IS NOT NULL GROUP BY 1, 2""",
+)
+def stream_monthly_trend_q(spark, sf):
+    """AGG-10 as a stateful stream: monthly misleading counts per verification, resumed across two landings."""
+    schema = scored_records(spark, sf).schema
+    src = _land_stream_source(spark, sf, F.col("review_id") % 2 == 0, "trend-src")
+    dst, ck = scratch_path(spark, "trend-dst"), scratch_path(spark, "trend-ckpt")
+    stream_monthly_trend(spark, src, dst, ck, schema=schema, max_files=2)
+    _land_stream_source(spark, sf, F.col("review_id") % 2 == 1, path=src)
+    stream_monthly_trend(spark, src, dst, ck, schema=schema, max_files=2)  # resumes from the state store
+    return spark.read.parquet(dst)
+
+
 __all__ = ["FEATURES"]

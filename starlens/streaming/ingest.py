@@ -88,3 +88,53 @@ def job_metrics(spark: SparkSession, query) -> DataFrame:
 def unseen_files(files: DataFrame, manifest: DataFrame, key: str = "file_name") -> DataFrame:
     """Files not yet in the manifest / status table (anti-join on the file name)."""
     return files.join(manifest.select(key), key, "left_anti")
+
+
+def stream_monthly_trend(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    checkpoint: str,
+    schema: T.StructType = SCORED_REVIEW,
+    max_files: int = 1,
+    watermark: str = "62 days",
+):
+    """AGG-10 on a stream: misleading and total reviews per month-end × verification.
+
+    A stateful streaming aggregate (state in the checkpoint's state store, so a restarted query resumes
+    from its last committed batch).  State is one row per (month, verification) — bounded by the number of
+    months, not by the data — so ``complete`` output is safe; in complete mode Spark keeps all state and
+    the declared watermark drops nothing (it only takes effect if the query is run in update mode).
+    Each micro-batch emits the complete current result and ``foreachBatch`` overwrites the output table, so
+    a retried batch rewrites the same answer.
+    """
+    from starlens.functions import features as X
+
+    s = (
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files)
+        .json(src)
+        .withColumn("review_time", X.epoch_ms("timestamp"))
+        .withColumn("is_misleading", X.misleading("predict_stars", F.col("rating").try_cast("double").cast("int")))
+        .filter(F.col("review_time").isNotNull() & F.col("verified_purchase").isNotNull())
+        .withWatermark("review_time", watermark)
+    )
+    agg = s.groupBy(
+        X.month_end("review_time").alias("month"), X.verified_label("verified_purchase").alias("verification")
+    ).agg(
+        F.count(F.lit(1)).alias("n_reviews"),
+        F.sum(F.col("is_misleading").cast("int")).cast("bigint").alias("misleading_count"),
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(dst)
+
+    q = (
+        agg.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return q
