@@ -58,10 +58,13 @@ def group_label(length_label, flag, order: str = "length_first") -> Column:
 
 
 def epoch_ms(c) -> Column:
-    """Epoch milliseconds → TIMESTAMP; unparsable or out of range → null."""
+    """Epoch milliseconds → TIMESTAMP_NTZ (UTC wall clock); unparsable or out of range → null.
+
+    NTZ keeps the value independent of the session / client time zone (the session is pinned to UTC).
+    """
     ms = _c(c).try_cast("bigint")
     ok = ms.between(-62135596800000, 253402300799999)
-    return F.when(ok, F.timestamp_millis(ms))
+    return F.when(ok, F.timestamp_millis(ms)).cast("timestamp_ntz")
 
 
 def month_end(ts) -> Column:

@@ -19,6 +19,14 @@ DIGITS = 6
 MAX_GROUPS_BROADCAST = 1_000_000
 
 
+def _group_side(stats: DataFrame, name: str) -> DataFrame:
+    """One row per group: write it once, count it, broadcast only under the limit."""
+    from starlens.session import materialise
+
+    stats = materialise(stats, name)
+    return F.broadcast(stats) if stats.count() <= MAX_GROUPS_BROADCAST else stats
+
+
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """(bin 1..bins, bin_lo, bin_hi, n): equal-width bins over [min, max]; the max falls in the last bin."""
     spark = df.sparkSession
@@ -55,7 +63,8 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) ->
         .withColumn("_g0", F.col("_lo") - cut * F.col("_h"))
         .withColumn("_step", (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / F.lit(grid - 1))
     )
-    j = vals.join(F.broadcast(stats), by)
+    stats = _group_side(stats, "kde-groups")
+    j = vals.join(stats, by)
     norm = 1.0 / math.sqrt(2 * math.pi)
 
     def contrib(k):
@@ -65,7 +74,7 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) ->
 
     ex = j.select(by, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), contrib)).alias("point", "_d"))
     dens = ex.groupBy(by, "point").agg(F.sum("_d").alias("density"))
-    return dens.join(F.broadcast(stats.select(by, "_g0", "_step")), by).select(
+    return dens.join(stats.select(by, "_g0", "_step"), by).select(
         by,
         "point",
         F.round(F.col("_g0") + F.col("point") * F.col("_step"), DIGITS).alias("x"),
@@ -84,7 +93,7 @@ def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFra
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - whisker * F.col("iqr")
     hi = F.col("q3") + whisker * F.col("iqr")
-    j = d.select(by, x.alias("_x")).join(F.broadcast(st), by)
+    j = d.select(by, x.alias("_x")).join(_group_side(st, "box-groups"), by)
     inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
     agg = j.groupBy(by, "n", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),

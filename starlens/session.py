@@ -54,7 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = tempfile.mkdtemp(prefix="starlens-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, current)
-    spark.sparkContext.setCheckpointDir(current)
+    try:
+        spark.sparkContext.setCheckpointDir(current)
+    except Exception:  # remote sessions have no SparkContext; written tables still use the folder
+        pass
     return current
 
 

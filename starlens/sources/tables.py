@@ -37,8 +37,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     one row group would otherwise run every CPU-heavy text expression in a single task; spreading it by the
     document key also pre-satisfies later per-document aggregations, so it adds no shuffle downstream.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the input as it is
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 

@@ -114,7 +114,7 @@ def stream_monthly_trend(
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
         .json(src)
-        .withColumn("review_time", X.epoch_ms("timestamp"))
+        .withColumn("review_time", X.epoch_ms("timestamp").cast("timestamp"))  # event time must be TIMESTAMP
         .withColumn("is_misleading", X.misleading("predict_stars", F.col("rating").try_cast("double").cast("int")))
         .filter(F.col("review_time").isNotNull() & F.col("verified_purchase").isNotNull())
         .withWatermark("review_time", watermark)
