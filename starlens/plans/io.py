@@ -9,7 +9,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from starlens.operators.products import FEATURES
 from starlens.plans.fixtures_sql import REVIEW_TEXTS, with_ctes, word_count_sql
 from starlens.plans.products import PRODUCT_CTES, product_stats_df
 from starlens.plans.registry import register
@@ -262,5 +261,3 @@ def stream_monthly_trend_q(spark, sf):
     stream_monthly_trend(spark, src, dst, ck, schema=schema, max_files=2)  # resumes from the state store
     return spark.read.parquet(dst)
 
-
-__all__ = ["FEATURES"]
