@@ -35,3 +35,20 @@ def test_sentences_and_stars(spark):
     out = {r["review_id"]: r for r in SE.predict_stars(df, SE.lexicon_star_scorer(lex)).collect()}
     assert out[1]["predict_stars"] > 3 and out[3]["predict_stars"] < 3
     assert out[2]["predict_stars"] == 3
+
+
+def test_arrow_scorer_plugin(spark):
+    def load():
+        def predict(texts):
+            if any("boom" in t for t in texts):
+                raise RuntimeError("model failure")
+            return [5 if "great" in t.lower() else 1 for t in texts]
+
+        return predict
+
+    df = spark.createDataFrame(
+        [(1, "Great. Great!"), (2, "Bad. Bad."), (3, "boom")], "review_id long, text string"
+    )
+    out = {r["review_id"]: r for r in SE.predict_stars(df, SE.arrow_scorer(load, batch_size=2)).collect()}
+    assert out[1]["predict_stars"] == 5 and out[2]["predict_stars"] == 1
+    assert out[3]["predict_stars"] == 3
