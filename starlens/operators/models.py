@@ -76,44 +76,94 @@ def canonical_labels(df: DataFrame, pred: str, key: str, out: str = "topic") ->
     return df.join(F.broadcast(order.select(pred, out)), pred).drop(pred)
 
 
-def tfidf_pipeline(text: str, stop, min_df=10, max_df=0.95, vocab_size=1000):
-    """Tokenise (2+ word chars), drop stop words, count (df bounds, top-N by corpus count)."""
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
+def tokenise_stages(text: str, stop):
+    """Tokenise (2+ word chars, lower-cased), drop stop words: ``text`` → ``_words``."""
+    from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
 
     from starlens.functions.text import TOKEN
 
     return [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True, minTokenLength=2),
         StopWordsRemover(inputCol="_tok", outputCol="_words", stopWords=list(stop)),
-        CountVectorizer(inputCol="_words", outputCol="_tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocab_size),
     ]
 
 
-def fit_topics(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=10, max_df=0.95, vocab_size=1000):
-    """ML-1: smooth-idf TF-IDF (idf + 1, as in the reference's vectoriser), L2 rows, KMeans(k) with k-means||.
+def count_stage(min_df=10, max_df=0.95, vocab_size=1000):
+    """Term counts ``_words`` → ``_tf`` with document-frequency bounds and a top-N (by corpus count) vocabulary."""
+    from pyspark.ml.feature import CountVectorizer
+
+    return CountVectorizer(inputCol="_words", outputCol="_tf", minDF=float(min_df), maxDF=float(max_df), vocabSize=vocab_size)
 
-    Returns a fitted PipelineModel whose output column is ``_cluster``.
+
+def tfidf_pipeline(text: str, stop, min_df=10, max_df=0.95, vocab_size=1000):
+    """Tokenise, drop stop words, count (df bounds, top-N by corpus count)."""
+    return [*tokenise_stages(text, stop), count_stage(min_df, max_df, vocab_size)]
+
+
+def _tokenised(df: DataFrame, text: str, stop, keep):
+    """(tokeniser PipelineModel, ``keep`` + ``_words`` persisted once).
+
+    Every later step (vocabulary fit, IDF fit, each model iteration, the predictions) reads the persisted
+    tokens, so the regex tokeniser runs over the corpus a single time.  MEMORY_AND_DISK spills rather than
+    fails, and lost blocks are recomputed from lineage.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
+    from pyspark.storagelevel import StorageLevel
+
+    tok = PipelineModel(stages=tokenise_stages(text, stop))
+    return tok, tok.transform(df).select(*keep, "_words").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _fit_kmeans(words: DataFrame, keep, k, seed, min_df, max_df, vocab_size):
+    """Vocabulary, smooth-idf weights (idf + 1, as in the reference's vectoriser), L2 rows and KMeans(k) with
+    k-means|| on persisted tokens.  Returns the fitted stages and the (keep + ``_x``) feature rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
+    cv = count_stage(min_df, max_df, vocab_size).fit(words)
+    tf = cv.transform(words)
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
+    norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
+    feats = norm.transform(scale.transform(tf)).select(*keep, "_x")
+    # KMeans persists its own vector input (unpersisted here), so the iterations re-read vectors, not text
+    km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(feats)
+    return [cv, scale, norm, km], feats
+
+
+def topic_model(df: DataFrame, text: str, key: str, stop, k: int = 5, seed: int = 42, min_df=10, max_df=0.95,
+                vocab_size=1000, out: str = "topic"):
+    """ML-1: TF-IDF → KMeans topics.  Returns ``(model, labels)``.
+
+    ``model`` is the fitted PipelineModel (output column ``_cluster``; apply it to new rows with
+    ``apply_topics``); ``labels`` is (key, topic) for every input row, canonically labelled.  The corpus is
+    tokenised once; the predictions are written once (shared checkpoint folder) while the tokens are still
+    persisted, because relabelling reads them twice.
+    """
     from pyspark.ml import PipelineModel
-    from pyspark.storagelevel import StorageLevel
 
-    counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, vocab_size)).fit(df)
-    # term-count vectors are computed once and reused by the IDF fit and every KMeans pass
-    tf = counting.transform(df).select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    from starlens.session import materialise
+
+    tok, words = _tokenised(df, text, stop, [key])
     try:
-        idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).idf.toArray()
-        scale = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=Vectors.dense(idf + 1.0))
-        norm = Normalizer(inputCol="_w", outputCol="_x", p=2.0)
-        feats = norm.transform(scale.transform(tf)).select("_x")
-        km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(feats)
+        stages, feats = _fit_kmeans(words, [key], k, seed, min_df, max_df, vocab_size)
+        preds = materialise(stages[-1].transform(feats).select(key, "_cluster"), "topic-predictions")
     finally:
-        tf.unpersist()
-    return PipelineModel(stages=[counting, scale, norm, km])
+        words.unpersist()
+    return PipelineModel(stages=[*tok.stages, *stages]), canonical_labels(preds, "_cluster", key, out)
+
+
+def fit_topics(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=10, max_df=0.95, vocab_size=1000):
+    """ML-1 model only (see ``topic_model``); the fitted PipelineModel's output column is ``_cluster``."""
+    from pyspark.ml import PipelineModel
+
+    tok, words = _tokenised(df, text, stop, [])
+    try:
+        stages, _ = _fit_kmeans(words, [], k, seed, min_df, max_df, vocab_size)
+    finally:
+        words.unpersist()
+    return PipelineModel(stages=[*tok.stages, *stages])
 
 
 def apply_topics(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
@@ -127,22 +177,32 @@ def apply_topics(model, df: DataFrame, key: str, out: str = "topic") -> DataFram
     return canonical_labels(preds, "_cluster", key, out)
 
 
-def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2, max_df=0.95, max_iter: int = 10):
-    """ML-3: counts (2 ≤ df ≤ 95 %) → online LDA on the full corpus each iteration."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import LDA
+def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2, max_df=0.95, max_iter: int = 10,
+            key: str | None = None):
+    """ML-3: counts (2 ≤ df ≤ 95 %) → online LDA on the full corpus each iteration.
 
+    Returns ``(model, dominant)``.  With ``key``, ``dominant`` is (key, topic) for every input row, written
+    once while the tokens are still persisted; without it, ``dominant`` is None.
+    """
     from pyspark.ml import PipelineModel
+    from pyspark.ml.clustering import LDA
     from pyspark.storagelevel import StorageLevel
 
-    counting = Pipeline(stages=tfidf_pipeline(text, stop, min_df, max_df, 1 << 18)).fit(df)
-    tf = counting.transform(df).select("_tf").persist(StorageLevel.MEMORY_AND_DISK)
+    from starlens.session import materialise
+
+    tok, words = _tokenised(df, text, stop, [key] if key else [])
+    dominant = None
     try:
+        cv = count_stage(min_df, max_df, 1 << 18).fit(words)
+        tf = cv.transform(words).persist(StorageLevel.MEMORY_AND_DISK)
         lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
                   topicDistributionCol="_dist").fit(tf)
-    finally:
+        if key:
+            dominant = materialise(lda.transform(tf).select(key, _argmax(F.col("_dist")).alias("topic")), "lda-topics")
         tf.unpersist()
-    return PipelineModel(stages=counting.stages + [lda])
+    finally:
+        words.unpersist()
+    return PipelineModel(stages=[*tok.stages, cv, lda]), dominant
 
 
 def dominant_topic(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
@@ -152,7 +212,7 @@ def dominant_topic(model, df: DataFrame, key: str, out: str = "topic") -> DataFr
 
 def lda_words(model, k: int = 10) -> DataFrame:
     """ML-4: (topic, word_rank, term, weight) — top k words per topic."""
-    cv, lda = model.stages[2], model.stages[-1]
+    cv, lda = model.stages[-2], model.stages[-1]
     topics = lda.describeTopics(k)
     spark = topics.sparkSession
     # the vocabulary already lives on the driver inside the fitted CountVectorizerModel

@@ -52,9 +52,11 @@ def rank_select(
     """
     strata = list(strata)
     gkeys = strata or ["_g"]
-    base = df.withColumn("_hx", order_hash(keys, seed)).withColumn(
-        "_b", F.conv(F.substring("_hx", 1, BUCKET_HEX), 16, 10).cast("int")
-    )
+    # ``_b`` can never be null (4 hex digits), and saying so matters: otherwise Catalyst infers
+    # ``isnotnull(_b)`` from the boundary-bucket comparison and pushes it below the input's exchanges,
+    # so the two label branches stop sharing one scan + shuffle (ReusedExchange) and the hash runs pre-shuffle.
+    bucket = F.conv(F.substring("_hx", 1, BUCKET_HEX), 16, 10).cast("int")
+    base = df.withColumn("_hx", order_hash(keys, seed)).withColumn("_b", F.coalesce(bucket, F.lit(0)))
     if materialise_base:
         base = materialise(base, "split-base")
     if not strata:

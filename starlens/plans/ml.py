@@ -25,8 +25,8 @@ def _rq2(spark, sf):
 def kmeans_topics(spark, sf):
     """ML-1: TF-IDF (1,000 terms) → KMeans k=5 seed 42 → canonical topic per review."""
     d = _rq2(spark, sf)
-    model = M.fit_topics(d, "review_text", STOP_WORDS_EN)
-    return M.apply_topics(model, d, "review_id")
+    _, labels = M.topic_model(d, "review_text", "review_id", STOP_WORDS_EN)
+    return labels
 
 
 @register("kmeans_apply")
@@ -38,22 +38,22 @@ def kmeans_apply(spark, sf):
     return M.apply_topics(model, sample, "review_id")
 
 
-def _lda(spark, sf):
+def _lda(spark, sf, key=None):
     d = review_texts(spark, sf).withColumn("clean_text", clean_text("text"))
-    return d, M.fit_lda(d, "clean_text", STOP_WORDS_EN)
+    return M.fit_lda(d, "clean_text", STOP_WORDS_EN, key=key)
 
 
 @register("lda_topics")
 def lda_topics(spark, sf):
     """ML-3: LDA k=5 seed 42 on cleaned text; dominant topic per review."""
-    d, model = _lda(spark, sf)
-    return M.dominant_topic(model, d, "review_id")
+    _, dominant = _lda(spark, sf, "review_id")
+    return dominant
 
 
 @register("lda_topic_words")
 def lda_topic_words(spark, sf):
     """ML-4: ten top words per LDA topic."""
-    d, model = _lda(spark, sf)
+    model, _ = _lda(spark, sf)
     return M.lda_words(model, 10)
 
 
