@@ -44,10 +44,40 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    size_shuffles(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Partitions per core for the first shuffle of every exchange; AQE coalesces them to the advisory size.
+PARTITIONS_PER_CORE = 8
+ADVISORY_PARTITION_BYTES = str(128 * 1024 * 1024)
+
+
+def size_shuffles(spark: SparkSession) -> None:
+    """On a cluster, start every shuffle wide and let AQE merge it down.
+
+    ``spark.sql.shuffle.partitions`` defaults to 200, far too few for terabytes: each reducer would hold
+    hundreds of GB and spill.  Unless the cluster already chose values, exchanges start with
+    ``PARTITIONS_PER_CORE`` partitions per core (at least ``spark.sql.shuffle.partitions``) and AQE
+    coalesces them to about 128 MB each and splits skewed join partitions at run time.  Local sessions (tests,
+    benchmark) keep their own settings.
+    """
+    try:
+        if spark.sparkContext.master.startswith("local"):
+            return
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext (remote session): leave the cluster's settings alone
+        return
+    unset = lambda k: spark.conf.get(k, None) in (None, "")
+    if unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum"):
+        base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(base, PARTITIONS_PER_CORE * cores)))
+    if unset("spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", ADVISORY_PARTITION_BYTES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a scratch one only when the cluster named none."""
     current = spark.conf.get(CHECKPOINT_KEY, None)
