@@ -55,12 +55,18 @@ def with_category(
     return df.withColumn(name, F.regexp_extract(F.col(f"_metadata.{source}"), pattern, group))
 
 
-def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType = PROJECTED_REVIEW) -> DataFrame:
-    """CSV with header, quotes doubled, newlines inside fields; pandas NA strings → NULL."""
+def read_reviews_csv(
+    spark: SparkSession, path: str, schema: T.StructType = PROJECTED_REVIEW, multi_line: bool = True
+) -> DataFrame:
+    """CSV with header, quotes doubled, newlines inside fields; pandas NA strings → NULL.
+
+    ``multi_line=True`` (needed when quoted fields may hold newlines) reads each file in one task;
+    ``multi_line=False`` splits large files by byte range, for files known to keep one record per line.
+    """
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
