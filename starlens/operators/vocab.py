@@ -113,10 +113,14 @@ def top_terms(weights: DataFrame, group: str, k: int = 10, value: str = "weight"
 
 
 def centroid_weights(weights: DataFrame, assign: DataFrame, key: str, group: str) -> DataFrame:
-    """(group, term, weight): mean TF-IDF weight per group (the centroid of each cluster)."""
+    """(group, term, weight): mean TF-IDF weight per group (the centroid of each cluster).
+
+    ``sizes`` has one row per group; it is not force-broadcast — AQE broadcasts it from its measured size
+    (a handful of clusters) and keeps a shuffle join if a caller groups by something large.
+    """
     sizes = assign.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     sums = weights.join(assign.select(key, group), key).groupBy(group, "term").agg(F.sum("weight").alias("_s"))
-    return sums.join(F.broadcast(sizes), group).select(group, "term", (F.col("_s") / F.col("_n")).alias("weight"))
+    return sums.join(sizes, group).select(group, "term", (F.col("_s") / F.col("_n")).alias("weight"))
 
 
 def cluster_keywords(counts: DataFrame, assign: DataFrame, key: str, group: str, k: int = 10) -> DataFrame:
