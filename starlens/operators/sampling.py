@@ -77,15 +77,22 @@ def rank_select(
     # One row per stratum: materialise it once (a written table in the shared checkpoint folder) and check
     # its size before broadcasting.
     bound = materialise(bound, "split-bounds")
-    small = bound.count() <= BROADCAST_MAX_ROWS
-    cond = [base[k].eqNullSafe(bound[f"_s_{k}"]) for k in gkeys]
-    lab = base.join(F.broadcast(bound) if small else bound, cond, "left").drop(*[f"_s_{k}" for k in gkeys])
-    edge = F.col("_b") == F.col("_bstar")
-    decided = lab.filter(~edge | F.col("_bstar").isNull()).withColumn(
-        out, F.col("_bstar").isNull() | (F.col("_b") < F.col("_bstar"))
-    )
+    if strata:
+        small = bound.count() <= BROADCAST_MAX_ROWS
+        cond = [base[k].eqNullSafe(bound[f"_s_{k}"]) for k in gkeys]
+        lab = base.join(F.broadcast(bound) if small else bound, cond, "left").drop(*[f"_s_{k}" for k in gkeys])
+        bstar, r = F.col("_bstar"), F.col("_r")
+    else:
+        # a single stratum has at most one boundary row (none when every row is selected): read it as two
+        # literals instead of joining every row against a one-row table (a join with no equi-key)
+        rows = bound.limit(2).collect()
+        lab = base
+        bstar = F.lit(rows[0]["_bstar"]).cast("int") if rows else F.lit(None).cast("int")
+        r = F.lit(rows[0]["_r"]).cast("bigint") if rows else F.lit(None).cast("bigint")
+    edge = F.col("_b") == bstar
+    decided = lab.filter(~edge | bstar.isNull()).withColumn(out, bstar.isNull() | (F.col("_b") < bstar))
     rk = Window.partitionBy(*gkeys, "_b").orderBy("_hx", *keys)
-    edged = lab.filter(edge).withColumn(out, F.row_number().over(rk) <= F.col("_r"))
+    edged = lab.filter(edge).withColumn(out, F.row_number().over(rk) <= r)
     res = decided.unionByName(edged)
     return res.drop("_hx", "_b", "_bstar", "_r", *([] if strata else ["_g"]))
 
