@@ -124,8 +124,15 @@ def product_stats(spark, sf):
     PRODUCT_CTES + " SELECT asin, rating, sentiment, reputation_risk FROM stats",
 )
 def stats_join_risk(spark, sf):
-    """JON-1: product stats ⋈ reputation risk on asin (explicit join form)."""
-    feats = P.product_features(_sentiment(spark, sf))
+    """JON-1: product stats ⋈ reputation risk on asin (explicit join form).
+
+    Both sides come from the same scored reviews, so those are written once (shared checkpoint folder):
+    the text is scored a single time and each aggregate re-reads a few narrow columns.  Both aggregates are
+    hash-partitioned on asin, so the join itself adds no shuffle.
+    """
+    from starlens.session import materialise
+
+    feats = materialise(P.product_features(_sentiment(spark, sf)), "scored-reviews")
     stats = P.product_stats(feats).select("asin", "rating", "sentiment")
     return P.stats_with_risk(stats, P.reputation_risk(feats))
 
