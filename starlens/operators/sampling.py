@@ -97,8 +97,28 @@ def rank_select(
     return res.drop("_hx", "_b", "_bstar", "_r", *([] if strata else ["_g"]))
 
 
+# A top-n keeps n rows per task and merges (tasks × n) rows through one bounded heap; above this many
+# merged rows the histogram method (no single-task step) is used instead.
+TOPN_MERGE_MAX_ROWS = 5_000_000
+
+
+def _partitions(df: DataFrame) -> int | None:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session)
+        return None
+
+
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement, seeded; fewer rows than n → all of them."""
+    """Exactly ``min(n, rows)`` rows without replacement, seeded; fewer rows than n → all of them.
+
+    Small samples are a top-n by (hash, key): one pass, n rows per task (``TakeOrderedAndProject``).
+    When n × input partitions would push more than ``TOPN_MERGE_MAX_ROWS`` through the final merge, the
+    histogram method picks the same rows with no single-task step.
+    """
+    parts = _partitions(df)
+    if parts is not None and n * parts <= TOPN_MERGE_MAX_ROWS:
+        return df.orderBy(order_hash(keys, seed), *keys).limit(n)
     return rank_select(df, [], keys, lambda _: F.lit(n), seed).filter("_sel").drop("_sel")
 
 

@@ -70,3 +70,13 @@ def test_cap_per_group(spark):
     exp = brute(df, ["cat"], lambda n: F.lit(1234))
     assert keys(got, "true") == keys(exp)
     assert S.cap_per_group(df, "cat", 0, ["k"]).count() == df.count()
+
+
+def test_sample_n_both_paths_agree(spark, monkeypatch):
+    df = data(spark)
+    exp = keys(brute(df, [], lambda n: F.lit(700)))
+    top_n = keys(S.sample_n(df, 700, ["k"]), "true")  # 700 × 7 partitions: the one-pass top-n
+    monkeypatch.setattr(S, "TOPN_MERGE_MAX_ROWS", 0)  # force the histogram method
+    hist = keys(S.sample_n(df, 700, ["k"]), "true")
+    assert top_n == hist == exp and len(exp) == 700
+    assert "TakeOrdered" not in S.sample_n(df, 700, ["k"])._jdf.queryExecution().executedPlan().toString()
