@@ -154,6 +154,51 @@ def shuffled(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED) -> Da
     return df.withColumn("shuffle_key", order_hash(keys, seed)).orderBy("shuffle_key", *keys)
 
 
+HEAD_BUCKETS = 4096
+HEAD_EDGE_MAX_ROWS = 1_000_000
+
+
 def head_n(df: DataFrame, n: int, key: str) -> DataFrame:
-    """First n rows by key (Spark has no file order); a bounded top-n."""
-    return df.orderBy(key).limit(n)
+    """First n rows by ``key`` ascending, nulls first (Spark has no file order).
+
+    When n × input partitions is small this is a top-n (``TakeOrderedAndProject``).  Otherwise, for an
+    integer key, the cut is found by narrowing key ranges with aggregates only: each round is one pass that
+    counts rows in ``HEAD_BUCKETS`` equal-width key ranges (at most that many rows reach the driver) and keeps
+    the range that holds the n-th row.  Rows below that range are taken by a filter; only the boundary
+    range, once it holds at most ``HEAD_EDGE_MAX_ROWS`` rows, goes through a top-n.  No task merges n rows from
+    every partition.
+    """
+    from pyspark.sql import types as T
+
+    parts = _partitions(df)
+    integral = isinstance(df.schema[key].dataType, T.IntegralType)
+    if parts is None or n * parts <= TOPN_MERGE_MAX_ROWS or not integral:
+        return df.orderBy(key).limit(n)
+    k = F.col(key)
+    lo, hi, total, nulls = df.agg(F.min(k), F.max(k), F.count(F.lit(1)), F.count_if(k.isNull())).first()
+    if total <= n:
+        return df
+    if nulls >= n:
+        return df.filter(k.isNull()).limit(n)
+    need = n - nulls
+    d = df.filter(k.isNotNull())
+    while True:
+        width = (hi - lo) // HEAD_BUCKETS + 1
+        bucket = F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")
+        hist = sorted(
+            (r[0], r[1])
+            for r in d.filter((k >= lo) & (k <= hi)).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1))).collect()
+        )
+        before = 0
+        for b, c in hist:
+            if before + c >= need:
+                break
+            before += c
+        blo, bhi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        need -= before
+        if c <= HEAD_EDGE_MAX_ROWS or width == 1:
+            break
+        lo, hi = blo, bhi
+    below = d.filter(k < blo)
+    edge = d.filter((k >= blo) & (k <= bhi)).orderBy(key).limit(need)
+    return df.filter(k.isNull()).unionByName(below).unionByName(edge)

@@ -80,3 +80,18 @@ def test_sample_n_both_paths_agree(spark, monkeypatch):
     hist = keys(S.sample_n(df, 700, ["k"]), "true")
     assert top_n == hist == exp and len(exp) == 700
     assert "TakeOrdered" not in S.sample_n(df, 700, ["k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_n_range_narrowing_matches_top_n(spark, monkeypatch):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 1_000_003).alias("k"),
+        F.col("id").alias("v"),
+    ).repartition(6)
+    want = sorted((r["k"] is None, r["v"]) for r in df.orderBy("k").limit(1500).collect())
+    monkeypatch.setattr(S, "TOPN_MERGE_MAX_ROWS", 0)
+    monkeypatch.setattr(S, "HEAD_BUCKETS", 8)  # several narrowing rounds
+    monkeypatch.setattr(S, "HEAD_EDGE_MAX_ROWS", 20)
+    got = S.head_n(df, 1500, "k")
+    assert sorted((r["k"] is None, r["v"]) for r in got.collect()) == want
+    assert got.count() == 1500
+    assert S.head_n(df, 50, "k").filter(F.col("k").isNull()).count() == 50  # 207 null keys come first
