@@ -91,9 +91,14 @@ def tfidf(spark, sf):
 )
 def top_terms_per_topic(spark, sf):
     """SRT-2: per topic, the 10 terms with the largest centroid (mean TF-IDF) weight."""
+    from starlens.session import materialise
+
     d, dt, n, vocab = _rq2(spark, sf)
     w = V.tfidf(dt, vocab, n, "review_id")
-    cw = V.centroid_weights(w, d.select("review_id", "topic"), "review_id", "topic")
+    # the (review, topic) assignment is read twice (join and cluster sizes): write it once instead of
+    # filtering the raw text twice
+    assign = materialise(d.select("review_id", "topic"), "topic-assign")
+    cw = V.centroid_weights(w, assign, "review_id", "topic")
     return V.top_terms(cw, "topic", 10).select("topic", "term", F.round("weight", 6).alias("weight"), "term_rank")
 
 
