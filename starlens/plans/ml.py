@@ -65,17 +65,27 @@ def embedding_clusters(spark, sf):
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_vectors"))
 
 
-def _forest(spark, sf, target):
-    stats = product_stats_df(spark, sf)
-    split = S.train_test(stats, ["asin"], 0.2)
-    train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
-    model = M.fit_forest(train, target, P.FEATURES)
-    return model, test
+def _split_stats(spark, sf):
+    """Per-product features with their seeded 80/20 split, written once (shared checkpoint folder).
+
+    The split reads the statistics twice and every forest reads its training rows several times (split
+    candidates, then the bagged tree input); without the written table each of those reads would score the
+    review text again.  The table has one row per product.
+    """
+    from starlens.session import materialise
+
+    stats = materialise(product_stats_df(spark, sf), "product-stats")
+    split = materialise(S.train_test(stats, ["asin"], 0.2), "product-split")
+    return split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
+
+
+def _forest(train, target):
+    return M.fit_forest(train, target, P.FEATURES)
 
 
 def _metrics(spark, sf, target):
-    model, test = _forest(spark, sf, target)
-    pred = model.transform(test)
+    train, test = _split_stats(spark, sf)
+    pred = _forest(train, target).transform(test)
     return M.regression_metrics(pred, target, "_pred").select(F.lit(target).alias("target"), "*")
 
 
@@ -94,9 +104,10 @@ def rf_reputation(spark, sf):
 @register("feature_importance")
 def feature_importance(spark, sf):
     """ML-9: feature importances of both forests, sorted; the top two are the drivers."""
+    train, _ = _split_stats(spark, sf)
     out = None
     for target in ("sales_proxy", "reputation_risk"):
-        model, _ = _forest(spark, sf, target)
+        model = _forest(train, target)
         imp = M.feature_importance(model, P.FEATURES).select(F.lit(target).alias("target"), "*")
         out = imp if out is None else out.unionByName(imp)
     return out
