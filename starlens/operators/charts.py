@@ -1,8 +1,9 @@
 """The numbers behind histograms, density curves and box plots (drawing is left to the caller).
 
 * histogram: two scalars (min, max) then one aggregate over bins; every bin is reported, empty ones as 0.
-* KDE: values are first reduced to (group, value, count) — cost follows distinct values, not rows; each
-  distinct value then contributes to the fixed grid in-row and a partial aggregate sums per grid point.
+* KDE: values are first reduced to (group, value, count) in the only pass over the rows — cost follows
+  distinct values, not rows; the bandwidth statistics come from that table, and each distinct value then
+  contributes to the fixed grid in-row and a partial aggregate sums per grid point.
   Grid size is a parameter, so the work is linear in the data (no value × value pairs).
 * box plot: exact quartiles per group (``percentile`` keeps value→count maps), then whiskers and outlier
   counts in a second pass against the one-row-per-group statistics (broadcast, bounded by the group count).
@@ -52,12 +53,22 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) ->
 
     The grid spans [min − cut·h, max + cut·h].  Groups with fewer than 2 values or zero spread emit nothing.
     """
+    from starlens.session import materialise
+
     x = F.col(col).cast("double")
     d = df.filter(x.isNotNull() & F.col(by).isNotNull())
-    vals = d.groupBy(by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    # the only pass over the rows: (group, value, count), written once; everything else reads it
+    vals = materialise(d.groupBy(by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "kde-values")
+    c, v = F.col("_c"), F.col("_x")
+    first = vals.groupBy(by).agg(
+        F.sum(c).alias("_n"), (F.sum(c * v) / F.sum(c)).alias("_mu"), F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    )
+    # sample standard deviation from centred squares (two steps over the small table, not sum-of-squares)
+    moments = vals.join(first, by).groupBy(by, "_n", "_lo", "_hi").agg(
+        F.sum(c * (v - F.col("_mu")) * (v - F.col("_mu"))).alias("_ss")
+    )
     stats = (
-        d.groupBy(by)
-        .agg(F.count(x).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        moments.withColumn("_sd", F.sqrt(F.col("_ss") / (F.col("_n") - 1)))
         .filter((F.col("_n") >= 2) & (F.col("_sd") > 0))
         .withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
         .withColumn("_g0", F.col("_lo") - cut * F.col("_h"))
