@@ -5,8 +5,9 @@
   distinct values, not rows; the bandwidth statistics come from that table, and each distinct value then
   contributes to the fixed grid in-row and a partial aggregate sums per grid point.
   Grid size is a parameter, so the work is linear in the data (no value × value pairs).
-* box plot: exact quartiles per group (``percentile`` keeps value→count maps), then whiskers and outlier
-  counts in a second pass against the one-row-per-group statistics (broadcast, bounded by the group count).
+* box plot: one pass reduces rows to (group, value, count); exact quartiles come from it (``percentile``
+  with a frequency), then whiskers and outlier counts from the same table against the one-row-per-group
+  statistics (broadcast after a size check).
 """
 
 from __future__ import annotations
@@ -95,21 +96,25 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) ->
 
 def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
     """Per group: exact quartiles, whiskers (furthest values within whisker·IQR of the box) and outlier count."""
+    from starlens.session import materialise
+
     x = F.col(col).cast("double")
     d = df.filter(x.isNotNull() & F.col(by).isNotNull())
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    st = d.groupBy(by).agg(q.alias("_q"), F.count(x).alias("n"))
+    # the only pass over the rows: (group, value, count), written once
+    vals = materialise(d.groupBy(by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "box-values")
+    q = F.percentile(F.col("_x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c"))
+    st = vals.groupBy(by).agg(q.alias("_q"), F.sum("_c").alias("n"))
     st = st.select(
         by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - whisker * F.col("iqr")
     hi = F.col("q3") + whisker * F.col("iqr")
-    j = d.select(by, x.alias("_x")).join(_group_side(st, "box-groups"), by)
+    j = vals.join(_group_side(st, "box-groups"), by)
     inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
     agg = j.groupBy(by, "n", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).cast("bigint").alias("n_outliers"),
     )
     return agg.select(
         by, "n", *[F.round(c, DIGITS).alias(c) for c in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")], "n_outliers"
