@@ -158,6 +158,11 @@ HEAD_BUCKETS = 4096
 HEAD_EDGE_MAX_ROWS = 1_000_000
 
 
+def _int_div(num: Column, den: int) -> Column:
+    """Floor division of a non-negative DECIMAL(20,0) column by a positive integer, as a long."""
+    return F.floor(num / F.lit(den).cast("decimal(20,0)")).cast("long")
+
+
 def head_n(df: DataFrame, n: int, key: str) -> DataFrame:
     """First n rows by ``key`` ascending, nulls first (Spark has no file order).
 
@@ -184,7 +189,10 @@ def head_n(df: DataFrame, n: int, key: str) -> DataFrame:
     d = df.filter(k.isNotNull())
     while True:
         width = (hi - lo) // HEAD_BUCKETS + 1
-        bucket = F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")
+        # exact integer division (DECIMAL(20,0) cannot overflow on key − min), so the buckets counted here
+        # and the integer bounds computed below agree at every edge
+        offset = k.cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
+        bucket = _int_div(offset, width)
         hist = sorted(
             (r[0], r[1])
             for r in d.filter((k >= lo) & (k <= hi)).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1))).collect()
