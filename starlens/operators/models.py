@@ -195,11 +195,14 @@ def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2
     try:
         cv = count_stage(min_df, max_df, 1 << 18).fit(words)
         tf = cv.transform(words).persist(StorageLevel.MEMORY_AND_DISK)
-        lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
-                  topicDistributionCol="_dist").fit(tf)
-        if key:
-            dominant = materialise(lda.transform(tf).select(key, _argmax(F.col("_dist")).alias("topic")), "lda-topics")
-        tf.unpersist()
+        try:
+            lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
+                      topicDistributionCol="_dist").fit(tf)
+            if key:
+                topic = _argmax(F.col("_dist")).alias("topic")
+                dominant = materialise(lda.transform(tf).select(key, topic), "lda-topics")
+        finally:
+            tf.unpersist()
     finally:
         words.unpersist()
     return PipelineModel(stages=[*tok.stages, cv, lda]), dominant
