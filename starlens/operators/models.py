@@ -234,9 +234,16 @@ def embedding_clusters(df: DataFrame, vec: str, key: str, k: int = 5, seed: int
 
     from pyspark.storagelevel import StorageLevel
 
+    from starlens.session import materialise
+
     d = df.select(key, array_to_vector(F.col(vec)).alias("_x")).persist(StorageLevel.MEMORY_AND_DISK)
-    km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(d)
-    return canonical_labels(km.transform(d).select(key, "_cluster"), "_cluster", key, "cluster")
+    try:
+        km = KMeans(featuresCol="_x", predictionCol="_cluster", k=k, seed=seed, maxIter=300, tol=1e-4).fit(d)
+        # written once: relabelling reads the predictions twice, and the vectors can then be released
+        preds = materialise(km.transform(d).select(key, "_cluster"), "embedding-predictions")
+    finally:
+        d.unpersist()
+    return canonical_labels(preds, "_cluster", key, "cluster")
 
 
 # ---------------------------------------------------------------- forests
