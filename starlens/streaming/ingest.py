@@ -23,16 +23,18 @@ from starlens.sources.schema import SCORED_REVIEW
 def _batch_writer(dst: str, status: str, transform: Callable[[DataFrame], DataFrame] | None):
     def write(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform else batch
-        out = out.persist()
-        out.write.mode("overwrite").parquet(os.path.join(dst, f"batch_id={batch_id}"))
-        (
-            out.groupBy("source_file")
-            .agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("status", F.lit("done"))
-            .write.mode("overwrite")
-            .parquet(os.path.join(status, f"batch_id={batch_id}"))
-        )
-        out.unpersist()
+        out = out.persist()  # two writes from one batch
+        try:
+            out.write.mode("overwrite").parquet(os.path.join(dst, f"batch_id={batch_id}"))
+            (
+                out.groupBy("source_file")
+                .agg(F.count(F.lit(1)).alias("n_rows"))
+                .withColumn("status", F.lit("done"))
+                .write.mode("overwrite")
+                .parquet(os.path.join(status, f"batch_id={batch_id}"))
+            )
+        finally:
+            out.unpersist()
 
     return write
 
