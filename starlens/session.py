@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,9 +37,32 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors once per application, for the functions that run in Python workers."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the package has to be installed there
+        return
+    if sc.applicationId in _shipped:
+        return
+    folder = _shipped[sc.applicationId] = tempfile.TemporaryDirectory(prefix="starlens-py-")  # the driver's own; Spark serves it
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder.name, "starlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(top, f), os.path.relpath(os.path.join(top, f), os.path.dirname(package)))
+    sc.addPyFile(path)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Settings every query relies on; safe to call on a cluster session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -46,6 +70,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     size_shuffles(spark)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -64,7 +89,7 @@ def size_shuffles(spark: SparkSession) -> None:
     benchmark) keep their own settings.
     """
     try:
-        if spark.sparkContext.master.startswith("local"):
+        if is_local(spark):
             return
         cores = spark.sparkContext.defaultParallelism
     except Exception:  # no SparkContext (remote session): leave the cluster's settings alone
@@ -78,10 +103,21 @@ def size_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True only where driver and executors are one process, so that a machine-local folder is shared."""
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # remote session
+        return False
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only when the cluster named none."""
+    """The shared folder named by the cluster; a scratch one only on a ``local`` master that names none."""
     current = spark.conf.get(CHECKPOINT_KEY, None)
     if not current:
+        if not is_local(spark):
+            raise RuntimeError(f"{CHECKPOINT_KEY} is not set: name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="starlens-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, current)
     try:

@@ -1,6 +1,8 @@
 """Cluster-only shuffle sizing: decided from the session, never overriding what the cluster set."""
 
-from starlens.session import ADVISORY_PARTITION_BYTES, PARTITIONS_PER_CORE, size_shuffles
+import pytest
+
+from starlens.session import ADVISORY_PARTITION_BYTES, PARTITIONS_PER_CORE, ensure_checkpoint_dir, size_shuffles
 
 
 class _Conf:
@@ -51,3 +53,11 @@ def test_local_session_untouched():
     s = _Session("local[8]", 8)
     size_shuffles(s)
     assert s.conf.values == {}
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    for master in ("yarn", "spark://m:7077", "local-cluster[3,2,1024]"):
+        s = _Session(master, 8)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(s)
+        assert s.conf.values == {}
