@@ -131,7 +131,11 @@ def plan_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
                 out.append({"k": k, "seconds": time.perf_counter() - began, "rejected": rejected})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    sample = docs.select(F.col(text).cast("string")).orderBy(F.xxhash64(text, F.lit(17))).limit(sample_rows)
+    n = docs.count()
+    place = F.xxhash64(F.col(text), F.lit(17))
+    bound = int(min(1.0, 2 * sample_rows / max(n, 1)) * 2**63)  # about twice the sample, so that no task sends more than its share
+    near = docs.where((F.shiftrightunsigned(place, 1) <= F.lit(min(bound, 2**63 - 1)))) if n else docs
+    sample = near.select(F.col(text).cast("string").alias("t")).orderBy(F.xxhash64("t", F.lit(17))).limit(sample_rows)
     rows = (
         sample.mapInArrow(timed, "k int, seconds double, rejected long")
         .groupBy("k")
