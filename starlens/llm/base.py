@@ -49,10 +49,10 @@ def numbered(docs: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame
     """``columns`` of ``docs`` with a long ``row`` that no two rows share.
 
     ``row`` is the key itself where every key is set and unique; otherwise the rows are written once with a running
-    number, so that later reads (and retried tasks) see the same one.
+    number in the order of the key (null first), so that later reads and retried tasks see the same one.
     """
     again = docs.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("k").isNull())
     named = [c.alias(n) for n, c in columns.items()]
     if again.isEmpty():
         return docs.select(F.col(key).cast("long").alias("row"), *named)
-    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), *named), "numbered")
+    return materialise(docs.orderBy(F.col(key).asc_nulls_first()).select(F.monotonically_increasing_id().alias("row"), *named), "numbered")

@@ -1,6 +1,6 @@
 """Every query of this package."""
 
-from starlens.llm import block_naming, mixing, packing, quality_rules, simhash_balls  # noqa: F401
+from starlens.llm import block_naming, mixing, packing, quality_rules, simhash_balls, suffix_dedup  # noqa: F401
 from starlens.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
