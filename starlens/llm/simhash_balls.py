@@ -112,7 +112,8 @@ def key_links(fps: np.ndarray, key: int, groups: int, by_change: dict[int, np.nd
     own = np.zeros(len(fps), np.int64)
     for g, mask in enumerate(group_masks(groups)):
         own |= (np.bitwise_count(fps & np.uint64(mask)).astype(np.int64) & 1) << g
-    change = own ^ key
+    near_key = np.isin(own ^ key, list(by_change))
+    fps, change = fps[near_key], (own ^ key)[near_key]
     order = np.argsort(change, kind="stable")
     kinds, first = np.unique(change[order], return_index=True)
     last = np.append(first[1:], len(order))
