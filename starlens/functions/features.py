@@ -21,8 +21,7 @@ def _c(c) -> Column:
 
 def misleading(predict, actual, gap: int = 2) -> Column:
     """|predict - actual| >= gap; a missing or NaN side gives False (never NULL, never NaN-true)."""
-    p, a = _c(predict), _c(actual)
-    p = F.when(F.isnan(p.cast("double")), None).otherwise(p)
+    p, a = (F.when(F.isnan(x.cast("double")), None).otherwise(x) for x in (_c(predict), _c(actual)))
     return F.coalesce(F.abs(p - a) >= gap, F.lit(False))
 
 
@@ -57,6 +56,22 @@ def group_label(length_label, flag, order: str = "length_first") -> Column:
     return F.concat_ws(" + ", *[_c(p) for p in parts])
 
 
+def to_number(c) -> Column:
+    """A number out of text: null where it does not parse, NaN and infinities included."""
+    d = _c(c).cast("string").try_cast("double")
+    return F.when(F.isnan(d) | (F.abs(d) == float("inf")), None).otherwise(d)
+
+
+def to_int(c) -> Column:
+    """Text to INT, cutting the fraction; null where it does not parse or fit."""
+    return to_number(c).try_cast("int")
+
+
+def to_long(c) -> Column:
+    """Text to BIGINT: whole numbers exactly, others with the fraction cut; null where it does not parse or fit."""
+    return F.coalesce(_c(c).cast("string").try_cast("bigint"), to_number(c).try_cast("bigint"))
+
+
 def epoch_ms(c) -> Column:
     """Epoch milliseconds → TIMESTAMP_NTZ (UTC wall clock); unparsable or out of range → null.
 

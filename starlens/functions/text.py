@@ -8,6 +8,8 @@ SQL oracle and the Spark job on one definition.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,16 +25,11 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Abbreviation expansions applied after cleaning, in this order.
 ABBREVIATIONS = (("brb", "be right back"), ("lol", "laughing out loud"))
 
-# HTML character references decoded by strip_html (named and the common numeric ones).
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+# Named HTML character references (with a closing semicolon) by name, from Python's own table, and the two of XML that it lacks.
+HTML_NAMES = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A tag starts with a letter, a slash and a letter, or is a declaration; "5 < 10" holds none.
+TAG = r"</?[A-Za-z][^>]*>|<![A-Za-z\[][^>]*>|<\?[^>]*>"
 
 
 def _c(c) -> Column:
@@ -73,22 +70,39 @@ def truncate_text(c, n: int = 400) -> Column:
     return F.when(F.length(col) > n, F.concat(F.substring(col, 1, n), F.lit("..."))).otherwise(col)
 
 
+def _decode(ref: Column) -> Column:
+    """One character reference to its text; an unknown name or number stays as it is."""
+    hexed = F.conv(F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+    code = F.coalesce(F.regexp_extract(ref, "^&#([0-9]+);$", 1).try_cast("bigint"), hexed.try_cast("bigint"))
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    # UTF-32 is the code point itself in four bytes
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    names = F.create_map(*[F.lit(x) for kv in sorted(HTML_NAMES.items()) for x in kv])
+    named = F.element_at(names, F.regexp_extract(ref, "^&([A-Za-z][A-Za-z0-9]*);$", 1))
+    return F.coalesce(F.when(F.startswith(ref, F.lit("&#")), F.when(valid, F.when(code == 160, " ").otherwise(char))).otherwise(named), ref)
+
+
+def decode_references(c) -> Column:
+    """Character references, named and numeric, decoded in one pass (``&amp;lt;`` gives ``&lt;``)."""
+    col = _c(c)
+    refs = F.transform(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)), _decode)
+    pieces = F.arrays_zip(F.split(col, REFERENCE, -1).alias("gap"), refs.alias("ref"))
+    out = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["ref"], F.lit("")))), "")
+    return F.when(col.rlike(REFERENCE), out).otherwise(col)
+
+
 def strip_html(c) -> Column:
-    """HTML → text: drop comments, script/style blocks and tags, decode a fixed entity list.
+    """HTML → text: drop comments, script/style blocks and tags, decode character references.
 
-    A regex pass, not a DOM parser: broken markup is not repaired.
+    A regex pass, not a DOM parser: broken markup is not repaired, and a ``<`` that starts no tag is text.
     """
     src = _c(c)
     col = F.regexp_replace(src, r"(?s)<!--.*?-->", "")
-    col = F.regexp_replace(col, r"(?is)<script[^>]*>.*?</script>", "")
-    col = F.regexp_replace(col, r"(?is)<style[^>]*>.*?</style>", "")
-    col = F.regexp_replace(col, r"<[^>]*>", "")
+    col = F.regexp_replace(col, r"(?is)<script\b[^>]*>.*?</script\s*>", "")
+    col = F.regexp_replace(col, r"(?is)<style\b[^>]*>.*?</style\s*>", "")
+    col = F.regexp_replace(col, TAG, "")
     # markup passes only run on values that contain markup at all
-    col = F.when(F.instr(src, "<") > 0, col).otherwise(src)
-    ents = col
-    for ent, ch in HTML_ENTITIES:
-        ents = F.replace(ents, F.lit(ent), F.lit(ch))
-    return F.when(F.instr(col, "&") > 0, ents).otherwise(col)
+    return decode_references(F.when(F.instr(src, "<") > 0, col).otherwise(src))
 
 
 def clean_text(c, abbreviations=ABBREVIATIONS, word_boundary: bool = False) -> Column:

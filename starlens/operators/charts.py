@@ -1,13 +1,12 @@
 """The numbers behind histograms, density curves and box plots (drawing is left to the caller).
 
-* histogram: two scalars (min, max) then one aggregate over bins; every bin is reported, empty ones as 0.
+* histogram: one pass reduces rows to (value, count); range and bins come from that table; every bin is reported, empty ones as 0.
 * KDE: values are first reduced to (group, value, count) in the only pass over the rows — cost follows
   distinct values, not rows; the bandwidth statistics come from that table, and each distinct value then
   contributes to the fixed grid in-row and a partial aggregate sums per grid point.
   Grid size is a parameter, so the work is linear in the data (no value × value pairs).
-* box plot: one pass reduces rows to (group, value, count); exact quartiles come from it (``percentile``
-  with a frequency), then whiskers and outlier counts from the same table against the one-row-per-group
-  statistics (broadcast after a size check).
+* box plot: one pass reduces rows to (group, value, count); exact quartiles come from it by rank, then whiskers and outlier
+  counts from the same table against the one-row-per-group statistics.
 """
 
 from __future__ import annotations
@@ -17,30 +16,34 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starlens.operators.quantiles import exact_quantiles
+
 DIGITS = 6
-MAX_GROUPS_BROADCAST = 1_000_000
 
 
 def _group_side(stats: DataFrame, name: str) -> DataFrame:
-    """One row per group: write it once, count it, broadcast only under the limit."""
+    """One row per group, written once; its file size decides between a broadcast and a shuffle join."""
     from starlens.session import materialise
 
-    stats = materialise(stats, name)
-    return F.broadcast(stats) if stats.count() <= MAX_GROUPS_BROADCAST else stats
+    return materialise(stats, name)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """(bin 1..bins, bin_lo, bin_hi, n): equal-width bins over [min, max]; the max falls in the last bin."""
+    from starlens.session import materialise
+
     spark = df.sparkSession
-    x = F.col(col).cast("double")
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    x = F.col("_x")
+    # the only pass over the rows: (value, count), written once
+    vals = materialise(df.select(F.col(col).cast("double").alias("_x")).where(x.isNotNull()).groupBy("_x").agg(F.count(F.lit(1)).alias("_c")), "histogram-values")
+    lo, hi = vals.agg(F.min(x), F.max(x)).first()
     if lo is None:
-        return spark.createDataFrame([], f"bin int, bin_lo double, bin_hi double, n bigint")
+        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, n bigint")
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo if hi > lo else 1.0)) + 1, F.lit(bins)).cast("int")
-    counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = vals.groupBy(b.alias("bin")).agg(F.sum("_c").alias("n"))
     grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    out = grid.join(F.broadcast(counts), "bin", "left") if bins <= MAX_GROUPS_BROADCAST else grid.join(counts, "bin", "left")
+    out = grid.join(counts, "bin", "left")
     return out.select(
         "bin",
         F.round(F.lit(lo) + (F.col("bin") - 1) * F.lit(width), DIGITS).alias("bin_lo"),
@@ -102,9 +105,8 @@ def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFra
     d = df.filter(x.isNotNull() & F.col(by).isNotNull())
     # the only pass over the rows: (group, value, count), written once
     vals = materialise(d.groupBy(by, x.alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "box-values")
-    q = F.percentile(F.col("_x"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_c"))
-    st = vals.groupBy(by).agg(q.alias("_q"), F.sum("_c").alias("n"))
-    st = st.select(
+    st = exact_quantiles(vals.select(by, F.col("_x").alias("value"), F.col("_c").alias("n")), by, (0.25, 0.5, 0.75))
+    st = st.withColumnRenamed("q", "_q").select(
         by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3")
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - whisker * F.col("iqr")

@@ -39,3 +39,16 @@ def prepare_texts(df: DataFrame, length_source: str = "text", min_chars: int = M
         .withColumn("rating_diff", X.rating_diff("predict_stars", "rating"))
         .withColumn("is_misleading", X.misleading("predict_stars", "rating"))
     )
+
+
+def with_review_key(df: DataFrame, name: str = "review_id") -> DataFrame:
+    """Adds a unique key to reviews that have none: the digest of the whole row and a number among equal rows.
+
+    Equal rows are counted and dealt out again by number, so exact duplicates stay apart, the same input always gets the
+    same keys, and a row that is there very often is one row per task until it is dealt out.
+    """
+    n, k = "_copies", "_copy"
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).cast("int").alias(n))
+    dealt = counted.withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n))))
+    digest = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return dealt.select(F.concat_ws("-", digest, F.col(k).cast("string")).alias(name), *df.columns)

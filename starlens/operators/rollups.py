@@ -68,9 +68,9 @@ def rate_pivot(rates: DataFrame, key: str) -> DataFrame:
     )
 
 
-def dataset_overview(df: DataFrame, approx: bool = False) -> DataFrame:
+def dataset_overview(df: DataFrame) -> DataFrame:
     """Reviews, distinct users / products, verified, unverified (= n − verified), misleading, misleading %."""
-    distinct = F.approx_count_distinct if approx else F.count_distinct
+    distinct = F.count_distinct
     g = df.agg(
         F.count(F.lit(1)).alias("total_reviews"),
         distinct("user_id").alias("distinct_users"),
@@ -83,29 +83,34 @@ def dataset_overview(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns) -> DataFrame:
-    """count, mean, sample std, min, exact 25/50/75 % (linear interpolation), max — one pass, long form.
+    """count, mean, sample std, min, exact 25/50/75 % (linear interpolation), max of each column, long form.
 
-    ``percentile`` keeps a value→count map per partial aggregate, so memory follows the number of
-    distinct values (a handful for stars, votes and flags), not the number of rows.
+    One pass reduces the rows to (column, value, count); quartiles are then found by rank over range-partitioned values, so
+    a column with very many distinct values (a timestamp) is in no single task.
     """
-    stats = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.count(x).alias("n"),
-                F.round(F.avg(x), DIGITS).alias("mean"),
-                F.round(F.stddev_samp(x), DIGITS).alias("std"),
-                F.min(x).alias("min_value"),
-                F.round(q[0], DIGITS).alias("p25"),
-                F.round(q[1], DIGITS).alias("p50"),
-                F.round(q[2], DIGITS).alias("p75"),
-                F.max(x).alias("max_value"),
-            )
-        )
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    from starlens.operators.quantiles import exact_quantiles
+    from starlens.session import materialise
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(pairs)).where("value is not null and not isnan(value)")
+    counts = materialise(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "describe-values")
+    v, n = F.col("value"), F.col("n")
+    first = counts.groupBy("column_name").agg(F.sum(n).alias("_n"), (F.sum(n * v) / F.sum(n)).alias("_mu"), F.min(v).alias("min_value"), F.max(v).alias("max_value"))
+    spread = counts.join(first, "column_name").groupBy("column_name", "_n", "_mu", "min_value", "max_value").agg(
+        F.sum(n * (v - F.col("_mu")) * (v - F.col("_mu"))).alias("_ss")
+    )
+    q = exact_quantiles(counts, "column_name", (0.25, 0.5, 0.75)).drop("n")
+    out = spread.join(q, "column_name").select(
+        "column_name",
+        F.col("_n").alias("n"),
+        F.round("_mu", DIGITS).alias("mean"),
+        F.round(F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - 1)), DIGITS).alias("std"),
+        "min_value",
+        *[F.round(F.col("q")[i], DIGITS).alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
+        "max_value",
+    )
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")  # a column without values has a row too
+    return names.join(out, "column_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def null_counts(df: DataFrame, columns=None) -> DataFrame:

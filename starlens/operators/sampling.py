@@ -1,18 +1,13 @@
-"""Deterministic samples, splits and caps.
+"""Deterministic samples, splits, caps and heads.
 
-Order is ``md5(seed | key)`` (ties by key): it does not depend on partitioning, file order or executor
+The order of a sample is ``md5(seed | key)`` (ties by key): it does not depend on partitioning, file order or executor
 count, and DuckDB computes the same order, so every result here has an exact SQL oracle.
 
-Scale design (``rank_select``): picking "the first t rows of each stratum by hash" would naively be a
-window per stratum — with a few strata that sends a whole stratum to one task.  Instead:
-
-1. a 65,536-bucket histogram of the hash prefix per stratum (partial aggregation, small output);
-2. a running sum over each stratum's ≤ 65,536 buckets finds the one bucket where the cut falls;
-3. that per-stratum boundary table (one row per stratum, row count checked before it is broadcast)
-   labels every row by comparing its bucket — no shuffle of the big side;
-4. only rows of the boundary bucket (≈ 1/65,536 of a stratum) are ranked by a window.
-
-The result is exact: identical to ``row_number() over (partition by strata order by hash, key) <= t``.
+One method serves all of them at every size (``cut_rows``): the order columns alone are range-partitioned by (strata, order) and
+written once, sorted; the rows of each (stratum, partition) are counted; running counts name the partition in which a stratum's
+cut falls, and the row number inside that one partition names the cut row.  Every input row is then labelled by comparing its
+own order columns with its stratum's cut row: no window over a stratum, no merge of many partial top-ns in one task, no
+union.  The result equals ``row_number() over (partition by strata order by ...) <= t``.
 """
 
 from __future__ import annotations
@@ -24,8 +19,6 @@ from pyspark.sql import functions as F
 
 from starlens.session import materialise
 
-BUCKET_HEX = 4  # 16**4 = 65,536 buckets
-BROADCAST_MAX_ROWS = 2_000_000
 DEFAULT_SEED = 42
 
 
@@ -34,119 +27,78 @@ def order_hash(keys: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def cut_rows(df: DataFrame, strata: dict[str, Column], order: dict[str, Column], target: Callable[[Column], Column]) -> DataFrame:
+    """Per stratum (strata columns, order columns) the ``target(n)``-th row in order, nulls first; none where the target is 0."""
+    s, o = list(strata), list(order)
+    by = [F.col(c).asc_nulls_first() for c in (*s, *o)]
+    narrow = df.select(*[c.alias(n) for n, c in {**strata, **order}.items()])
+    placed = narrow.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id())
+    placed = materialise(placed, "sample-order")
+    counts = placed.groupBy(*s, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per (stratum, partition); without strata that is one row per partition
+    whole = Window.partitionBy(*s)
+    counts = counts.withColumn("_upto", F.sum("_c").over(whole.orderBy("_p"))).withColumn("_n", F.sum("_c").over(whole))
+    counts = counts.withColumn("_t", F.least(target(F.col("_n")).cast("bigint"), F.col("_n")))
+    hit = counts.where((F.col("_upto") >= F.col("_t")) & (F.col("_upto") - F.col("_c") < F.col("_t")))
+    hit = hit.select(*[F.col(c).alias(f"_h{c}") for c in s], F.col("_p").alias("_hp"), (F.col("_t") - F.col("_upto") + F.col("_c")).alias("_k"))
+    same = F.col("_p") == F.col("_hp")
+    for c in s:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h{c}"))
+    inside = placed.join(hit, same)
+    nth = F.row_number().over(Window.partitionBy(*s, "_p").orderBy(*[F.col(c).asc_nulls_first() for c in o]))
+    return inside.withColumn("_i", nth).where(F.col("_i") == F.col("_k")).select(*s, *o)
+
+
 def rank_select(
     df: DataFrame,
     strata: Sequence[str],
-    keys: Sequence[str],
+    order: dict[str, Column],
     target: Callable[[Column], Column],
-    seed: int = DEFAULT_SEED,
     out: str = "_sel",
-    materialise_base: bool = False,
 ) -> DataFrame:
-    """Add boolean ``out``: the row is among the first ``target(n)`` rows of its stratum by (hash, key).
-
-    The source is read twice (histogram, then labels).  ``materialise_base=True`` writes the hashed rows
-    once to the shared checkpoint folder and reads them twice instead.  Measured on the three-way-join
-    review fixture at sf0.1 it was slower (5.9 s vs 4.4 s): a 32-character hash per row costs more to write
-    than the join costs to redo, so it is off by default.
-    """
-    strata = list(strata)
-    gkeys = strata or ["_g"]
-    # ``_b`` can never be null (4 hex digits), and saying so matters: otherwise Catalyst infers
-    # ``isnotnull(_b)`` from the boundary-bucket comparison and pushes it below the input's exchanges,
-    # so the two label branches stop sharing one scan + shuffle (ReusedExchange) and the hash runs pre-shuffle.
-    bucket = F.conv(F.substring("_hx", 1, BUCKET_HEX), 16, 10).cast("int")
-    base = df.withColumn("_hx", order_hash(keys, seed)).withColumn("_b", F.coalesce(bucket, F.lit(0)))
-    if materialise_base:
-        base = materialise(base, "split-base")
-    if not strata:
-        base = base.withColumn("_g", F.lit(0))
-    hist = base.groupBy(*gkeys, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    run = Window.partitionBy(*gkeys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (
-        hist.withColumn("_cum", F.sum("_nb").over(run))
-        .withColumn("_n", F.sum("_nb").over(Window.partitionBy(*gkeys)))
-        .withColumn("_t", target(F.col("_n")).cast("bigint"))
-    )
-    before = F.col("_cum") - F.col("_nb")
-    bound = hist.filter((F.col("_cum") > F.col("_t")) & (before <= F.col("_t"))).select(
-        *[F.col(k).alias(f"_s_{k}") for k in gkeys],
-        F.col("_b").alias("_bstar"),
-        (F.col("_t") - before).alias("_r"),
-    )
-    # One row per stratum: materialise it once (a written table in the shared checkpoint folder) and check
-    # its size before broadcasting.
-    bound = materialise(bound, "split-bounds")
-    if strata:
-        small = bound.count() <= BROADCAST_MAX_ROWS
-        cond = [base[k].eqNullSafe(bound[f"_s_{k}"]) for k in gkeys]
-        lab = base.join(F.broadcast(bound) if small else bound, cond, "left").drop(*[f"_s_{k}" for k in gkeys])
-        bstar, r = F.col("_bstar"), F.col("_r")
-    else:
-        # a single stratum has at most one boundary row (none when every row is selected): read it as two
-        # literals instead of joining every row against a one-row table (a join with no equi-key)
-        rows = bound.limit(2).collect()
-        lab = base
-        bstar = F.lit(rows[0]["_bstar"]).cast("int") if rows else F.lit(None).cast("int")
-        r = F.lit(rows[0]["_r"]).cast("bigint") if rows else F.lit(None).cast("bigint")
-    edge = F.col("_b") == bstar
-    decided = lab.filter(~edge | bstar.isNull()).withColumn(out, bstar.isNull() | (F.col("_b") < bstar))
-    rk = Window.partitionBy(*gkeys, "_b").orderBy("_hx", *keys)
-    edged = lab.filter(edge).withColumn(out, F.row_number().over(rk) <= r)
-    res = decided.unionByName(edged)
-    return res.drop("_hx", "_b", "_bstar", "_r", *([] if strata else ["_g"]))
-
-
-# A top-n keeps n rows per task and merges (tasks × n) rows through one bounded heap; above this many
-# merged rows the histogram method (no single-task step) is used instead.
-TOPN_MERGE_MAX_ROWS = 5_000_000
-
-
-def _partitions(df: DataFrame) -> int | None:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session)
-        return None
+    """Add boolean ``out``: the row is among the first ``target(n)`` rows of its stratum in ``order`` (a unique order)."""
+    names = {f"_s{i}": F.col(c) for i, c in enumerate(strata)}
+    cuts = materialise(cut_rows(df, names, order, target), "sample-cuts")
+    mine = F.struct(*order.values())
+    if not names:  # one cut row, or none when nothing is selected
+        rows = cuts.limit(1).collect()
+        if not rows:
+            return df.withColumn(out, F.lit(False))
+        kinds = dict(cuts.dtypes)
+        return df.withColumn(out, mine <= F.struct(*[F.lit(rows[0][c]).cast(kinds[c]) for c in order]))
+    same = F.lit(True)
+    for n, c in names.items():
+        same = same & c.eqNullSafe(F.col(n))
+    labelled = df.join(cuts.withColumn("_cut", F.struct(*order)).select(*names, "_cut"), same, "left")
+    return labelled.withColumn(out, F.coalesce(mine <= F.col("_cut"), F.lit(False))).drop(*names, "_cut")
+
+
+def _hashed(keys: Sequence[str], seed: int) -> dict[str, Column]:
+    return {"_o0": order_hash(keys, seed), **{f"_o{i + 1}": F.col(k) for i, k in enumerate(keys)}}
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows without replacement, seeded; fewer rows than n → all of them.
-
-    Small samples are a top-n by (hash, key): one pass, n rows per task (``TakeOrderedAndProject``).
-    When n × input partitions would push more than ``TOPN_MERGE_MAX_ROWS`` through the final merge, the
-    histogram method picks the same rows with no single-task step.
-    """
-    parts = _partitions(df)
-    if parts is not None and n * parts <= TOPN_MERGE_MAX_ROWS:
-        return df.orderBy(order_hash(keys, seed), *keys).limit(n)
-    return rank_select(df, [], keys, lambda _: F.lit(n), seed).filter("_sel").drop("_sel")
+    """Exactly ``min(n, rows)`` rows without replacement, seeded, in no particular order; ``keys`` are unique."""
+    return rank_select(df, [], _hashed(keys, seed), lambda _: F.lit(n)).filter("_sel").drop("_sel")
 
 
-def stratified_split(
-    df: DataFrame, strata: Sequence[str], keys: Sequence[str], frac: float = 0.8, seed: int = DEFAULT_SEED,
-    materialise_base: bool = False,
-) -> DataFrame:
+def stratified_split(df: DataFrame, strata: Sequence[str], keys: Sequence[str], frac: float = 0.8, seed: int = DEFAULT_SEED) -> DataFrame:
     """Per stratum, the first ⌊frac·n⌋ rows by hash are ``train``, the rest ``test`` (adds ``split``)."""
-    sel = rank_select(df, strata, keys, lambda n: F.floor(n * F.lit(frac)), seed, materialise_base=materialise_base)
+    sel = rank_select(df, strata, _hashed(keys, seed), lambda n: F.floor(n * F.lit(frac)))
     return sel.withColumn("split", F.when(F.col("_sel"), "train").otherwise("test")).drop("_sel")
 
 
-def train_test(
-    df: DataFrame, keys: Sequence[str], test: float = 0.2, seed: int = DEFAULT_SEED, materialise_base: bool = False
-) -> DataFrame:
+def train_test(df: DataFrame, keys: Sequence[str], test: float = 0.2, seed: int = DEFAULT_SEED) -> DataFrame:
     """One seeded split; the test side has ⌈test·n⌉ rows (adds ``split``)."""
-    sel = rank_select(df, [], keys, lambda n: n - F.ceil(n * F.lit(test)), seed, materialise_base=materialise_base)
+    sel = rank_select(df, [], _hashed(keys, seed), lambda n: n - F.ceil(n * F.lit(test)))
     return sel.withColumn("split", F.when(F.col("_sel"), "train").otherwise("test")).drop("_sel")
 
 
-def cap_per_group(
-    df: DataFrame, group: str, cap: int, keys: Sequence[str], seed: int = DEFAULT_SEED, materialise_base: bool = False
-) -> DataFrame:
+def cap_per_group(df: DataFrame, group: str, cap: int, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """At most ``cap`` rows per group (0 = no cap), chosen in hash order."""
     if cap <= 0:
         return df
-    sel = rank_select(df, [group], keys, lambda _: F.lit(cap), seed, materialise_base=materialise_base)
-    return sel.filter("_sel").drop("_sel")
+    return rank_select(df, [group], _hashed(keys, seed), lambda _: F.lit(cap)).filter("_sel").drop("_sel")
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED) -> DataFrame:
@@ -154,59 +106,11 @@ def shuffled(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED) -> Da
     return df.withColumn("shuffle_key", order_hash(keys, seed)).orderBy("shuffle_key", *keys)
 
 
-HEAD_BUCKETS = 4096
-HEAD_EDGE_MAX_ROWS = 1_000_000
-
-
-def _int_div(num: Column, den: int) -> Column:
-    """Floor division of a non-negative DECIMAL(20,0) column by a positive integer, as a long."""
-    return F.floor(num / F.lit(den).cast("decimal(20,0)")).cast("long")
-
-
-def head_n(df: DataFrame, n: int, key: str) -> DataFrame:
+def head_n(df: DataFrame, n: int, key: str | Sequence[str]) -> DataFrame:
     """First n rows by ``key`` ascending, nulls first (Spark has no file order).
 
-    When n × input partitions is small this is a top-n (``TakeOrderedAndProject``).  Otherwise, for an
-    integer key, the cut is found by narrowing key ranges with aggregates only: each round is one pass that
-    counts rows in ``HEAD_BUCKETS`` equal-width key ranges (at most that many rows reach the driver) and keeps
-    the range that holds the n-th row.  Rows below that range are taken by a filter; only the boundary
-    range, once it holds at most ``HEAD_EDGE_MAX_ROWS`` rows, goes through a top-n.  No task merges n rows from
-    every partition.
+    ``key`` is a column or, where it has ties, several columns that are unique together: rows that tie at the cut are taken together.
     """
-    from pyspark.sql import types as T
-
-    parts = _partitions(df)
-    integral = isinstance(df.schema[key].dataType, T.IntegralType)
-    if parts is None or n * parts <= TOPN_MERGE_MAX_ROWS or not integral:
-        return df.orderBy(key).limit(n)
-    k = F.col(key)
-    lo, hi, total, nulls = df.agg(F.min(k), F.max(k), F.count(F.lit(1)), F.count_if(k.isNull())).first()
-    if total <= n:
-        return df
-    if nulls >= n:
-        return df.filter(k.isNull()).limit(n)
-    need = n - nulls
-    d = df.filter(k.isNotNull())
-    while True:
-        width = (hi - lo) // HEAD_BUCKETS + 1
-        # exact integer division (DECIMAL(20,0) cannot overflow on key − min), so the buckets counted here
-        # and the integer bounds computed below agree at every edge
-        offset = k.cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
-        bucket = _int_div(offset, width)
-        hist = sorted(
-            (r[0], r[1])
-            for r in d.filter((k >= lo) & (k <= hi)).groupBy(bucket.alias("_b")).agg(F.count(F.lit(1))).collect()
-        )
-        before = 0
-        for b, c in hist:
-            if before + c >= need:
-                break
-            before += c
-        blo, bhi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-        need -= before
-        if c <= HEAD_EDGE_MAX_ROWS or width == 1:
-            break
-        lo, hi = blo, bhi
-    below = d.filter(k < blo)
-    edge = d.filter((k >= blo) & (k <= bhi)).orderBy(key).limit(need)
-    return df.filter(k.isNull()).unionByName(below).unionByName(edge)
+    keys = [key] if isinstance(key, str) else list(key)
+    order = {f"_o{i}": F.col(k) for i, k in enumerate(keys)}
+    return rank_select(df, [], order, lambda _: F.lit(n)).filter("_sel").drop("_sel")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.functions.text import WS_RUN, clean_text
+from starlens.functions.text import WS_RUN, clean_text, merge_text
 
 # Negation words (cleaned text has no apostrophes).
 NEGATORS = (
@@ -99,7 +99,11 @@ def score_texts(df: DataFrame, keys, clean_col: str, lexicon: DataFrame, carry=(
     but = F.when(but_pos == 0, 1.0).when(pos < but_pos, BUT_BEFORE).when(pos > but_pos, BUT_AFTER).otherwise(1.0)
     v = F.coalesce(F.col("valence"), F.lit(0.0))
     x = F.when(v == 0, F.lit(0.0)).otherwise((v + F.signum(v) * boost) * F.pow(F.lit(NEGATION), negs) * but)
-    g = d.groupBy(*keys, *carry, "n_words").agg(F.sum(x).alias("_s"))
+    # a text has one first token (or none at all): more of them under one key are several rows of that key
+    texts = F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0)
+    g = d.groupBy(*keys, *carry, "n_words").agg(F.sum(x).alias("_sum"), texts.alias("_texts"))
+    twice = F.raise_error(F.lit("score_texts: equal rows share a key; add one with with_review_key"))
+    g = g.withColumn("_s", F.when(F.col("_texts") > 1, twice.cast("double")).otherwise(F.col("_sum"))).drop("_sum", "_texts")
     s = F.col("_s")
     return g.withColumn("sentiment", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s / F.sqrt(s * s + ALPHA)))).drop("_s")
 
@@ -121,25 +125,30 @@ def sentences(df: DataFrame, key: str = "review_id", text: str = "text") -> Data
 
 
 def lexicon_star_scorer(lexicon: DataFrame):
-    """A sentence scorer: compound sentiment of the cleaned sentence mapped to 1..5 stars."""
+    """A sentence scorer: compound sentiment of the cleaned sentence mapped to 1..5 stars; without a word there is no score."""
 
     def score(sent: DataFrame) -> DataFrame:
         d = sent.withColumn("_clean", clean_text("sentence"))
-        scored = score_texts(d, ["review_id", "pos"], "_clean", lexicon)
+        key = sent.columns[0]
+        scored = score_texts(d, [key, "pos"], "_clean", lexicon)
         star = (F.floor((F.col("sentiment") + 1.0) * 2.5) + 1).cast("int")
-        return scored.withColumn("star", F.least(F.lit(5), F.greatest(F.lit(1), star)))
+        status = F.when(F.col("n_words") > 0, "scored").otherwise("default")
+        return scored.withColumn("star", F.least(F.lit(5), F.greatest(F.lit(1), star))).withColumn("star_status", status)
 
     return score
 
 
-def predict_stars(df: DataFrame, scorer, key: str = "review_id", text: str = "text") -> DataFrame:
-    """Split into sentences, score each 1..5, mean per review, round half-to-even; no score → 3.
+def predict_stars(df: DataFrame, scorer, key: str = "review_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """Split into sentences, score each 1..5, mean of the scored ones per review, round half-to-even; no score → 3.
 
-    ``predict_status`` tells a real 3 from the default.
+    With ``title`` the merged "title. text" is scored.  ``scorer`` maps (key, pos, sentence) to a frame with ``star`` and
+    ``star_status``; only rows with status ``scored`` count, and ``predict_status`` tells a real 3 from the default.
     """
-    sent = scorer(sentences(df, key, text))
-    per = sent.groupBy(key).agg(F.bround(F.avg("star"), 0).cast("int").alias("_stars"))
-    out = df.join(per, key, "left")
+    d = df.select(key, (merge_text(title, text, ". ", strip=True) if title else F.col(text)).alias("_full"))
+    sent = scorer(sentences(d, key, "_full"))
+    stars = F.when(F.col("star_status") == "scored", F.col("star"))
+    per = sent.groupBy(F.col(key).alias("_rk")).agg(F.bround(F.avg(stars), 0).cast("int").alias("_stars"))
+    out = df.join(per, F.col(key) == F.col("_rk"), "left").drop("_rk")
     return out.withColumn(
         "predict_status", F.when(F.col("_stars").isNull(), "default").otherwise("scored")
     ).withColumn("predict_stars", F.coalesce(F.col("_stars"), F.lit(3))).drop("_stars")
@@ -149,9 +158,8 @@ def arrow_scorer(load_model, batch_size: int = 40):
     """Plug-in point for a user's own sentence model (e.g. a transformer run with onnxruntime).
 
     ``load_model()`` runs once per task and returns ``predict(list[str]) -> list[int]`` (stars 1..5).
-    Sentences reach it in Arrow batches of ``batch_size`` through an iterator ``pandas_udf`` — the batched
-    inference of the reference, distributed over executors.  A batch that raises is scored 3 and flagged
-    (``star_status = 'default'``) instead of silently looking like a real 3.
+    Sentences reach it ``batch_size`` at a time through an iterator ``pandas_udf``, whatever the session's Arrow batch size is.  Blank
+    sentences and a batch that raises have no score (``star_status = 'default'``) instead of silently looking like a real 3.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -159,15 +167,55 @@ def arrow_scorer(load_model, batch_size: int = 40):
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predict = load_model()
         for texts in batches:
-            try:
-                stars = [int(s) for s in predict(texts.fillna("").tolist())]
-                yield pd.DataFrame({"star": stars, "star_status": ["scored"] * len(stars)})
-            except Exception:
-                yield pd.DataFrame({"star": [3] * len(texts), "star_status": ["default"] * len(texts)})
+            stars: list[int | None] = [None] * len(texts)
+            asked = [i for i, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+            values = texts.tolist()
+            for at in range(0, len(asked), batch_size):
+                part = asked[at : at + batch_size]
+                try:
+                    got = [int(x) for x in predict([values[i] for i in part])]
+                except Exception:  # the user's model: this batch has no score
+                    continue
+                for i, x in zip(part, got):
+                    stars[i] = x
+            yield pd.DataFrame({"star": pd.array(stars, "Int32"), "star_status": ["scored" if x is not None else "default" for x in stars]})
 
     def score(sent: DataFrame) -> DataFrame:
-        sent.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
         out = sent.withColumn("_s", _score(F.col("sentence")))
         return out.select("*", "_s.star", "_s.star_status").drop("_s")
 
     return score
+
+
+TRAIN_ROWS = 100_000  # labelled reviews a star model is fitted on, at most
+
+
+def fit_star_model(df: DataFrame, text: str, rating: str, stop, keys, max_rows: int = TRAIN_ROWS, vocab_size: int = 20_000, seed: int = 42):
+    """TF-IDF and multinomial logistic regression on a seeded sample of at most ``max_rows`` rated reviews (the bound is this parameter)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, CountVectorizer
+
+    from starlens.operators.models import tokenise_stages
+    from starlens.operators.sampling import sample_n
+
+    rated = df.select(*keys, F.col(text).alias("sentence"), F.col(rating).cast("double").alias("_label")).where("_label between 1 and 5 and sentence is not null")
+    train = sample_n(rated, max_rows, list(keys), seed)
+    stages = [
+        *tokenise_stages("sentence", stop),
+        CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=vocab_size, minDF=2.0),
+        IDF(inputCol="_tf", outputCol="_idf"),
+        LogisticRegression(featuresCol="_idf", labelCol="_label", predictionCol="_star", maxIter=20, regParam=0.01, family="multinomial"),
+    ]
+    return Pipeline(stages=stages).fit(train)
+
+
+def model_star_scorer(model):
+    """A sentence scorer from ``fit_star_model``; a sentence without a token has no score."""
+
+    def score(sent: DataFrame) -> DataFrame:
+        out = model.transform(sent.withColumn("sentence", F.coalesce("sentence", F.lit(""))))
+        status = F.when(F.size("_words") > 0, "scored").otherwise("default")
+        return out.select(*sent.columns, F.col("_star").cast("int").alias("star"), status.alias("star_status"))
+
+    return score

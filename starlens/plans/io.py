@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from starlens.plans.fixtures_sql import REVIEW_TEXTS, with_ctes, word_count_sql
 from starlens.plans.products import PRODUCT_CTES, product_stats_df
 from starlens.plans.registry import register
-from starlens.session import scratch_path
+from starlens.functions import features as X
+from starlens.operators import sampling as S
+from starlens.operators.prepare import with_review_key
+from starlens.session import materialise, scratch_path
 from starlens.sources import readers as RD
 from starlens.sources import sinks as SK
-from starlens.sources.schema import NA_STRINGS
-from starlens.sources.tables import review_texts
-from starlens.streaming.ingest import job_metrics, stream_ingest, stream_monthly_trend, unseen_files
+from starlens.sources.schema import NA_STRINGS, PROJECTED_REVIEW, has_column, schema_check
+from starlens.sources.tables import review_texts, table
+from starlens.streaming.ingest import job_metrics, read_latest, stream_ingest, stream_monthly_trend, unseen_files
 
 _VSTR = "CASE WHEN verified_purchase THEN 'true' ELSE 'false' END"
 
@@ -104,6 +107,17 @@ def preview(spark, sf):
     return RD.preview(scored_records(spark, sf), 5, order_by="review_id")
 
 
+@register(
+    "preview_fields",
+    with_ctes(REVIEW_TEXTS) + " SELECT CAST(review_id AS VARCHAR) AS review_id, asin, CAST(rating AS VARCHAR) AS rating, user_id, true AS several_lines FROM review_texts ORDER BY review_texts.review_id LIMIT 5",
+)
+def preview_fields(spark, sf):
+    """SRC-8, checked: the five pretty-printed records parse back to the first five reviews."""
+    r = preview(spark, sf)
+    get = lambda c: F.get_json_object("record", f"$.{c}").alias(c)
+    return r.select(*map(get, ("review_id", "asin", "rating", "user_id")), F.contains("record", F.lit("\n")).alias("several_lines"))
+
+
 def _na(expr: str) -> str:
     na = ", ".join("'" + v.replace("'", "''") + "'" for v in NA_STRINGS)
     return f"CASE WHEN {expr} IN ({na}) THEN NULL ELSE {expr} END"
@@ -147,6 +161,168 @@ def tolerant_read(spark, sf):
     ).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# A landing of dirty lines, by review_id % 12: 0 plain, 1 quoted vote, 2 fractional timestamp, 3 flag as 1, 4 number as text and images
+# that are no list, 5 rating NaN, 6 rating 1e12, 7 cut-off line, 8 no rating, 9 rating "4.0", 10 blank line, 11 rating 3.0
+def _dirty_lines(spark, sf):
+    v, i = F.col("review_id") % 12, F.col("review_id").cast("string")
+    rating = (
+        F.when(v == 5, '"rating": NaN, ').when(v == 6, '"rating": 1e12, ').when(v == 8, "").when(v == 9, '"rating": "4.0", ')
+        .when(v == 11, '"rating": 3.0, ').otherwise('"rating": 5, ')
+    )
+    line = F.concat(
+        F.lit('{"user_id": "U'), i, F.lit('", '), rating,
+        F.when(v == 1, '"helpful_vote": "3", ').otherwise('"helpful_vote": 3, '),
+        F.when(v == 2, F.concat(F.lit('"timestamp": '), i, F.lit(".75, "))).otherwise(F.concat(F.lit('"timestamp": '), i, F.lit(", "))),
+        F.when(v == 3, '"verified_purchase": 1, ').otherwise('"verified_purchase": true, '),
+        F.when(v == 4, '"images": "none", "text": 7').otherwise('"images": [{"small_image_url": "u"}], "text": "seven"'),
+        F.lit("}"),
+    )
+    value = F.when(v == 7, F.substring(line, 1, 30)).when(v == 10, "").otherwise(line)
+    path = scratch_path(spark, "reviews-mixed")
+    table(spark, sf, "documents").select(F.col("doc_id").alias("review_id")).select(value.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+@register(
+    "tolerant_types",
+    """SELECT 'U' || doc_id AS user_id, CASE doc_id % 12 WHEN 9 THEN 4 WHEN 11 THEN 3 ELSE 5 END AS rating, CAST(3 AS BIGINT) AS helpful_vote,
+       doc_id AS timestamp, true AS verified_purchase, CASE WHEN doc_id % 12 = 4 THEN '7' ELSE 'seven' END AS text,
+       CASE WHEN doc_id % 12 = 4 THEN 0 ELSE 1 END AS n_images
+  FROM documents WHERE doc_id % 12 NOT IN (5, 6, 7, 8, 10)""",
+)
+def tolerant_types(spark, sf):
+    """SRC-2 / PRJ-1: mistyped fields are converted one by one; only lines without a usable rating or object are left out."""
+    good, _ = RD.read_reviews_tolerant(spark, _dirty_lines(spark, sf))
+    p = RD.review_projection(good.select("*", F.lit(None).alias("category")))
+    return good.select(
+        "user_id", X.to_int("rating").alias("rating"), "helpful_vote", "timestamp", "verified_purchase", "text", F.coalesce(F.size("images"), F.lit(0)).alias("n_images")
+    ).join(p.select("user_id"), "user_id")
+
+
+@register(
+    "tolerant_lines",
+    """SELECT count(*) AS n_lines, count_if(doc_id % 12 NOT IN (5, 6, 7, 8, 10)) AS n_good, count_if(doc_id % 12 NOT IN (5, 6, 7, 8, 10)) AS n_good_counted,
+       count_if(doc_id % 12 IN (7, 10)) AS n_unparsable, count_if(doc_id % 12 IN (5, 6, 8)) AS n_bad_rating FROM documents""",
+)
+def tolerant_lines(spark, sf):
+    """SRC-2: good rows and rejects are all lines, however many columns are read."""
+    path = _dirty_lines(spark, sf)
+    good, rejects = RD.read_reviews_tolerant(spark, path)
+    whole = good.agg(F.count(F.to_json(F.struct(*good.columns))).alias("n_good"))  # reads every column
+    why = rejects.agg(
+        F.count_if(F.col("reject_reason") == "unparsable").alias("n_unparsable"), F.count_if(F.col("reject_reason") == "bad_rating").alias("n_bad_rating")
+    )
+    lines = spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
+    counted = spark.createDataFrame([(good.count(),)], "n_good_counted long")
+    one = lambda d: d.withColumn("k", F.lit(1))  # noqa: E731  four one-row frames side by side
+    return one(lines).join(one(whole), "k").join(one(counted), "k").join(one(why), "k").drop("k")
+
+
+def _shards(spark, sf):
+    """JSONL shards named <category>_<verified>.jsonl, as folders."""
+    rec = scored_records(spark, sf)
+    flag = F.when(F.col("verified_purchase"), "true").otherwise("false")
+    path = scratch_path(spark, "named-shards")
+    rec.withColumn("shard", F.concat(F.col("category"), F.lit("_"), flag, F.lit(".jsonl"))).drop("category").write.partitionBy("shard").json(path)
+    return path
+
+
+@register(
+    "category_from_file",
+    with_ctes(REVIEW_TEXTS) + " SELECT category, CASE WHEN verified_purchase THEN 'true' ELSE 'false' END AS flag, count(*) AS n_rows FROM review_texts GROUP BY 1, 2",
+)
+def category_from_file(spark, sf):
+    """SRC-3: category and flag from the shard's name."""
+    raw = RD.read_reviews_jsonl(spark, _shards(spark, sf), scored=True)
+    d = RD.with_category(RD.with_category(raw), group=3, name="flag")
+    return d.groupBy("category", "flag").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register(
+    "union_categories",
+    with_ctes(REVIEW_TEXTS) + " SELECT category, count(*) AS n_rows, count(DISTINCT review_id) AS n_ids, count_if(category = 'en') AS n_with_topic FROM review_texts GROUP BY category",
+)
+def union_categories(spark, sf):
+    """SRC-5: one frame per category, with different columns, stacked by name."""
+    rec = review_texts(spark, sf)
+    names = [r[0] for r in rec.select("category").distinct().orderBy("category").collect()]  # one name per category table
+    frames = {n: rec.where(F.col("category") == n).select("review_id", *(["topic"] if n == "en" else [])) for n in names}
+    u = RD.union_categories(frames)
+    return u.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("review_id").alias("n_ids"), F.count("topic").alias("n_with_topic")
+    )
+
+
+@register(
+    "schema_check",
+    """SELECT * FROM (VALUES ('rating', 'int', 'int', 'ok'), ('text_word_length', 'int', 'int', 'ok'), ('helpful_vote', 'bigint', 'bigint', 'ok'),
+       ('verified_purchase', 'int', 'string', 'type_mismatch'), ('predict_stars', 'int', NULL, 'missing'), ('asin', 'string', 'string', 'ok'),
+       ('parent_asin', 'string', 'string', 'ok'), ('user_id', 'string', 'string', 'ok'), ('timestamp', 'bigint', 'bigint', 'ok'),
+       ('title', 'string', 'string', 'ok'), ('text', 'string', 'string', 'ok'), ('extra', NULL, 'double', 'unexpected'))
+       AS t("column", expected, actual, status)""",
+)
+def schema_check_q(spark, sf):
+    """SRC-7: a projected table with one column of another type, one missing and one too many."""
+    p = RD.review_projection(review_texts(spark, sf))
+    p = p.withColumn("verified_purchase", F.col("verified_purchase").cast("string")).drop("predict_stars").withColumn("extra", F.lit(0.5))
+    return schema_check(p, PROJECTED_REVIEW)
+
+
+@register(
+    "optional_column_guard",
+    with_ctes(REVIEW_TEXTS)
+    + f""" SELECT 'with' AS source, {_VSTR} AS verified_purchase, count(*) AS n_rows FROM review_texts GROUP BY 1, 2
+  UNION ALL SELECT 'without', 'all', count(*) FROM review_texts""",
+)
+def optional_column_guard(spark, sf):
+    """PRJ-3: the per-verification counts run only where the column exists; the total stands in for them elsewhere."""
+    rec = review_texts(spark, sf)
+
+    def counts(df, name):
+        flag = F.col("verified_purchase").cast("string") if has_column(df, "verified_purchase") else F.lit("all")
+        return df.groupBy(flag.alias("verified_purchase")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("source"), "*")
+
+    return counts(rec, "with").unionByName(counts(rec.drop("verified_purchase"), "without"))
+
+
+@register(
+    "manifest_incremental",
+    with_ctes(REVIEW_TEXTS)
+    + """ SELECT 'known' AS state, category, count(*) AS n_rows FROM review_texts WHERE review_id % 3 <> 0 GROUP BY 2
+  UNION ALL SELECT 'new', category, count(*) FROM review_texts WHERE review_id % 3 = 0 GROUP BY 2""",
+)
+def manifest_incremental(spark, sf):
+    """SRC-9: lines per file; after more files have landed beside files of the same names, only those are counted."""
+    path = scratch_path(spark, "manifest")
+    rec = scored_records(spark, sf)
+    land = lambda cond: rec.filter(cond).coalesce(1).write.mode("append").partitionBy("category").json(path)
+    read = lambda: RD.read_reviews_jsonl(spark, path, scored=True).select("_metadata")
+    land(F.col("review_id") % 3 != 0)
+    known = materialise(RD.line_manifest(read()), "manifest-known")
+    land(F.col("review_id") % 3 == 0)
+    new = RD.line_manifest(read(), known)
+    both = known.withColumn("state", F.lit("known")).unionByName(new.withColumn("state", F.lit("new")))
+    category = F.regexp_extract("file_name", r"category=([^/]+)", 1)
+    return both.groupBy("state", category.alias("category")).agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+
+
+@register(
+    "train_test_shards",
+    with_ctes(REVIEW_TEXTS)
+    + f""", n AS (SELECT category, {_VSTR} AS verified_purchase, count(*) AS c FROM review_texts GROUP BY 1, 2)
+  SELECT category, verified_purchase, 'train' AS split, CAST(floor(c * 0.8) AS BIGINT) AS n_rows FROM n WHERE floor(c * 0.8) > 0
+  UNION ALL SELECT category, verified_purchase, 'test', c - CAST(floor(c * 0.8) AS BIGINT) FROM n""",
+)
+def train_test_shards(spark, sf):
+    """SPL-1 + SNK-1: four shards per category (train and test, verified and not), written and counted by path."""
+    split = S.stratified_split(scored_records(spark, sf), ["category", "verified_purchase"], ["review_id"], 0.8)
+    path = scratch_path(spark, "split-shards")
+    SK.write_partitioned(split, path, fmt="json")
+    m = RD.line_manifest(RD.read_reviews_jsonl(spark, path, scored=True).select("_metadata"))
+    part = lambda c: F.regexp_extract("file_name", rf"{c}=([^/]+)", 1).alias(c)
+    return m.groupBy(part("category"), part("verified_purchase"), part("split")).agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+
+
 @register(
     "product_stats_csv",
     PRODUCT_CTES + " SELECT s.*, m.topic FROM stats s LEFT JOIN modes m USING (asin)",
@@ -223,23 +399,63 @@ def file_status(spark, sf):
     _land_stream_source(spark, sf, F.col("review_id") % 3 == 1, path=src)
     stream_ingest(spark, src, dst, ck, status=st, schema=schema, max_files=2)
     _land_stream_source(spark, sf, F.col("review_id") % 3 == 2, path=src)  # arrives after the last run
+    return _status(spark, src, st, schema).groupBy("status").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+
+
+def _status(spark, src, st, schema):
     listed = (
         spark.read.schema(schema).json(src)
-        .select(F.col("_metadata.file_name").alias("source_file"))
+        .select(F.col("_metadata.file_path").alias("source_file"))
         .groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
     )
     done = spark.read.parquet(st).select("source_file", "n_rows", "status")
     pending = unseen_files(listed, done, "source_file").withColumn("status", F.lit("pending"))
-    return done.unionByName(pending).groupBy("status").agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
+    return done.unionByName(pending)
+
+
+@register(
+    "file_status_partitioned",
+    with_ctes(REVIEW_TEXTS)
+    + " SELECT CASE WHEN review_id % 2 = 1 THEN 'pending' ELSE 'done' END AS status, category, count(*) AS n_rows FROM review_texts GROUP BY 1, 2",
+)
+def file_status_partitioned(spark, sf):
+    """STR-3 / JON-4 over partition folders in which one write gives all files the same name: files are known by their path."""
+    schema = scored_records(spark, sf).schema
+    src = scratch_path(spark, "part-status-src")
+    rec = scored_records(spark, sf)
+    land = lambda cond: rec.filter(cond).coalesce(1).write.mode("append").partitionBy("category").json(src)
+    dst, ck, st = scratch_path(spark, "part-status-dst"), scratch_path(spark, "part-status-ckpt"), scratch_path(spark, "part-status")
+    land(F.col("review_id") % 2 == 0)
+    stream_ingest(spark, src, dst, ck, status=st, schema=schema, max_files=1)
+    land(F.col("review_id") % 2 == 1)
+    category = F.regexp_extract("source_file", r"category=([^/]+)", 1)
+    return _status(spark, src, st, schema).groupBy("status", category.alias("category")).agg(F.sum("n_rows").cast("bigint").alias("n_rows"))
 
 
-@register("stream_metrics")
+@register("stream_metrics", with_ctes(REVIEW_TEXTS) + " SELECT count(*) AS num_input_rows, true AS several_batches, true AS timed FROM review_texts")
 def stream_metrics(spark, sf):
-    """STR-4: rows and throughput per micro-batch (input rows sum to the table's rows)."""
+    """STR-4: rows and throughput of every micro-batch, from the written metrics table; input rows add up to the table's rows."""
     src = _land_stream_source(spark, sf)
     dst, ck = scratch_path(spark, "metrics-dst"), scratch_path(spark, "metrics-ckpt")
-    q = stream_ingest(spark, src, dst, ck, schema=scored_records(spark, sf).schema, max_files=1)
-    return job_metrics(spark, q)
+    stream_ingest(spark, src, dst, ck, schema=scored_records(spark, sf).schema, max_files=1)
+    m = job_metrics(spark, dst + "_status")
+    return m.agg(
+        F.sum("num_input_rows").alias("num_input_rows"), (F.count_distinct("batch_id") > 1).alias("several_batches"),
+        F.coalesce(F.min((F.col("processed_rows_per_second") > 0) & (F.col("duration_ms") >= 0)), F.lit(False)).alias("timed"),
+    )
+
+
+@register(
+    "review_key",
+    with_ctes(REVIEW_TEXTS)
+    + " SELECT asin, count(*) + 2 * count_if(review_id % 5 = 0) AS n_rows, count(*) + 2 * count_if(review_id % 5 = 0) AS n_keys FROM review_texts GROUP BY asin",
+)
+def review_key(spark, sf):
+    """A key for raw reviews that have none: every fifth one is there three times, and each copy has a key of its own."""
+    raw = scored_records(spark, sf).drop("review_id", "category", "predict_stars")
+    fifth = scored_records(spark, sf).where(F.col("review_id") % 5 == 0).drop("review_id", "category", "predict_stars")
+    keyed = with_review_key(raw.unionByName(fifth).unionByName(fifth))
+    return keyed.groupBy("asin").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("review_id").alias("n_keys"))
 
 
 @register(
@@ -259,5 +475,5 @@ def stream_monthly_trend_q(spark, sf):
     stream_monthly_trend(spark, src, dst, ck, schema=schema, max_files=2)
     _land_stream_source(spark, sf, F.col("review_id") % 2 == 1, path=src)
     stream_monthly_trend(spark, src, dst, ck, schema=schema, max_files=2)  # resumes from the state store
-    return spark.read.parquet(dst)
+    return read_latest(spark, dst)
 

@@ -8,7 +8,7 @@ from starlens.functions import features as X
 from starlens.operators import products as P
 from starlens.operators import sampling as S
 from starlens.operators import sentiment as SE
-from starlens.plans.fixtures_sql import LEXICON, REVIEW_TEXTS, WS, with_ctes, word_count_sql
+from starlens.plans.fixtures_sql import LEXICON, REVIEW_TEXTS, WS, strip_sql, with_ctes, word_count_sql
 from starlens.plans.registry import register
 from starlens.plans.texts import clean_text_sql
 from starlens.sources.tables import lexicon, review_texts
@@ -161,12 +161,18 @@ def sentence_split(spark, sf):
     return SE.sentences(review_texts(spark, sf))
 
 
+# the merged "title. text", each side stripped
+_MERGED_SENT_CTE = _SENT_CTE.replace("coalesce(text, '')", "coalesce(merged, '')").replace(
+    "FROM review_texts", f"FROM (SELECT review_id, concat_ws('. ', nullif({strip_sql('title')}, ''), nullif({strip_sql('text')}, '')) AS merged FROM review_texts)"
+)
+
+
 def _star_sql() -> str:
-    """Sentence stars with the lexicon scorer, mean per review, half-even round, default 3."""
+    """Sentence stars with the lexicon scorer on title and text, mean of the sentences with a word, half-even round, default 3."""
     return with_ctes(
         REVIEW_TEXTS,
         LEXICON,
-        _SENT_CTE,
+        _MERGED_SENT_CTE,
         f"sclean AS (SELECT review_id, pos, {clean_text_sql('sentence')} AS c FROM sents)",
         f"""stoks AS (SELECT review_id, pos, unnest(l) AS tok, unnest(range(1, len(l) + 1)) AS tpos
           FROM (SELECT review_id, pos, list_filter(regexp_split_to_array(c, '{WS}+'), lambda w: w <> '') AS l FROM sclean))""",
@@ -186,7 +192,7 @@ def _star_sql() -> str:
         f"""sstar AS (SELECT c.review_id, c.pos,
              least(5, greatest(1, CAST(floor((greatest(-1.0, least(1.0, coalesce(s.s, 0.0)
                / sqrt(coalesce(s.s, 0.0) * coalesce(s.s, 0.0) + {SE.ALPHA}))) + 1.0) * 2.5) AS INT) + 1)) AS star
-          FROM sclean c LEFT JOIN ssum s ON c.review_id = s.review_id AND c.pos = s.pos)""",
+          FROM sclean c JOIN ssum s ON c.review_id = s.review_id AND c.pos = s.pos)""",
         "per AS (SELECT review_id, CAST(round_even(avg(star), 0) AS INT) AS stars FROM sstar GROUP BY review_id)",
     ) + """
   SELECT r.review_id, r.rating, coalesce(p.stars, 3) AS predict_stars,
@@ -209,12 +215,73 @@ def sentence_counts(spark, sf):
 
 @register("star_rollup", _star_sql())
 def star_rollup(spark, sf):
-    """ML-6: per-sentence stars (lexicon scorer) → mean → half-even round → default 3 with a status column."""
-    d = review_texts(spark, sf).select("review_id", "text", "rating")
-    out = SE.predict_stars(d, SE.lexicon_star_scorer(lexicon(spark, sf)))
+    """ML-6: per-sentence stars (lexicon scorer) of "title. text" → mean → half-even round → default 3 with a status column."""
+    d = review_texts(spark, sf).select("review_id", "title", "text", "rating")
+    out = SE.predict_stars(d, SE.lexicon_star_scorer(lexicon(spark, sf)), title="title")
     return out.select("review_id", "rating", "predict_stars", "predict_status")
 
 
+_STAR_BY_ASIN = _star_sql().replace("SELECT r.review_id, r.rating,", ", stars AS (SELECT r.review_id, r.asin,", 1) + """)
+  SELECT asin, count(*) AS n_rows, CAST(sum(predict_stars) AS BIGINT) AS sum_stars, count_if(predict_status = 'default') AS n_default FROM stars GROUP BY asin"""
+
+
+@register("score_job", _STAR_BY_ASIN)
+def score_job(spark, sf):
+    """The scoring job: raw JSON lines (some broken) → title and text scored in a stream → JSON lines; resumed twice, adding nothing the second time."""
+    from starlens.plans.io import scored_records
+    from starlens.session import scratch_path
+    from starlens.streaming.ingest import stream_score
+
+    raw = scored_records(spark, sf).drop("predict_stars", "category")
+    src, dst, ck = (scratch_path(spark, f"score-{x}") for x in ("src", "dst", "ckpt"))
+    broken = lambda d: d.select(F.to_json(F.struct(*[c for c in d.columns if c != "review_id"])).alias("value")).unionByName(d.limit(3).select(F.lit('{"rating": 1, "te').alias("value")))
+    scorer = SE.lexicon_star_scorer(lexicon(spark, sf))
+    broken(raw.where("review_id % 2 = 0")).write.mode("append").text(src)
+    stream_score(spark, src, dst, ck, scorer)
+    broken(raw.where("review_id % 2 = 1")).write.mode("append").text(src)
+    stream_score(spark, src, dst, ck, scorer)
+    stream_score(spark, src, dst, ck, scorer)
+    out = spark.read.schema("asin string, predict_stars int, predict_status string").json(dst)
+    return out.groupBy("asin").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("predict_stars").alias("sum_stars"), F.count_if(F.col("predict_status") == "default").alias("n_default")
+    )
+
+
+STAR_TRAIN_ROWS = 400
+
+
+@register(
+    "star_trained",
+    with_ctes(REVIEW_TEXTS) + f" SELECT count(*) AS n_reviews, CAST(0 AS BIGINT) AS n_outside, least(count_if(rating IS NOT NULL AND text IS NOT NULL), {STAR_TRAIN_ROWS}) AS n_train, true AS has_scores FROM review_texts",
+)
+def star_trained(spark, sf):
+    """ML-6 with a trained sentence scorer: TF-IDF and logistic regression on at most 400 rated reviews, applied to all."""
+    from starlens.operators.vocab import STOP_WORDS_EN
+
+    d = review_texts(spark, sf).select("review_id", "title", "text", "rating")
+    model = SE.fit_star_model(d, "text", "rating", STOP_WORDS_EN, ["review_id"], max_rows=STAR_TRAIN_ROWS)
+    out = SE.predict_stars(d, SE.model_star_scorer(model), title="title")
+    n_train = S.sample_n(d.where("rating is not null and text is not null").select("review_id"), STAR_TRAIN_ROWS, ["review_id"]).count()
+    return out.agg(
+        F.count(F.lit(1)).alias("n_reviews"), F.count_if(~F.col("predict_stars").between(1, 5)).alias("n_outside"),
+        F.lit(n_train).cast("bigint").alias("n_train"), (F.count_if(F.col("predict_status") == "scored") > 0).alias("has_scores"),
+    )
+
+
+HEAD_SMALL = 40
+
+
+@register(
+    "head_small_negative",
+    SENTIMENT_CTES
+    + f" SELECT review_id, round(sentiment, 6) AS sentiment FROM scored WHERE sentiment < 0 ORDER BY round(scored.sentiment, 12), review_id LIMIT {HEAD_SMALL}",
+)
+def head_small_negative(spark, sf):
+    """SMP-2 with a limit that binds: the 40 most negative reviews, ties by key."""
+    d = _sentiment(spark, sf).withColumn("sentiment", F.round("sentiment", 12)).filter(F.col("sentiment") < 0)
+    return S.head_n(d, HEAD_SMALL, ["sentiment", "review_id"]).select("review_id", F.round("sentiment", 6).alias("sentiment"))
+
+
 @register("reputation_risk", PRODUCT_CTES + " SELECT asin, reputation_risk FROM stats")
 def reputation_risk(spark, sf):
     """AGG-20: n / (negatives + 1) · |mean sentiment| per product, from built-in aggregates."""

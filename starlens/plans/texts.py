@@ -36,13 +36,17 @@ def _hash_sql(key: str = "review_id", seed: int = S.DEFAULT_SEED) -> str:
     return f"md5(concat_ws('|', '{seed}', CAST({key} AS VARCHAR)))"
 
 
+# Character references of the driver tables, as text
+_REFS_SQL = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
+
+
 def strip_html_sql(expr: str) -> str:
     e = f"regexp_replace({expr}, '(?s)<!--.*?-->', '', 'g')"
     e = f"regexp_replace({e}, '(?is)<script[^>]*>.*?</script>', '', 'g')"
     e = f"regexp_replace({e}, '(?is)<style[^>]*>.*?</style>', '', 'g')"
-    e = f"regexp_replace({e}, '<[^>]*>', '', 'g')"
-    for ent, ch in T.HTML_ENTITIES:
-        e = f"replace({e}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    e = f"regexp_replace({e}, '</?[a-zA-Z!][^>]*>', '', 'g')"
+    for ref, ch in _REFS_SQL:
+        e = f"replace({e}, '{ref}', '{ch}')"
     return e
 
 
@@ -347,6 +351,59 @@ def strip_html_pages(spark, sf):
     return p.select("page_id", T.strip_html("html").alias("page_text"))
 
 
+# Markup around each document's language and number, and what a reader of the page sees (written by hand)
+_HTML_CASES = (
+    ("5 < 10 and 7 > 3 good {}", "5 < 10 and 7 > 3 good {}"),
+    ("<p class='x'>a {}</p><br/>b", "a {}b"),
+    ("&#34;{}&#34; &eacute;t&eacute; &#xe9;&#233; &hellip;&mdash;", '"{}" \u00e9t\u00e9 \u00e9\u00e9 \u2026\u2014'),
+    ("a<!-- gone {} <b> -->{}<script type=x>if (a<b) {{}}</script><STYLE>p{{}}</STYLE>!", "a{}!"),
+    ("&amp;lt;{}&amp;#34; &nosuch; &#0; &#x110000; AT&T", "&lt;{}&#34; &nosuch; &#0; &#x110000; AT&T"),
+    ("<!DOCTYPE html><?xml v?><h1>{}</h1 >x<3 <-- &nbsp;y", "{}x<3 <--  y"),
+    ("&#128512;&#x1F600; {} &apos;&lt;&gt;", "\U0001f600\U0001f600 {} '<>"),
+)
+
+
+def _case_sql(pick: int) -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    whole = lambda t: " || ".join(quote(x.replace("{{}}", "{}")) if x != "\0" else "n" for x in _pieces(t))
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {whole(c[pick])}" for i, c in enumerate(_HTML_CASES)) + " END"
+
+
+def _pieces(t: str) -> list[str]:
+    """The text's parts, with a mark for each place of the number."""
+    out = []
+    for i, x in enumerate(t.replace("{{}}", "\1").split("{}")):
+        out += ["\0", x] if i else [x]
+    return [x.replace("\1", "{}") for x in out]
+
+
+@register(
+    "strip_html_cases",
+    f"SELECT doc_id, {_case_sql(1)} AS page_text FROM (SELECT doc_id, lang || CAST(doc_id AS VARCHAR) AS n FROM documents)",
+)
+def strip_html_cases(spark, sf):
+    """FUN-3 on hand-written markup around each document's number: text that is no tag stays, references are decoded once."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat("lang", F.col("doc_id").cast("string")).alias("n"))
+    case = None
+    for i, (raw, _) in enumerate(_HTML_CASES):
+        value = F.concat(*[F.col("n") if x == "\0" else F.lit(x) for x in _pieces(raw)])
+        case = F.when(F.col("doc_id") % 7 == i, value) if case is None else case.when(F.col("doc_id") % 7 == i, value)
+    return d.select("doc_id", T.strip_html(case).alias("page_text"))
+
+
+@register(
+    "misleading_nan",
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 5 THEN true ELSE false END AS is_misleading FROM documents""",
+)
+def misleading_nan(spark, sf):
+    """PRJ-5 with missing values: 5 against 1 and 1 against 3 mislead; NaN or null on either side, and a gap of one, do not."""
+    k = F.col("doc_id") % 6
+    nan = F.lit(float("nan"))
+    p = F.when(k == 0, 5.0).when(k == 1, nan).when(k == 2, 4.0).when(k == 3, F.lit(None).cast("double")).when(k == 4, 4.0).otherwise(1.0)
+    a = F.when(k == 0, 1.0).when(k == 1, 3.0).when(k == 2, nan).when(k == 3, 1.0).when(k == 4, 3.0).otherwise(3.0)
+    return table(spark, sf, "documents").select("doc_id", X.misleading(p, a).alias("is_misleading"))
+
+
 _NULL_COLS = ("review_id", "asin", "user_id", "category", "title", "text", "rating", "predict_stars",
               "verified_purchase", "helpful_vote", "timestamp", "topic", "images")
 

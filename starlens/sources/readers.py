@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.functions import features as X
 from starlens.functions.text import word_count
 from starlens.sources.schema import (
     PROJECTED_REVIEW,
@@ -19,8 +20,8 @@ from starlens.sources.schema import (
 )
 
 CORRUPT = "_corrupt_record"
-# Fixed value: shard file names look like <category>_{true,false}.jsonl or <category>_{train,test}_{true,false}.jsonl
-SHARD_PATTERN = r"^(.+?)(?:_(train|test))?_(true|false)\.jsonl$"
+# Fixed value: shards are named <category>_{true,false}.jsonl or <category>_{train,test}_{true,false}.jsonl; a shard is a file or a folder
+SHARD_PATTERN = r"(?:^|[/=])([^/=]+?)(?:_(train|test))?_(true|false)\.jsonl(?:/|$)"
 
 
 def read_reviews_jsonl(spark: SparkSession, path: str, scored: bool = False) -> DataFrame:
@@ -29,30 +30,48 @@ def read_reviews_jsonl(spark: SparkSession, path: str, scored: bool = False) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def parse_reviews(lines: DataFrame, line: str = "value", scored: bool = True) -> DataFrame:
+    """Text lines to review columns and ``reject_reason`` (null: good); no line is lost.
+
+    Every field is parsed as text and then converted on its own: a quoted vote, a fractional timestamp, a 0/1 flag or a number as
+    text keep the row.  Rejected are lines that are no JSON object (``unparsable``; blank and cut-off lines too) and rows without a
+    whole-number rating in INT range (``bad_rating``: missing, not a number, NaN, too large).
+    """
+    schema = SCORED_REVIEW if scored else RAW_REVIEW
+    names = [c for c in lines.columns if c != line]
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.withColumn("_r", F.from_json(F.col(line), as_text, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    broken = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | ~F.col(line).rlike(r"^\s*\{")
+    flag = F.lower(F.col("_r.verified_purchase"))
+    typed = {
+        "timestamp": X.to_long("_r.timestamp"),
+        "helpful_vote": X.to_long("_r.helpful_vote"),
+        "verified_purchase": F.when(flag.isin("true", "false"), flag == "true").otherwise(X.to_number(flag) != 0),
+        "images": F.from_json(F.col("_r.images"), schema["images"].dataType),
+    }
+    if scored:
+        typed["predict_stars"] = X.to_int("_r.predict_stars")
+    reason = F.when(broken, "unparsable").when(X.to_int("_r.rating").isNull(), "bad_rating")
+    return parsed.select(*names, line, reason.alias("reject_reason"), *[typed.get(f.name, F.col(f"_r.{f.name}")).alias(f.name) for f in schema.fields])
+
+
 def read_reviews_tolerant(spark: SparkSession, path: str, scored: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects).  Rejects carry the file name and a reason: ``unparsable`` or ``bad_rating``."""
+    """(good rows, rejects) of JSONL files; together they are the files' lines.  Rejects carry the file, the reason and the line."""
     schema = SCORED_REVIEW if scored else RAW_REVIEW
-    schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("source_file", F.col("_metadata.file_name"))
-    )
-    rating_ok = F.col("rating").try_cast("double").isNotNull()
-    reason = F.when(F.col(CORRUPT).isNotNull(), "unparsable").when(~rating_ok, "bad_rating")
-    tagged = raw.withColumn("reject_reason", reason)
-    good = tagged.filter(F.col("reject_reason").isNull()).drop(CORRUPT, "reject_reason")
-    rejects = tagged.filter(F.col("reject_reason").isNotNull()).select("source_file", "reject_reason", CORRUPT)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    tagged = parse_reviews(lines, scored=scored)
+    good = tagged.filter(F.col("reject_reason").isNull()).select(*schema.fieldNames(), "source_file")
+    rejects = tagged.filter(F.col("reject_reason").isNotNull()).select("source_file", "reject_reason", F.col("value").alias(CORRUPT))
     return good, rejects
 
 
-def with_category(
-    df: DataFrame, pattern: str = SHARD_PATTERN, group: int = 1, name: str = "category", source: str = "file_name"
-) -> DataFrame:
-    """Derive a column from the source file name or path (e.g. the category of a shard)."""
-    return df.withColumn(name, F.regexp_extract(F.col(f"_metadata.{source}"), pattern, group))
+def with_category(df: DataFrame, pattern: str = SHARD_PATTERN, group: int = 1, name: str = "category", source: str | None = None) -> DataFrame:
+    """Derive a column from the path of the source file (e.g. the category of a shard).
+
+    ``source`` is a path column; by default ``source_file`` where the reader carried it, else the scan's own metadata.
+    """
+    path = F.col(source or ("source_file" if "source_file" in df.columns else "_metadata.file_path"))
+    return df.withColumn(name, F.regexp_extract(path, pattern, group))
 
 
 def read_reviews_csv(
@@ -88,13 +107,13 @@ def merge_shards(df_false: DataFrame, df_true: DataFrame) -> DataFrame:
 
 
 def review_projection(df: DataFrame) -> DataFrame:
-    """The fixed 11 columns with defaults: rating STRING→DOUBLE→INT (rows without one are dropped),
+    """The fixed 11 columns with defaults: rating to INT (rows without one that fits are dropped),
     words in text, helpful_vote 0, verified 0/1, ids ''."""
 
     def opt(c, default=None):
         return F.col(c) if c in df.columns else F.lit(default)
 
-    rating = F.col("rating").cast("string").try_cast("double").cast("int")
+    rating = X.to_int("rating")
     out = df.select(
         rating.alias("rating"),
         word_count(F.coalesce(opt("text"), F.lit(""))).alias("text_word_length"),

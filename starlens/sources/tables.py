@@ -30,29 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-spread an under-split input (fewer partitions than the cluster's cores) by ``key``.
-
-    Large inputs arrive in many splits and pass through untouched (no extra shuffle).  A small file with
-    one row group would otherwise run every CPU-heavy text expression in a single task; spreading it by the
-    document key also pre-satisfies later per-document aggregations, so it adds no shuffle downstream.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the input as it is
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def _s(c) -> F.Column:
     return F.col(c).cast("string")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: one scored review per lineitem row."""
-    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
@@ -86,7 +70,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: one review per document, with injected nulls / blanks and a fixed stand-in topic."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     doc = F.col("doc_id")
     title = (
         F.when(doc % 11 == 0, F.lit(None))
@@ -114,7 +98,7 @@ def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str, size: int = LEXICON_SIZE) -> DataFrame:
     """V3: (token, valence).  Bounded by ``size`` rows, so it is safe to broadcast."""
-    d = spread(table(spark, sf_dir, "documents").select("text"))
+    d = table(spark, sf_dir, "documents").select("text")
     terms = (
         d.select(F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TOKEN), 0)).alias("term"))
         .groupBy("term")

@@ -72,26 +72,20 @@ def test_cap_per_group(spark):
     assert S.cap_per_group(df, "cat", 0, ["k"]).count() == df.count()
 
 
-def test_sample_n_both_paths_agree(spark, monkeypatch):
-    df = data(spark)
-    exp = keys(brute(df, [], lambda n: F.lit(700)))
-    top_n = keys(S.sample_n(df, 700, ["k"]), "true")  # 700 × 7 partitions: the one-pass top-n
-    monkeypatch.setattr(S, "TOPN_MERGE_MAX_ROWS", 0)  # force the histogram method
-    hist = keys(S.sample_n(df, 700, ["k"]), "true")
-    assert top_n == hist == exp and len(exp) == 700
-    assert "TakeOrdered" not in S.sample_n(df, 700, ["k"])._jdf.queryExecution().executedPlan().toString()
+def test_no_single_task_merge_and_no_union(spark):
+    plan = S.stratified_split(data(spark), ["cat", "flag"], ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan
+    assert "TakeOrdered" not in S.sample_n(data(spark), 700, ["k"])._jdf.queryExecution().executedPlan().toString()
 
 
-def test_head_n_range_narrowing_matches_top_n(spark, monkeypatch):
+def test_head_n_is_the_top_n(spark):
     df = spark.range(20_000).select(
-        F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 1_000_003).alias("k"),
+        F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise((F.col("id") * 7919) % 1_003).alias("k"),
         F.col("id").alias("v"),
+        F.col("id").cast("string").alias("t"),
     ).repartition(6)
-    want = sorted((r["k"] is None, r["v"]) for r in df.orderBy("k").limit(1500).collect())
-    monkeypatch.setattr(S, "TOPN_MERGE_MAX_ROWS", 0)
-    monkeypatch.setattr(S, "HEAD_BUCKETS", 8)  # several narrowing rounds
-    monkeypatch.setattr(S, "HEAD_EDGE_MAX_ROWS", 20)
-    got = S.head_n(df, 1500, "k")
-    assert sorted((r["k"] is None, r["v"]) for r in got.collect()) == want
-    assert got.count() == 1500
-    assert S.head_n(df, 50, "k").filter(F.col("k").isNull()).count() == 50  # 207 null keys come first
+    for keys in (["k", "v"], ["t"]):
+        for n in (0, 1, 50, 207, 1500, 30_000):
+            want = sorted(r["v"] for r in df.orderBy(*keys).limit(n).collect())
+            assert sorted(r["v"] for r in S.head_n(df, n, keys).collect()) == want
+    assert S.head_n(df.limit(0), 5, "t").count() == 0
