@@ -1,18 +1,18 @@
 """Models: nearest centroid, regression metrics, k-means / LDA topics, forests and their importances.
 
 The core of every fit is an MLlib estimator (distributed over executors); relational glue stays in
-DataFrame expressions.  Centroid tables are bounded by k (checked) and are inlined as literals, the way a
-fitted ``KMeansModel`` holds its centers on the driver.
+DataFrame expressions.  A centroid table is bounded in bytes (checked) before it is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_CENTROIDS = 10_000
+MAX_CENTROID_BYTES = 64 << 20
 DIGITS = 6
 
 
@@ -25,19 +25,34 @@ def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
     )
 
 
-def _sq_dist(vec: Column, center: Sequence[float]) -> Column:
-    c = F.array(*[F.lit(float(x)) for x in center])
-    diff = F.zip_with(vec, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    return F.aggregate(diff, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, label: str, out: str = "cluster") -> DataFrame:
-    """Assign each vector to its closest centroid (squared Euclidean; ties → smallest label)."""
-    rows = centroids.select(label, "centroid").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; assign with a join on a coarser index")
-    cands = F.array(*[F.struct(_sq_dist(F.col(vec), c).alias("d"), F.lit(lab).alias("l")) for lab, c in rows])
-    return df.withColumn(out, F.array_min(cands)["l"])
+    """Assign each vector to its closest centroid (squared Euclidean; ties → smallest label).
+
+    The centroids are one matrix of at most ``MAX_CENTROID_BYTES`` (k × dimension × 8 bytes, checked before it is fetched), broadcast once
+    and compared with a batch of vectors at a time.
+    """
+    shape = centroids.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("d")).first()
+    if 8 * shape["k"] * shape["d"] > MAX_CENTROID_BYTES:
+        raise ValueError(f"{shape['k']} centroids of {shape['d']} dimensions exceed MAX_CENTROID_BYTES = {MAX_CENTROID_BYTES}")
+    kind = centroids.schema[label].dataType
+    if not shape["k"]:
+        return df.withColumn(out, F.lit(None).cast(kind))
+    rows = sorted(centroids.select(label, "centroid").collect(), key=lambda r: r[0])
+    labels = df.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_i", T.IntegerType()), T.StructField("_l", kind)]))
+    matrix = df.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], float))
+
+    @F.pandas_udf("int")
+    def closest(vectors: pd.Series) -> pd.Series:
+        c = matrix.value
+        x = np.array(vectors.tolist(), float).reshape(len(vectors), c.shape[1])
+        best, dist = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
+        for i, center in enumerate(c):  # in label order, so that the smallest label wins a tie
+            d = ((x - center) ** 2).sum(axis=1)
+            nearer = d < dist
+            best[nearer], dist[nearer] = i, d[nearer]
+        return pd.Series(best)
+
+    return df.withColumn("_i", closest(F.col(vec))).join(labels.withColumnRenamed("_l", out), "_i").drop("_i")
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -193,7 +208,10 @@ def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2
     tok, words = _tokenised(df, text, stop, [key] if key else [])
     dominant = None
     try:
-        cv = count_stage(min_df, max_df, 1 << 18).fit(words)
+        # every term within the bounds: the vocabulary's size is counted first
+        df_ = words.select(F.explode(F.array_distinct("_words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        n_terms = df_.where(F.col("n") >= min_df).count()
+        cv = count_stage(min_df, max_df, max(1, n_terms)).fit(words)
         tf = cv.transform(words).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             lda = LDA(featuresCol="_tf", k=k, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter,
@@ -208,23 +226,19 @@ def fit_lda(df: DataFrame, text: str, stop, k: int = 5, seed: int = 42, min_df=2
     return PipelineModel(stages=[*tok.stages, cv, lda]), dominant
 
 
-def dominant_topic(model, df: DataFrame, key: str, out: str = "topic") -> DataFrame:
-    """argmax of the topic distribution (an empty document's zero vector gives 0)."""
-    return model.transform(df).select(key, _argmax(F.col("_dist")).alias(out))
-
-
 def lda_words(model, k: int = 10) -> DataFrame:
     """ML-4: (topic, word_rank, term, weight) — top k words per topic."""
     cv, lda = model.stages[-2], model.stages[-1]
-    topics = lda.describeTopics(k)
-    spark = topics.sparkSession
-    # the vocabulary already lives on the driver inside the fitted CountVectorizerModel
-    vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "term_index int, term string")
-    ex = topics.select(
-        F.col("topic").cast("int").alias("topic"),
-        F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("word_rank", "_z"),
-    ).select("topic", "word_rank", F.col("_z.termIndices").alias("term_index"), F.col("_z.termWeights").alias("weight"))
-    return ex.join(vocab, "term_index").select("topic", "word_rank", "term", F.round("weight", DIGITS).alias("weight"))
+    rows = lda.describeTopics(k).collect()  # k words of each topic
+    named = [
+        (int(r["topic"]), i, cv.vocabulary[t], float(w)) for r in rows for i, (t, w) in enumerate(zip(r["termIndices"], r["termWeights"]))
+    ]
+    out = lda_session(lda).createDataFrame(named, "topic int, word_rank int, term string, weight double")
+    return out.withColumn("weight", F.round("weight", DIGITS))
+
+
+def lda_session(model):
+    return model.describeTopics(1).sparkSession
 
 
 def embedding_clusters(df: DataFrame, vec: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -246,6 +260,23 @@ def embedding_clusters(df: DataFrame, vec: str, key: str, k: int = 5, seed: int
     return canonical_labels(preds, "_cluster", key, "cluster")
 
 
+def centre_violations(predicted: DataFrame, centers, vec: str, cluster: str = "_cluster", slack: float = 1e-9) -> DataFrame:
+    """(n_rows, n_violations): rows whose cluster's centre is not the nearest one, distances taken anew from ``centers``."""
+    from pyspark.ml.functions import vector_to_array
+
+    matrix = predicted.sparkSession.sparkContext.broadcast(np.array(centers, float))
+
+    @F.pandas_udf("boolean")
+    def wrong(vectors: pd.Series, clusters: pd.Series) -> pd.Series:
+        c = matrix.value
+        x = np.array(vectors.tolist(), float).reshape(len(vectors), c.shape[1])
+        d = np.stack([((x - center) ** 2).sum(axis=1) for center in c], axis=1)
+        return pd.Series(d[np.arange(len(x)), clusters.to_numpy()] > d.min(axis=1) + slack)
+
+    flagged = predicted.select(wrong(vector_to_array(F.col(vec)), F.col(cluster)).alias("wrong"))
+    return flagged.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("wrong").alias("n_violations"))
+
+
 # ---------------------------------------------------------------- forests
 
 def fit_forest(train: DataFrame, target: str, features, seed: int = 42, trees: int = 100, depth: int = 15):

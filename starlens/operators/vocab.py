@@ -1,20 +1,20 @@
 """Vocabulary, term counts and TF-IDF in long form (doc, term, value).
 
-Plan: tokens are extracted in-row, exploded, and counted per (doc, term) with map-side partial
-aggregation; corpus statistics are one more aggregate over that.  The kept vocabulary is bounded by
-``max_features`` (or checked by row count) before it is broadcast back into the per-document counts, so the
-explode → join → aggregate chain stays inside one stage per task.  Strings are dropped for term indices
-only where a vector is needed (MLlib); long form keeps the SQL oracle exact.
+Plan: a document's terms are counted within its row (sort, then runs), so nothing of the size of the text is shuffled or
+written.  Corpus statistics are one aggregate per term with a map-side combine; a bounded vocabulary turns documents into
+weights in place, an unbounded one is joined by term.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.functions.text import tokens
+from starlens.session import materialise
 
 # Spark's default English stop words (StopWordsRemover), the entries a token
 # of two or more word characters can equal (no apostrophes, no single letters).
@@ -30,38 +30,49 @@ STOP_WORDS_EN = (
     "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can",
     "will", "just", "don", "should", "now", "cannot", "could", "ought", "would",
 )
-MAX_BROADCAST_TERMS = 500_000
 
 
-def doc_terms(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS_EN) -> DataFrame:
-    """(key, term, tf): raw term counts per document."""
-    ex = df.select(key, F.explode(tokens(F.col(text))).alias("term"))
-    if stop:
-        ex = ex.filter(~F.col("term").isin(*stop))
-    return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def words(text: str, stop: Sequence[str] = STOP_WORDS_EN) -> Column:
+    """Tokens of a text without stop words, in order."""
+    toks = tokens(F.col(text))
+    return F.filter(toks, lambda t: ~t.isin(*stop)) if stop else toks
 
 
-def doc_terms_counted(df: DataFrame, key: str, text: str, stop: Sequence[str] = STOP_WORDS_EN):
-    """(doc_terms, n_docs) with ONE pass over the raw text.
+def _counted(ws: Column) -> Column:
+    """array<(term, tf)> of an array of words: sorted, then cut where a run of equal words ends.  Linear after the sort."""
 
-    Every document also emits one marker row (term NULL) so that documents without tokens are counted;
-    the (doc, term, tf) table is written once to the shared checkpoint folder and re-read by vocabulary,
-    weights and counts instead of re-tokenising.  The document count is read from that written table
-    (retry-safe, unlike an accumulator observed inside a shuffle-map stage).
-    """
-    from starlens.session import materialise
+    def runs(s):
+        last = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == F.size(s) - 1) | (F.get(s, i) != F.get(s, i + 1)))
+        return F.transform(last, lambda e: F.struct(F.get(s, e).alias("term"), (e + 1).cast("long").alias("upto")))
+
+    ends = F.when(F.size(ws) > 0, F.element_at(F.transform(F.array(F.sort_array(ws)), runs), 1))
+    tf = lambda r: F.transform(
+        r, lambda x, i: F.struct(x["term"].alias("term"), (x["upto"] - F.when(i > 0, F.get(r, i - 1)["upto"]).otherwise(F.lit(0))).alias("tf"))
+    )
+    return F.when(ends.isNotNull(), F.element_at(F.transform(F.array(ends), tf), 1)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
+def doc_terms(df: DataFrame, text: str, keep: Sequence[str], stop: Sequence[str] = STOP_WORDS_EN) -> DataFrame:
+    """(keep…, term, tf): term counts of each document, made within the row: no exchange."""
+    d = df.select(*keep, words(text, stop).alias("_w"))
+    return d.select(*keep, F.inline(_counted(F.col("_w"))))
 
-    terms = F.concat(tokens(F.col(text)), F.array(F.lit(None).cast("string")))
-    ex = df.select(key, F.explode(terms).alias("term"))
-    if stop:
-        ex = ex.filter(F.col("term").isNull() | ~F.col("term").isin(*stop))
-    counted = materialise(ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")), "doc-terms")
-    n_docs = counted.filter(F.col("term").isNull()).count()
-    return counted.filter(F.col("term").isNotNull()), int(n_docs)
+
+def corpus_terms(df: DataFrame, text: str, stop: Sequence[str] = STOP_WORDS_EN) -> tuple[DataFrame, int]:
+    """((term, term_count, doc_freq) of the whole corpus, number of documents) in one pass over the text.
+
+    Only per-term sums are shuffled, after a map-side combine; every document also adds one to a marker without a term, which
+    is the document count.  The result, one row per term, is written once.
+    """
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    d = df.select(words(text, stop).alias("_w")).select(F.inline(F.concat(_counted(F.col("_w")), marker)))
+    stats = materialise(d.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq")), "corpus-terms")
+    n = stats.where(F.col("term").isNull()).select("doc_freq").first()
+    return stats.where(F.col("term").isNotNull()), int(n[0]) if n else 0
 
 
 def term_stats(
-    dt: DataFrame,
+    stats: DataFrame,
     n_docs: int,
     min_df: float = 10,
     max_df: float = 0.95,
@@ -74,36 +85,42 @@ def term_stats(
     """
     lo = min_df if isinstance(min_df, int) else min_df * n_docs
     hi = max_df if isinstance(max_df, int) else max_df * n_docs
-    st = dt.groupBy("term").agg(F.sum("tf").alias("term_count"), F.count(F.lit(1)).alias("doc_freq"))
-    st = st.filter((F.col("doc_freq") >= F.lit(lo)) & (F.col("doc_freq") <= F.lit(hi)))
-    if max_features:
-        st = st.orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
+    st = stats.filter((F.col("doc_freq") >= F.lit(lo)) & (F.col("doc_freq") <= F.lit(hi)))
+    if not max_features:
+        return st
+    st = st.orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
     w = Window.orderBy(F.desc("term_count"), F.asc("term"))
     # the window runs over the kept vocabulary only (≤ max_features rows)
-    return st.withColumn("term_rank", F.row_number().over(w) - 1) if max_features else st
+    return st.withColumn("term_rank", F.row_number().over(w) - 1)
 
 
-def _vocab_side(vocab: DataFrame, bounded: bool) -> DataFrame:
-    """Broadcast a vocabulary bounded by max_features; otherwise only after checking its row count
-    (above the limit the join stays a shuffle join)."""
-    if bounded:
-        return F.broadcast(vocab)
-    return F.broadcast(vocab) if vocab.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS else vocab
+def tfidf(df: DataFrame, text: str, keep: Sequence[str], vocab: DataFrame, n_docs: int, stop: Sequence[str] = STOP_WORDS_EN) -> DataFrame:
+    """(keep…, term, weight): tf · (ln((1+n)/(1+df)) + 1), L2-normalised per document (smooth idf).
 
+    ``vocab`` is a bounded vocabulary (``term_stats`` with ``max_features``): it goes into a fitted count vectoriser, as every
+    TF-IDF model holds its vocabulary, and each document is turned into its weights within its row: no exchange.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
 
-def tfidf(dt: DataFrame, vocab: DataFrame, n_docs: int, key: str, bounded: bool = True) -> DataFrame:
-    """(key, term, weight): tf · (ln((1+n)/(1+df)) + 1), L2-normalised per document (smooth idf)."""
-    v = vocab.select("term", "doc_freq")
-    j = dt.join(_vocab_side(v, bounded), "term")
-    raw = F.col("tf") * (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("doc_freq"))) + 1.0)
-    j = j.withColumn("_w", raw)
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return j.select(key, "term", (F.col("_w") / norm).alias("weight"))
+    rows = vocab.select("term", "doc_freq").orderBy("term").collect()
+    if not rows:
+        return df.select(*keep, F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight")).limit(0)
+    terms = [r[0] for r in rows]
+    idf = [math.log((1.0 + n_docs) / (1.0 + r[1])) + 1.0 for r in rows]
+    d = df.select(*keep, words(text, stop).alias("_w"))
+    d = CountVectorizerModel.from_vocabulary(terms, inputCol="_w", outputCol="_tf").transform(d)
+    d = ElementwiseProduct(inputCol="_tf", outputCol="_x", scalingVec=Vectors.dense(idf)).transform(d)
+    d = Normalizer(inputCol="_x", outputCol="_n", p=2.0).transform(d)
+    pairs = F.filter(F.transform(vector_to_array("_n"), lambda v, i: F.struct(i.alias("i"), v.alias("weight"))), lambda p: p["weight"] > 0)
+    names = F.array(*map(F.lit, terms))
+    return d.select(*keep, F.inline(pairs)).select(*keep, F.get(names, F.col("i")).alias("term"), "weight")
 
 
-def count_matrix(dt: DataFrame, vocab: DataFrame, key: str, bounded: bool = False) -> DataFrame:
-    """(key, term, tf) restricted to the vocabulary."""
-    return dt.join(_vocab_side(vocab.select("term"), bounded), "term").select(key, "term", "tf")
+def count_matrix(dt: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(keep…, term, tf) restricted to the vocabulary; the written vocabulary's size decides between a broadcast and a shuffle join."""
+    return dt.join(vocab.select("term"), "term", "left_semi")
 
 
 def top_terms(weights: DataFrame, group: str, k: int = 10, value: str = "weight") -> DataFrame:
@@ -112,18 +129,15 @@ def top_terms(weights: DataFrame, group: str, k: int = 10, value: str = "weight"
     return weights.withColumn("term_rank", F.row_number().over(w)).filter(F.col("term_rank") <= k)
 
 
-def centroid_weights(weights: DataFrame, assign: DataFrame, key: str, group: str) -> DataFrame:
+def centroid_weights(weights: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
     """(group, term, weight): mean TF-IDF weight per group (the centroid of each cluster).
 
-    ``sizes`` has one row per group; it is not force-broadcast — AQE broadcasts it from its measured size
-    (a handful of clusters) and keeps a shuffle join if a caller groups by something large.
+    ``weights`` carry their group; ``sizes`` (group, n) counts all members, those without a term too.
     """
-    sizes = assign.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    sums = weights.join(assign.select(key, group), key).groupBy(group, "term").agg(F.sum("weight").alias("_s"))
-    return sums.join(sizes, group).select(group, "term", (F.col("_s") / F.col("_n")).alias("weight"))
+    sums = weights.groupBy(group, "term").agg(F.sum("weight").alias("_s"))
+    return sums.join(sizes.withColumnRenamed("n", "_n"), group).select(group, "term", (F.col("_s") / F.col("_n")).alias("weight"))
 
 
-def cluster_keywords(counts: DataFrame, assign: DataFrame, key: str, group: str, k: int = 10) -> DataFrame:
-    """Per cluster: the k terms with the largest summed count."""
-    s = counts.join(assign.select(key, group), key).groupBy(group, "term").agg(F.sum("tf").alias("term_count"))
-    return top_terms(s, group, k, "term_count")
+def cluster_keywords(counts: DataFrame, group: str, k: int = 10) -> DataFrame:
+    """Per cluster: the k terms with the largest summed count; ``counts`` carry their cluster."""
+    return top_terms(counts.groupBy(group, "term").agg(F.sum("tf").alias("term_count")), group, k, "term_count")

@@ -52,16 +52,14 @@ RQ3_CTES = with_ctes(
 
 def _rq2(spark, sf):
     d = prepare_texts(review_texts(spark, sf))
-    dt, n = V.doc_terms_counted(d, "review_id", "review_text")
-    vocab = V.term_stats(dt, n, RQ2_MIN_DF, RQ2_MAX_DF, RQ2_FEATURES)
-    return d, dt, n, vocab
+    stats, n = V.corpus_terms(d, "review_text")
+    return d, V.term_stats(stats, n, RQ2_MIN_DF, RQ2_MAX_DF, RQ2_FEATURES), n
 
 
 def _rq3(spark, sf):
     d = review_texts(spark, sf).withColumn("clean_text", clean("text"))
-    dt, n = V.doc_terms_counted(d, "review_id", "clean_text")
-    vocab = V.term_stats(dt, n, RQ3_MIN_DF, RQ3_MAX_DF, None)
-    return d, dt, n, vocab
+    stats, n = V.corpus_terms(d, "clean_text")
+    return d, V.term_stats(stats, n, RQ3_MIN_DF, RQ3_MAX_DF, None)
 
 
 @register(
@@ -70,14 +68,14 @@ def _rq3(spark, sf):
 )
 def term_stats(spark, sf):
     """TXT-1: vocabulary of merged review text — stop words out, 10 ≤ df ≤ 95 %, top 1,000 by count."""
-    return _rq2(spark, sf)[3]
+    return _rq2(spark, sf)[1]
 
 
 @register("tfidf", RQ2_TFIDF + " SELECT review_id, term, round(weight, 6) AS weight FROM tfidf")
 def tfidf(spark, sf):
     """TXT-2: smooth-idf TF-IDF, L2-normalised per review, long form."""
-    d, dt, n, vocab = _rq2(spark, sf)
-    return V.tfidf(dt, vocab, n, "review_id").select("review_id", "term", F.round("weight", 6).alias("weight"))
+    d, vocab, n = _rq2(spark, sf)
+    return V.tfidf(d, "review_text", ["review_id"], vocab, n).select("review_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @register(
@@ -91,22 +89,17 @@ def tfidf(spark, sf):
 )
 def top_terms_per_topic(spark, sf):
     """SRT-2: per topic, the 10 terms with the largest centroid (mean TF-IDF) weight."""
-    from starlens.session import materialise
-
-    d, dt, n, vocab = _rq2(spark, sf)
-    w = V.tfidf(dt, vocab, n, "review_id")
-    # the (review, topic) assignment is read twice (join and cluster sizes): write it once instead of
-    # filtering the raw text twice
-    assign = materialise(d.select("review_id", "topic"), "topic-assign")
-    cw = V.centroid_weights(w, assign, "review_id", "topic")
+    d, vocab, n = _rq2(spark, sf)
+    w = V.tfidf(d, "review_text", ["topic"], vocab, n)
+    cw = V.centroid_weights(w, d.groupBy("topic").agg(F.count(F.lit(1)).alias("n")), "topic")
     return V.top_terms(cw, "topic", 10).select("topic", "term", F.round("weight", 6).alias("weight"), "term_rank")
 
 
 @register("count_matrix", RQ3_CTES + " SELECT review_id, term, tf FROM dt JOIN vocab USING (term)")
 def count_matrix(spark, sf):
     """TXT-3: term counts of cleaned text, 2 ≤ df ≤ 95 %, every such term, long form."""
-    d, dt, n, vocab = _rq3(spark, sf)
-    return V.count_matrix(dt, vocab, "review_id")
+    d, vocab = _rq3(spark, sf)
+    return V.count_matrix(V.doc_terms(d, "clean_text", ["review_id"]), vocab).select("review_id", "term", "tf")
 
 
 @register(
@@ -119,9 +112,9 @@ def count_matrix(spark, sf):
 )
 def cluster_keywords(spark, sf):
     """AGG-22: per cluster (here the given topic), the 10 terms with the largest summed count."""
-    d, dt, n, vocab = _rq3(spark, sf)
-    counts = V.count_matrix(dt, vocab, "review_id")
-    return V.cluster_keywords(counts, d.select("review_id", "topic"), "review_id", "topic").select(
+    d, vocab = _rq3(spark, sf)
+    counts = V.count_matrix(V.doc_terms(d, "clean_text", ["topic"]), vocab)
+    return V.cluster_keywords(counts, "topic").select(
         "topic", "term", "term_count", "term_rank"
     )
 
@@ -187,6 +180,13 @@ def kde_rating_diff_by_group(spark, sf):
     return _kde(spark, sf, "rating_diff", X.group_label(X.length_bucket2("review_words"), "verified_purchase", "verified_first"))
 
 
+@register("kde_length_all", _kde_sql("review_words", "'all'").replace(f"WHERE topic = {TOPIC_ID} AND", "WHERE"))
+def kde_length_all(spark, sf):
+    """VIZ-2: the density drawn over the word-count histogram of all reviews."""
+    d = prepare_texts(review_texts(spark, sf)).withColumn(_KDE_GROUP, F.lit("all"))
+    return C.kde(d, "review_words", _KDE_GROUP, 200)
+
+
 @register(
     "box_rating_diff",
     with_ctes(REVIEW_TEXTS, TEXTS_PREPARED)
@@ -258,6 +258,21 @@ def cap_per_category(spark, sf):
     return S.cap_per_group(reviews(spark, sf).select("review_id", "category"), "category", CAP, ["review_id"])
 
 
+CAP_SMALL = 30
+
+
+@register(
+    "cap_small",
+    with_ctes(REVIEWS)
+    + f""" SELECT review_id, category FROM (
+    SELECT review_id, category, row_number() OVER (PARTITION BY category ORDER BY {_h()}, review_id) AS rk FROM reviews)
+  WHERE rk <= {CAP_SMALL}""",
+)
+def cap_small(spark, sf):
+    """CAP-1 with a cap that binds: at most 30 rows per category (hash order)."""
+    return S.cap_per_group(reviews(spark, sf).select("review_id", "category"), "category", CAP_SMALL, ["review_id"])
+
+
 @register(
     "nearest_centroid",
     """WITH e AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from starlens.functions import features as X
 from starlens.operators import rollups as R
 from starlens.operators.prepare import prepare_reviews
-from starlens.plans.fixtures_sql import PREPARED, REVIEWS, with_ctes
+from starlens.plans.fixtures_sql import PREPARED, REVIEW_TEXTS, REVIEWS, with_ctes, word_count_sql
 from starlens.plans.registry import register
-from starlens.sources.tables import reviews
+from starlens.sources.tables import review_texts, reviews
 
 PRODUCT_MIN, USER_MIN, TOP_K = 20, 5, 10
 BASE = with_ctes(REVIEWS, PREPARED)
@@ -91,6 +91,28 @@ def describe_numeric(spark, sf):
     return R.describe_numeric(_prepared(spark, sf), _DESCRIBE_COLS)
 
 
+_PROJECTED_NUMERIC = ("rating", "text_word_length", "helpful_vote", "verified_purchase", "predict_stars", "timestamp")
+
+
+def _describe_projection_sql() -> str:
+    one = lambda c: f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 1) AS std,
+       min({c}) AS min_value, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+       round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max_value FROM q"""
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("rating", "helpful_vote", "verified_purchase", "predict_stars", "timestamp"))
+    return with_ctes(REVIEW_TEXTS, f"q AS (SELECT {cols}, CAST({word_count_sql('text')} AS DOUBLE) AS text_word_length FROM review_texts WHERE rating IS NOT NULL)") + (
+        "\nUNION ALL\n".join(map(one, _PROJECTED_NUMERIC))
+    )
+
+
+@register("describe_projection", _describe_projection_sql())
+def describe_projection(spark, sf):
+    """AGG-2: exact describe() of every numeric column of the projected table, the timestamp among them."""
+    from starlens.sources.readers import review_projection
+
+    out = R.describe_numeric(review_projection(review_texts(spark, sf)), _PROJECTED_NUMERIC)
+    return out.withColumn("std", F.round("std", 1))  # a timestamp's spread has no more exact digits in floating point
+
+
 @register(
     "rating_distribution",
     BASE + " SELECT rating, count(*) AS n_reviews FROM prepared WHERE rating IS NOT NULL GROUP BY rating",
