@@ -15,7 +15,6 @@ rows are packed each on its own; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 
 import numpy as np
@@ -31,52 +30,81 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 SHARD = 16_000  # pieces packed together
 PASSES = 4  # sweeps of the local search
-CACHE_UNITS = 150_000  # units in each of the two generations of a worker's cache
+CACHE_WORDS = 400_000  # words in each of the two generations of a worker's cache
+TAIL = "#$%&()*+,-./:;<=>?@[]^_`{|}~!\""  # ASCII marks that end a word (no apostrophe: contractions are split differently)
 
-# What splitting at single spaces must not meet: white space at an end or beside white space.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+
+class OddSpace(Exception):
+    """White space that is not one space or newline between two words."""
+
+
+class Words(dict):
+    """Ids of words after ``lead`` (a space, or nothing at the start of a line); two generations bound it."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead, self.old = encoder, lead, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.rstrip(TAIL)
+            if core.isalpha() and core < "\u0250" and max(core) < "\u0250":  # letters, then marks: two pieces of the tokenizer's pattern
+                ids = self.encoder.piece(self.lead + word) if len(core) == len(word) else self[core] + self.encoder.marks(word[len(core) :])
+            elif word.split() != [word]:
+                raise OddSpace
+            else:
+                ids = self.encoder.whole(self.lead + word)
+        self[word] = ids
+        return ids
 
 
 class Encoder:
-    """Text to little-endian 32-bit ids by the public tokenizer, with a cache over units between single spaces and newlines.
+    """Text to little-endian 32-bit ids by the public tokenizer, with a cache over words.
 
-    A byte-level BPE that splits before each single space encodes " unit" alone exactly as within a line, and a newline between
-    two non-space characters is a token of its own; texts with other white space are encoded whole.
+    The byte-level BPE's pattern splits before a single space, and makes a newline between two words a piece of its own, so a
+    word and the space before it encode alone as they do within the text.  Texts with other white space or with special
+    tokens are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.first, self.after = Words(self, ""), Words(self, " ")
+        self.marks = functools.lru_cache(20_000)(self.piece)
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text that the pattern does not split."""
+        letters = text.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text) or (self.special and self.special.search(text)):
-            return self.ids([text])[0]
-        units = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else None
-        if units is None:
-            return self.ids([text])[0]
-        if len(self.young) > CACHE_UNITS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing = {u for u in units if u not in young}
-        if missing:
-            new = []
-            for u in missing:
-                if u in old:
-                    young[u] = old[u]
-                else:
-                    new.append(u)
-            young.update(zip(new, self.ids(new)))
-        return b"".join([young[u] for u in units])
+        if any(x in text for x in self.special):
+            return self.whole(text)
+        first, after, out = self.first, self.after, []
+        try:
+            for line in text.split("\n"):
+                words = line.split(" ")
+                out.append(first[words[0]] + b"".join([after[w] for w in words[1:]]))
+        except OddSpace:
+            return self.whole(text)
+        return self.newline.join(out)
 
 
 @functools.cache

@@ -48,19 +48,19 @@ def test_few_sequences_over_several_shards(spark, tokenizer):
     assert n <= 1.02 * sum(r.length for r in got) / 256 + 2
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "x\n\ny", "a\n b", "it's <|endoftext|> here", "tab\tx", " a  b", "a  b", "\x00 nul \x00", "naïve café 12 345", "a\rb", "\x1c\x1d x\x1cy", "1 2\n3 a.b, (c)!"])
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "x\n\ny", "a\n b", "it's <|endoftext|> here", "tab\tx", " a  b", "a  b", "\x00 nul \x00", "naïve café 12 345", "a\rb", "\x1c\x1d x\x1cy", "1 2\n3 a.b, (c)!", "don't can't. it's, x''s", "end.\n", "\nstart", "ſ ǆ Ω я 漢字. a漢", "a.'s b'll!", "word### x$$$ \"q\"", "²³ ½ ٣", "é̀ combining", "<|endoftext|>"])
 def test_cached_units_encode_as_the_whole_text(text, tokenizer):
     enc = P.encoder(P.token_path())
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_cache_turns_over(tokenizer, monkeypatch):
-    monkeypatch.setattr(P, "CACHE_UNITS", 10)
+    monkeypatch.setattr(P, "CACHE_WORDS", 10)
     enc = P.Encoder(P.token_path())
     for i in range(20):
         t = prose(30, i)
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
-    assert len(enc.young) + len(enc.old) < 100
+    assert all(len(w) <= 10 and len(w.old) <= 10 for w in (enc.first, enc.after))
 
 
 def test_local_search_beats_best_fit():
