@@ -25,9 +25,8 @@ def misleading(predict, actual, gap: int = 2) -> Column:
     return F.coalesce(F.abs(p - a) >= gap, F.lit(False))
 
 
-def rating_diff(predict, actual, absolute: bool = False) -> Column:
-    d = _c(predict) - _c(actual)
-    return F.abs(d) if absolute else d
+def rating_diff(predict, actual) -> Column:
+    return _c(predict) - _c(actual)
 
 
 def length_bucket5(words) -> Column:

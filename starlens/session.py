@@ -127,10 +127,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared checkpoint folder."""
+    try:
+        owner = spark.sparkContext.applicationId
+    except Exception:  # remote session
+        owner = "remote"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/starlens-{owner}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (never reused, never deleted here)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of this application's scratch folder (never reused)."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Deletes what this application has written as intermediate tables, once its results are no longer read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(root, True)
 
 
 def materialise(df, name: str):

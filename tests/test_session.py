@@ -61,3 +61,13 @@ def test_cluster_without_a_shared_folder_is_refused():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             ensure_checkpoint_dir(s)
         assert s.conf.values == {}
+
+
+def test_scratch_has_an_owner_and_can_be_removed(spark):
+    from starlens.session import materialise, remove_scratch, scratch_path, scratch_root
+
+    df = materialise(spark.range(3), "owned")
+    assert df.count() == 3 and df.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(scratch_root(spark).split(":", 1)[-1].lstrip("/"))
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    other = spark.newSession()
+    assert scratch_root(other) == scratch_root(spark) and callable(remove_scratch)
