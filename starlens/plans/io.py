@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starlens.plans.fixtures_sql import REVIEW_TEXTS, with_ctes, word_count_sql
 from starlens.plans.products import PRODUCT_CTES, product_stats_df
-from starlens.plans.registry import register
+from starlens.plans.registry import register, side_by_side
 from starlens.functions import features as X
 from starlens.operators import sampling as S
 from starlens.operators.prepare import with_review_key
@@ -214,8 +214,7 @@ def tolerant_lines(spark, sf):
     )
     lines = spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"))
     counted = spark.createDataFrame([(good.count(),)], "n_good_counted long")
-    one = lambda d: d.withColumn("k", F.lit(1))  # noqa: E731  four one-row frames side by side
-    return one(lines).join(one(whole), "k").join(one(counted), "k").join(one(why), "k").drop("k")
+    return side_by_side(lines, whole, counted, why)
 
 
 def _shards(spark, sf):

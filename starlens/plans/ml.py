@@ -16,7 +16,7 @@ from starlens.operators.vocab import STOP_WORDS_EN
 from starlens.plans.analysis import RQ3_CTES
 from starlens.plans.fixtures_sql import REVIEW_TEXTS, REVIEWS, TEXTS_PREPARED, with_ctes
 from starlens.plans.products import NEG_HEAD, SENTIMENT_CTES, _sentiment, product_stats_df
-from starlens.plans.registry import register
+from starlens.plans.registry import register, side_by_side
 from starlens.session import materialise
 from starlens.sources.tables import review_texts, reviews, table
 
@@ -127,15 +127,6 @@ def _labelled(labels, key, low=0, high=4):
     )
 
 
-def _side(*frames):
-    """One-row frames side by side."""
-    out = None
-    for f in frames:
-        f = f.withColumn("k", F.lit(1))
-        out = f if out is None else out.join(f, "k")
-    return out.drop("k")
-
-
 _N_TEXTS = with_ctes(REVIEW_TEXTS, TEXTS_PREPARED)
 
 
@@ -148,7 +139,7 @@ def kmeans_topics_check(spark, sf):
     d = _rq2(spark, sf)
     model, labels = M.topic_model(d, "review_text", "review_id", STOP_WORDS_EN)
     near = M.centre_violations(model.transform(d).select("_x", "_cluster"), model.stages[-1].clusterCenters(), "_x")
-    return _side(near, _labelled(labels, "review_id"))
+    return side_by_side(near, _labelled(labels, "review_id"))
 
 
 APPLY_SMALL = 200
@@ -166,7 +157,7 @@ def kmeans_apply_check(spark, sf):
     model = M.fit_topics(d, "review_text", STOP_WORDS_EN)
     sample = S.sample_n(d, APPLY_SMALL, ["review_id"])
     near = M.centre_violations(model.transform(sample).select("_x", "_cluster"), model.stages[-1].clusterCenters(), "_x")
-    return _side(near, _labelled(M.apply_topics(model, sample, "review_id"), "review_id"))
+    return side_by_side(near, _labelled(M.apply_topics(model, sample, "review_id"), "review_id"))
 
 
 @register(
@@ -182,7 +173,7 @@ def lda_check(spark, sf):
     falls = F.col("weight") > F.lag("weight").over(W.partitionBy("topic").orderBy("word_rank"))
     words = w.withColumn("up", falls).agg(F.count_distinct("topic").alias("n_topics"), F.count(F.lit(1)).alias("n_words"), F.count_if("up").alias("n_unordered"))
     n_terms = spark.createDataFrame([(len(model.stages[-2].vocabulary),)], "n_terms long")
-    return _side(_labelled(labels, "review_id"), words, n_terms)
+    return side_by_side(_labelled(labels, "review_id"), words, n_terms)
 
 
 @register(
@@ -194,7 +185,7 @@ def embedding_clusters_check(spark, sf):
     lab = M.embedding_clusters(table(spark, sf, "embeddings"), "embedding", "vec_id")
     sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     grows = F.col("n") > F.lag("n").over(W.orderBy("cluster"))  # at most five rows
-    return _side(_labelled(lab, "vec_id"), sizes.withColumn("up", grows).agg((F.count_if("up") == 0).alias("sizes_fall")))
+    return side_by_side(_labelled(lab, "vec_id"), sizes.withColumn("up", grows).agg((F.count_if("up") == 0).alias("sizes_fall")))
 
 
 # Products of the numeric reviews: thousands of them, with features that stand in for the text ones
@@ -226,7 +217,7 @@ def rf_check(spark, sf):
         imp = M.feature_importance(model, P.FEATURES).agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 3).alias("importance_sum"))
         n_test = M.regression_metrics(model.transform(test), target, "_pred").select(F.col("n").alias("n_test"))
         fit = M.regression_metrics(model.transform(train), target, "_pred").select(F.col("n").alias("n_train"), (F.col("r2") > 0).alias("beats_mean"))
-        one = _side(fit, n_test, imp).select(F.lit(target).alias("target"), "n_train", "n_test", "n_features", "importance_sum", "beats_mean")
+        one = side_by_side(fit, n_test, imp).select(F.lit(target).alias("target"), "n_train", "n_test", "n_features", "importance_sum", "beats_mean")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -254,7 +245,7 @@ def negative_clusters(spark, sf):
     shape = kw.groupBy("cluster").agg(F.max("term_rank").alias("top"), F.count(F.lit(1)).alias("n"))
     ranked = shape.agg(F.coalesce(F.min((F.col("top") <= 10) & (F.col("top") == F.col("n"))), F.lit(False)).alias("keywords_ranked"))
     strays = kw.join(lab.select("cluster").distinct(), "cluster", "left_anti").agg(F.count(F.lit(1)).alias("n_strays"))
-    return _side(_labelled(lab, "review_id").withColumnRenamed("n_labels", "n_members"), ranked, strays)
+    return side_by_side(_labelled(lab, "review_id").withColumnRenamed("n_labels", "n_members"), ranked, strays)
 
 
 @register(
@@ -273,4 +264,4 @@ def fitted_topic_reports(spark, sf):
     cross = R.crosstab_pct(t, "topic", "verified_purchase", (False, True), ("not_verified_pct", "verified_pct"))
     whole = cross.agg(F.min(F.abs(F.col("not_verified_pct") + F.col("verified_pct") - 100) < 0.001).alias("pct_whole"))
     keys = labels.agg(F.count_distinct("review_id").alias("n_keys"), F.min(F.col("topic").between(0, 4)).alias("in_range"))
-    return _side(counts, diffs, keys, whole)
+    return side_by_side(counts, diffs, keys, whole)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -24,3 +25,10 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return deco
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """One-row results as one row (a few numbers each; no join without a key)."""
+    fields = [f for d in frames for f in d.schema.fields]
+    row = tuple(v for d in frames for v in d.first())
+    return frames[0].sparkSession.createDataFrame([row], T.StructType(fields))
