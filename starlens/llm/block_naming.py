@@ -27,8 +27,10 @@ BLOCK = 4096  # code points in a block
 
 
 def normalised(text: str) -> Column:
-    """Lower-cases A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-cases A-Z only; null counts as empty.  Texts without other letters than ASCII take the faster ``lower``."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    by_letter = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(by_letter)
 
 
 def fingerprint(block: Column) -> tuple[Column, Column]:
@@ -102,6 +104,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     )
     rows = materialise(rows, "exact-names")
     groups = rows.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups, "exact-groups")  # a plain table, so that AQE can split a hot name in the join
     return rows.join(groups, ["n_blocks", "name"]).select(
         "row", "id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256"
     )
