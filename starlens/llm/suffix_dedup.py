@@ -464,6 +464,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     g = F.pmod(F.xxhash64("row"), F.lit(groups))
     # rows whose text an earlier row has
     copies = rows.groupBy("sha").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sha", "first")
+    copies = materialise(copies, "suffix-firsts")  # a plain table, so that AQE can split a hot text in the join
     copies = materialise(rows.join(copies, "sha").where("row <> first").select("row", g.alias("g")), "suffix-copies")
     none = lambda kind: F.lit(None).cast(kind)
     dealt = d.select("row", "id", g.alias("g"), "t").repartition(n, "g")
