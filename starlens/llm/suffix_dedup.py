@@ -36,7 +36,7 @@ from starlens.llm.registry import register, table
 
 LENGTH = 100  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
-GROUP_BYTES = 16 << 20  # text of a document group
+GROUP_BYTES = 8 << 20  # text of a document group
 COUNT_BYTES = 64 << 20  # text whose anchors are counted in one task
 SORT_BYTES = 4 << 20  # text whose repeated anchors are sorted in one task
 HOT = 4096  # occurrences from which an anchor is sent window by window
@@ -370,9 +370,10 @@ def gather_occurrences(buckets: int, length: int, gram: int):
         cut = np.concatenate(cuts)
         cut_doc = g.document(cut[:, 0]) if len(cut) else np.empty(0, np.int64)
         settled = (_blob(g.row[cut_doc]), _blob(cut - g.begin[cut_doc][:, None])) if len(cut) else (b"", b"")
+        carrier = key[0].as_py() * 2654435761 % max(len(first), 1)  # what is settled goes along with one bucket, another for each group
         for k, (x, y) in enumerate(zip(first.tolist(), np.append(first[1:], len(order)).tolist())):
             i = order[x:y]
-            for name, v in zip(FOUND.names, (int(b[i[0]]), key[0].as_py(), _blob(h[i]), _blob(g.row[doc[i]]), _blob(pos[i] - g.begin[doc[i]]), _blob(off[i]), _blob(data[i]), *(settled if k == 0 else (b"", b"")))):
+            for name, v in zip(FOUND.names, (int(b[i[0]]), key[0].as_py(), _blob(h[i]), _blob(g.row[doc[i]]), _blob(pos[i] - g.begin[doc[i]]), _blob(off[i]), _blob(data[i]), *(settled if k == carrier else (b"", b"")))):
                 out[name].append(v)
         return pa.table(out, schema=FOUND)
 
