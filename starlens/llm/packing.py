@@ -30,7 +30,7 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 SHARD = 16_000  # pieces packed together
 PASSES = 4  # sweeps of the local search
-CACHE_WORDS = 400_000  # words in each of the two generations of a worker's cache
+CACHE_WORDS = 250_000  # words in each of the two generations of a worker's cache
 TAIL = "#$%&()*+,-./:;<=>?@[]^_`{|}~!\""  # ASCII marks that end a word (no apostrophe: contractions are split differently)
 
 
