@@ -88,7 +88,7 @@ def decode_references(c) -> Column:
     refs = F.transform(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)), _decode)
     pieces = F.arrays_zip(F.split(col, REFERENCE, -1).alias("gap"), refs.alias("ref"))
     out = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["ref"], F.lit("")))), "")
-    return F.when(col.rlike(REFERENCE), out).otherwise(col)
+    return F.when((F.instr(col, "&") > 0) & col.rlike(REFERENCE), out).otherwise(col)
 
 
 def strip_html(c) -> Column:
