@@ -2,9 +2,9 @@
 
 A page is parsed into a tree (scripts, styles, comments and the head are skipped while parsing).  Parts that say by tag, role, class
 or id that they are not the article are cut off.  Every paragraph earns points for its length and its commas and passes them to its
-ancestors, less at each level; a container's points are discounted by its link density.  The best container is kept with those of its
-siblings that read like the article too; inside an ``article`` or ``main`` element the whole element is kept.  The text comes out as
-blocks in page order.
+ancestors, less at each level; a container's points are discounted by its link density.  The best container is kept whole, and
+around it, up to the body, everything that is not mostly links; inside an ``article`` or ``main`` element the whole element is kept.
+The text comes out as blocks in page order.
 
 Each page is parsed on its own in an Arrow map: no shuffle.  Defined cases: null or empty html gives the empty text; broken markup
 is read as far as it goes (an unclosed tag or comment at the end is dropped); pages of any length are read whole; repeated
@@ -55,6 +55,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply res
 KEPT_TAGS = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+DENSE = 0.5  # share of characters in links from which a block is mostly links
 
 TAG = re.compile(
     r"<!--(?:>|->)?+(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<bogus>[!?/])[^>]*+>|<(?P<loose>/?[a-zA-Z][^>]*+)>", re.S
@@ -254,7 +255,7 @@ def link_density(node: Node, size: dict[int, tuple[int, int, int]]) -> float:
     return links / chars if chars else 0.0
 
 
-def select(root: Node, size: dict[int, tuple[int, int, int]]) -> list[Node | str]:
+def select(root: Node, size: dict[int, tuple[int, int, int]]) -> list[Node | str | None]:
     """The parts of the tree that make up the article, in page order."""
     best = score(root, size)
     if best is None:  # no paragraph worth points: an article element, or what the page holds
@@ -277,14 +278,56 @@ def select(root: Node, size: dict[int, tuple[int, int, int]]) -> list[Node | str
         return peers if whole in peers else [whole]
     if best.parent is None or best.tag == "body":
         return [best]
-    enough, out = max(10.0, 0.2 * best.score), []
-    for c in best.parent.children:
-        if isinstance(c, str):
-            continue
-        chars = size[id(c)][0]
-        dense = link_density(c, size)
-        if c is best or c.score >= enough or c.tag in ("p", "blockquote", "pre") and chars and dense < 0.25 or c.tag in ("h1", "h2") and dense < 0.5:
-            out.append(c)
+    return around(root, best, size)
+
+
+def around(root: Node, best: Node, size: dict[int, tuple[int, int, int]]) -> list[Node | str | None]:
+    """``best`` and what surrounds it, in page order, without blocks and lines that are mostly links; None ends a block."""
+    path, up = set(), best.parent
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
+    wide = _with_blocks(root)
+    out: list[Node | str | None] = []
+    line: list[Node | str] = []
+
+    def end_line() -> None:
+        chars, links = (sum(size[id(x)][i] if isinstance(x, Node) else len(x.strip()) * (i == 0) for x in line) for i in (0, 1))
+        if chars and links / chars < DENSE:
+            out.extend([*line, None])
+        line.clear()
+
+    stack: list = [root]
+    while stack:
+        c = stack.pop()
+        if c is None:
+            end_line()
+        elif c is best:
+            end_line()
+            out.extend([c, None])
+        elif isinstance(c, str) or id(c) not in wide and id(c) not in path:
+            line.append(c)
+        elif id(c) not in path and size[id(c)][0] and link_density(c, size) < DENSE:
+            end_line()
+            out.extend([c, None])
+        else:  # an element round the best one, or one with so many links that its parts are looked at one by one
+            end_line()
+            stack.append(None)
+            stack += reversed(c.children)
+    end_line()
+    return out
+
+
+def _with_blocks(root: Node) -> set[int]:
+    """Identities of the blocks and of the elements that hold one."""
+    out, order, stack = set(), [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if isinstance(c, Node)]
+    for n in reversed(order):
+        if n.tag in BLOCKS or any(isinstance(c, Node) and id(c) in out for c in n.children):
+            out.add(id(n))
     return out
 
 
@@ -298,7 +341,7 @@ def _first(root: Node, tag: str) -> Node | None:
     return None
 
 
-def blocks(parts: list[Node | str]) -> list[str]:
+def blocks(parts: list[Node | str | None]) -> list[str]:
     """Texts of the blocks in page order, white space in each turned into one space."""
     out: list[str] = []
     line: list[str] = []

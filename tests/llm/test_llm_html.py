@@ -25,6 +25,16 @@ def test_best_container_without_semantic_elements():
     assert H.extract(html).split("\n\n") == ["H", PARA[0], PARA[1], "short", PARA[2], PARA[3]]
 
 
+def test_what_surrounds_the_best_container_is_kept():
+    long, links = [", ".join([PARA[i]] * 3) for i in range(3)], "".join(f"<li><a href=/{i}>{prose(6, i)}</a></li>" for i in range(20))
+    best = "<div>" + "".join(f"<p>{x}</p>" for x in long) + "</div>"
+    html = page(f"<div>Lead. {best}<h3>Last part</h3><div><p>Closing, short.</p></div><ul><li>one</ul><table><tr><td>cell</table>Direct <a href=/>link</a> too.<ul>{links}</ul></div>")
+    assert H.extract(html).split("\n\n") == ["Lead.", *long, "Last part", "Closing, short.", "one", "cell", "Direct link too."]
+    html = page(f"<div><h1>Title</h1><div><section><div><p>{long[0]}</p></div></section><section><div><p>{PARA[3]}</p></div></section></div></div><div><ul>{links}</ul><p>After.</p><a href=/>More</a></div>")
+    assert H.extract(html).split("\n\n") == ["Title", long[0], PARA[3], "After."]
+    assert len(H.extract("<span>" * 20000 + best + "</span>" * 20000 + "<div>end</div>").split("\n\n")) == 4
+
+
 def test_layout_names_on_wrappers_do_not_cut_the_page():
     html = page(f"<div class='page with-sidebar'><div class=content><p>{PARA[0]}</p><p>{PARA[1]}</p></div><div class=sidebar><p>{PARA[2]}</p></div></div>")
     assert H.extract(html).split("\n\n") == [PARA[0], PARA[1]]
