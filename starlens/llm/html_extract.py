@@ -1,7 +1,8 @@
 """Main text of a web page by tree scoring.
 
 A page is parsed into a tree (scripts, styles, comments and the head are skipped while parsing).  Parts that say by tag, role, class
-or id that they are not the article are cut off.  Every paragraph earns points for its length and its commas and passes them to its
+or id that they are not the article are cut off; where only a word of a longer name says so ("elementor-widget"), a part within the
+article is cut off only if it is mostly links too.  Every paragraph earns points for its length and its commas and passes them to its
 ancestors, less at each level; a container's points are discounted by its link density.  The best container is kept whole, and
 around it, up to the body, everything that is not mostly links; inside an ``article`` or ``main`` element the whole element is kept.
 The text comes out as blocks in page order.
@@ -25,10 +26,11 @@ from starlens.llm.registry import register, table
 
 # HTML element names by role, and words of class or id names that mark parts outside the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg".split())
+RAW_TEXT = frozenset({"xmp"})  # raw, but shown
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
-    "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 CLOSES_P = BLOCKS - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split()) | {"p"}
 # an opening tag ends an open element of these names, unless a barrier comes first
@@ -43,7 +45,7 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-OUTSIDE_TAGS = frozenset("nav footer aside form button select input dialog menu object embed audio video canvas map label fieldset".split())
+OUTSIDE_TAGS = frozenset("nav footer aside form button select input dialog menu object embed audio video canvas map label fieldset annotation annotation-xml".split())
 OUTSIDE_ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar status".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -52,10 +54,25 @@ OUTSIDE_WORDS = frozenset(
     "skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+# whole names of parts beside the article, however long they are
+BESIDE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot breadcrumb breadcrumbs cookie cookies footer footnav gdpr nav navbar navi navigation sidebar".split()
+)
+# words that also name parts of an article: only a name of this one word is enough, except header
+GENERIC_WORDS = frozenset("disclaimer header menu modal notice notices overlay related skip social teaser widget widgets".split())
+CLEAR_WORDS = OUTSIDE_WORDS - GENERIC_WORDS
+# words that add nothing to a name, as in "sidebar-left" or "related-posts"
+FILLERS = frozenset(
+    "area articles bar block body bottom box buttons col column container div inner item items left links list main page post posts right section site slot "
+    "stories thread top unit wrap wrapper".split()
+)
+LAYOUT_WORDS = frozenset("has hide is no show with without".split())  # "no-sidebar" tells of the layout
 KEPT_TAGS = frozenset("html body article main".split())
-PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
+PARAGRAPHS = frozenset("p pre xmp td blockquote li dd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DENSE = 0.5  # share of characters in links from which a block is mostly links
+FEW_POINTS = 10
+NEARLY = 0.9  # share of the page's points
 
 TAG = re.compile(
     r"<!--(?:>|->)?+(?P<comment>.*?)(?:-->|--!>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<bogus>[!?/])[^>]*+>|<(?P<loose>/?[a-zA-Z][^>]*+)>", re.S
@@ -132,6 +149,8 @@ def parse(page: str) -> Node:
             continue
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if name in RAW_TEXT:
+                node.children.append(page[at : close.start() if close else length])
             at = close.end() if close else length
             continue
         if name == "head":
@@ -148,21 +167,48 @@ def _open(node: Node, tag: str) -> Node | None:
     return node
 
 
-def marked_outside(node: Node, most: bool = False) -> bool:
-    """The element says that it is not part of the article.  ``most``: it holds most of the page's text, so that a name such as
-    "with-sidebar" tells of the layout; only names of comments count then."""
+def marked_outside(node: Node, most: bool = False, inside: bool = False) -> str:
+    """Whether the element says that it is not part of the article: "out", "perhaps" (a word of a longer name says so), "large" (its name
+    says so, but it holds most of the page's text) or "".  ``most``: it holds most of the page's text, so that a name such as
+    "with-sidebar" tells of the layout.  ``inside``: it is part of an article or main element."""
     if node.tag in KEPT_TAGS:
-        return node.tag == "article" and bool(node.attrs) and bool(_words(node) & COMMENT_WORDS)
-    if node.tag in OUTSIDE_TAGS or node.tag in RAW or node.tag == "head":
-        return True
+        return "out" if node.tag == "article" and node.attrs and any(t <= COMMENT_WORDS | FILLERS and t & COMMENT_WORDS for t in _names(node)) else ""
+    if node.tag in OUTSIDE_TAGS or node.tag in RAW - RAW_TEXT or node.tag == "head":
+        return "out"
     if not node.attrs:
-        return False
+        return ""
     a = node.attributes()
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in OUTSIDE_ROLES:
-        return True
+        return "out"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    return bool(_words(node, a) & (COMMENT_WORDS if most else OUTSIDE_WORDS)) and node.tag not in HEADINGS
+        return "out"
+    if node.tag in HEADINGS or not _words(node, a) & OUTSIDE_WORDS:
+        return ""
+    names = _names(node, a)
+    if most:
+        return "large" if any(t <= COMMENT_WORDS | FILLERS and t & COMMENT_WORDS or len(t) == 1 and t <= BESIDE_WORDS for t in names) else ""
+    for t in names:
+        if len(t) == 1 and t <= OUTSIDE_WORDS and not (inside and t == {"header"}):
+            return "out"
+        if t <= OUTSIDE_WORDS | FILLERS and t & CLEAR_WORDS or t <= {"related"} | FILLERS and "related" in t or len(t & CLEAR_WORDS) > 1:
+            return "out"
+    return "perhaps"
+
+
+def _names(node: Node, a: dict[str, str] | None = None) -> list[set[str]]:
+    """Words of each class name and of the id, without numbers."""
+    a = node.attributes() if a is None else a
+    return [{w.lower() for w in WORD.findall(n) if not w.isdigit()} for n in f"{a.get('class', '')} {a.get('id', '')}".split()]
+
+
+def _ends_outside(node: Node) -> bool:
+    """The last word of a name says what it names: "acme-footer" is a footer, "social-impact" is not."""
+    a = node.attributes()
+    for n in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [w.lower() for w in WORD.findall(n) if not w.isdigit()]
+        if words and words[-1] in CLEAR_WORDS and words[0] not in LAYOUT_WORDS:
+            return True
+    return False
 
 
 def _words(node: Node, a: dict[str, str] | None = None) -> set[str]:
@@ -170,36 +216,89 @@ def _words(node: Node, a: dict[str, str] | None = None) -> set[str]:
     return {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
 
 
-def _holds(node: Node, tags: frozenset[str]) -> bool:
-    stack = [c for c in node.children if isinstance(c, Node)]
+def _wrappers(root: Node, tags: tuple[str, ...]) -> set[int]:
+    """Identities of the elements round an element of these tags."""
+    out, stack = set(), [root]
     while stack:
         n = stack.pop()
         if n.tag in tags:
-            return True
+            up = n.parent
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
         stack += [c for c in n.children if isinstance(c, Node)]
-    return False
+    return out
 
 
 def prune(root: Node) -> None:
     """Cuts off what is marked as outside the article; wrappers around an article or main element stay."""
     size = measure(root)
     half = size[id(root)][0] / 2
-    stack = [root]
+    large, perhaps, wrappers = [], [], _wrappers(root, ("article", "main"))
+    stack = [(root, False, False)]
     while stack:
-        node = stack.pop()
+        node, inside, code = stack.pop()
+        inside, code = inside or node.tag in ("article", "main"), code or node.tag in ("pre", "code")
         kept = []
         for c in node.children:
             if isinstance(c, Node):
                 if c.tag == "header":  # a page's header goes, an article's own stays
-                    out = not (_open(c, "article") or _open(c, "main"))
-                    out = out and not _holds(c, frozenset({"article", "main"}))
+                    out = "" if inside or id(c) in wrappers else "out"
+                elif code and c.tag in ("span", "code"):  # names there tell of the program's text
+                    out = ""
                 else:
-                    out = marked_outside(c, size[id(c)][0] > half) and (c.tag in RAW or c.tag == "head" or not _holds(c, frozenset({"article", "main"})) or c.tag == "article")
-                if out:
+                    out = marked_outside(c, size[id(c)][0] > half, inside)
+                    if out and c.tag not in RAW and c.tag not in ("head", "article") and id(c) in wrappers:
+                        out = ""
+                if out == "out":
                     continue
-                stack.append(c)
+                if out == "large":
+                    large.append(c)
+                elif out:
+                    perhaps.append((c, inside))
+                stack.append((c, inside, code))
             kept.append(c)
         node.children = kept
+    points = points_of(root) if large or perhaps else {}
+    for c in large:  # out, unless the page has no other text
+        if id(c) in points and points[id(c)] < points[id(root)] - 1e-9:
+            _cut([c])
+            points = points_of(root)
+    if perhaps:
+        size, place, holds = measure(root), root, set()  # the lowest element that holds nearly all points is where the article is
+        while True:
+            holds.add(id(place))
+            inner = [c for c in place.children if isinstance(c, Node) and points[id(c)] >= NEARLY * points[id(root)] > 0]
+            if not inner:
+                break
+            place = inner[0]
+        within = points_of(place)
+        cut = []
+        for c, inside in perhaps:
+            if id(c) in holds or id(c) not in points:
+                continue
+            linked = link_density(c, size) >= DENSE and points[id(c)] < FEW_POINTS
+            if linked or not inside and (_ends_outside(c) or id(c) not in within):
+                cut.append(c)
+        _cut(cut)
+
+
+def _cut(nodes: list[Node]) -> None:
+    out = {id(n) for n in nodes}
+    for parent in {id(n.parent): n.parent for n in nodes}.values():
+        parent.children = [c for c in parent.children if id(c) not in out]
+
+
+def points_of(root: Node) -> dict[int, float]:
+    """Points of the paragraphs and loose texts in every element, each less its link density, by identity."""
+    size, out, order, stack = measure(root), {}, [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack += [c for c in n.children if isinstance(c, Node)]
+    for n in reversed(order):
+        out[id(n)] = paragraph_points(n, size) * (1 - link_density(n, size)) + sum(out[id(c)] for c in n.children if isinstance(c, Node))
+    return out
 
 
 def measure(node: Node) -> dict[int, tuple[int, int, int]]:
@@ -223,17 +322,29 @@ def measure(node: Node) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+def _own(n: Node) -> bool:
+    return n.tag in PARAGRAPHS and not any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children)
+
+
+def _loose(n: Node) -> bool:
+    return n.tag in ("div", "section", "article", "main", "body") and sum(len(c.strip()) for c in n.children if isinstance(c, str)) >= 25
+
+
+def paragraph_points(n: Node, size: dict[int, tuple[int, int, int]]) -> float:
+    """Points of a paragraph, or of a container with text of its own."""
+    chars, _, commas = size[id(n)]
+    return 1 + commas + min(chars / 100, 3) if chars >= 25 and _own(n) or _loose(n) else 0
+
+
 def score(root: Node, size: dict[int, tuple[int, int, int]]) -> Node | None:
     """Points of all containers; returns the best one."""
     best, stack = None, [root]
     touched: list[Node] = []
     while stack:
         n = stack.pop()
-        chars, _, commas = size[id(n)]
-        own = n.tag in PARAGRAPHS and not any(isinstance(c, Node) and c.tag in BLOCKS for c in n.children)
-        loose = n.tag in ("div", "section", "article", "main", "body") and sum(len(c.strip()) for c in n.children if isinstance(c, str)) >= 25
-        if own and chars >= 25 or loose:
-            points = 1 + commas + min(chars / 100, 3)
+        own, points = _own(n), paragraph_points(n, size)
+        if points:
+            loose = _loose(n)
             up, level = (n if loose and not own else n.parent), 0
             while up is not None and level < 6:
                 if up.score == 0:

@@ -40,6 +40,31 @@ def test_layout_names_on_wrappers_do_not_cut_the_page():
     assert H.extract(html).split("\n\n") == [PARA[0], PARA[1]]
 
 
+def test_a_word_of_a_longer_name_does_not_cut_the_article():
+    links = "".join(f"<li><a href=/{i}>{prose(6, i)}</a></li>" for i in range(5))
+    widget = "<div class='elementor-widget elementor-widget-text-editor'><p>{}</p></div>"
+    for wrap in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}"):
+        for n in (2, 6):
+            assert H.extract(page(wrap.format("".join(widget.format(PARA[i]) for i in range(n))))).split("\n\n") == PARA[:n]
+        html = page(wrap.format(f"<p>{PARA[0]}</p><section id=related-work><p>{PARA[1]}</p></section><div class=social-impact>Short.</div><div class=header-image-caption>A caption</div><div class=my-social-list><ul>{links}</ul></div><div class=related-posts><p>{PARA[2]}</p></div><div class='box ad'><p>{PARA[3]}</p></div><pre><span class=hljs-comment># code</span> x</pre>"))
+        assert H.extract(html).split("\n\n") == [PARA[0], PARA[1], "Short.", "A caption", "# code x"]
+
+
+def test_long_parts_beside_the_article_are_cut_by_their_name():
+    for name in ("sidebar", "advert", "comment-list"):
+        html = page(f"<div><div class='{name}'>" + "".join(f"<p>{x}</p>" for x in PARA[1:]) + f"</div><div><p>{PARA[0]}</p></div></div>")
+        assert H.extract(html) == PARA[0]
+        assert H.extract(page(f"<div class='{name}'><p>{PARA[0]}</p></div>")) == PARA[0]
+    assert H.extract(page(f"<div><p>{PARA[0]}</p><p>{PARA[1]}</p></div><div class=acme-footer><p>{PARA[2]}</p></div>")).split("\n\n") == PARA[:2]
+    assert H.extract("<div class=x-widget>" * 20000 + "<p class=x-widget>deep" * 20000).count("deep") == 20000
+    assert H.extract("<div class=sidebar>" * 20000 + PARA[0]) == PARA[0]
+
+
+def test_formulas_and_xmp():
+    html = page(f"<article><p>{PARA[0]} <math><semantics><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation>x \\lt 2</annotation></semantics></math> holds</p><xmp>a <b> &amp; c</xmp><p>end</article>")
+    assert H.extract(html).split("\n\n") == [PARA[0] + " x<2 holds", "a <b> &amp; c", "end"]
+
+
 def test_broken_markup():
     assert H.extract(None) == "" and H.extract("") == "" and H.extract("plain  text\n only") == "plain text only"
     assert H.extract("<p>unclosed <b>bold <p>two") == "unclosed bold\n\ntwo"
