@@ -5,12 +5,13 @@ keyed permutation of all values of its format.  The permutation is an unbalanced
 residues ``a < m1`` and ``b < m2`` in turn add a keyed digest of the other, so every result is valid and no two values
 share one.  The key alone decides, so equal values get equal pseudonyms in all documents, and whoever has the key can invert them.
 
-* card numbers: all digits but the last, then the Luhn digit;   * phone numbers: the last ten digits;
+* card numbers: all digits but the last, then the Luhn digit;   * phone numbers: the last ten digits (all but two of 8 to 10 after a +);
 * IP addresses: two halves of 16 bits;                           * social security numbers: area x (group, serial);
 * IBANs: the digits after the check digits, then the check;      * dates: days of 1900-01-01 .. 2099-11-13;
 * e-mail addresses: letters and digits of the local part, each within its class.
 
 Values that fail validation (a 16-digit number without a Luhn sum, an octet of 300, a 31st of June) are left alone, as is all other text.
+Not taken for personal data: slash dates that are no MM/dd/yyyy, ten digits without a separator, and national phone numbers in other groups than 3-3-4.
 
 Each row is rewritten on its own: no shuffle, no state, no key skew.  Defined cases: null text counts as empty; texts of any length
 are read whole; repeated rows get equal results; an empty table gives an empty result.
@@ -35,9 +36,21 @@ IP = r"(?<![\p{L}\p{N}_]|[0-9]\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}_]|\
 DATE = rf"{_B}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}){_A}"
 SSN = rf"{_B}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_A}"
 IBAN = rf"{_B}[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}{_A}"
+# lengths of IBANs by country: in groups of four only they tell where one ends
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_GROUPS = (
+    rf"{_B}(?:"
+    + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+    + f"){_A}"
+)
+ABROAD = r"(?<![\p{L}\p{N}_+])\+[1-9](?:\)?[ .-]?\(?[0-9]){6,13}[0-9](?![\p{L}\p{N}_]|[.-][0-9])"  # 8 to 15 digits in any groups
 CARD = rf"{_B}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_A}"
 # A look at the next characters spares most positions the alternatives; e-mail addresses are sought where there is an @.
-NUMBERS = r"(?=[0-9(+]|[A-Z]{2}[0-9]{2})(?:" + "|".join((CARD, PHONE, IP, DATE, SSN, IBAN)) + ")"
+NUMBERS = r"(?=[0-9(+]|[A-Z]{2}[0-9]{2})(?:" + "|".join((CARD, PHONE, IP, DATE, SSN, IBAN, IBAN_GROUPS, ABROAD)) + ")"
 PATTERN = f"{EMAIL}|{NUMBERS}"
 KINDS = ("card", "phone", "email", "ip", "date", "ssn", "iban")
 
@@ -95,8 +108,9 @@ def _card(d: Column, key: str) -> Column:
     return F.when(valid, new)
 
 
-def _phone(d: Column, key: str) -> Column:
-    lead = F.length(d) - 10
+def _phone(m: Column, d: Column, key: str) -> Column:
+    n = F.length(d)
+    lead = F.when(F.startswith(m, F.lit("+")) & (n <= 10), 2).otherwise(n - 10)  # the shortest international numbers keep two digits
     return F.when(lead >= 0, F.concat(_sub(d, 1, lead), permute_digits(_sub(d, lead + 1), key, "phone")))
 
 
@@ -160,6 +174,17 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(valid, _once(_fill(body, permute_digits(digits, key, "iban")), build))
 
 
+def _grouped_iban(m: Column, key: str) -> Column:
+    return _once(_iban(F.regexp_replace(m, " ", ""), key), lambda new: F.when(F.contains(m, F.lit(" ")), F.regexp_replace(new, "(.{4})(?=.)", "$1 ")).otherwise(new))
+
+
+def _card_in_iban(m: Column, key: str) -> Column:
+    """The match with the card number in its second to fifth group replaced, or null: for what looks like an IBAN in groups and is none."""
+    card = _sub(m, 6, 19)
+    new = _card(F.regexp_replace(card, " ", ""), key)
+    return F.when(card.rlike("^[0-9]{4}(?: [0-9]{4}){3}$"), _once(new, lambda x: F.when(x.isNotNull(), F.concat(_sub(m, 1, 5), _fill(card, x), _sub(m, 25)))))
+
+
 def _email(m: Column, key: str) -> Column:
     """Letters and digits of the local part: two halves shift each other's characters within their classes."""
     at = F.instr(m, "@") - 1
@@ -194,7 +219,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(is_(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), "ip")
         .when(is_(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), "date")
         .when(is_(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), "ssn")
-        .when(is_(r"[A-Z]{2}[0-9]{2}[A-Z0-9]+"), "iban")
+        .when(is_(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]+"), "iban")
         .when(is_(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"), "card")
         .otherwise("phone")
     )
@@ -204,8 +229,11 @@ def pseudonym(m: Column, key: str) -> Column:
         kind,
         lambda k: _once(
             F.when(k == "email", _email(m, key)).when(k == "ip", _ip(m, key)).when(k == "date", dated).when(k == "ssn", like(_ssn(d, key)))
-            .when(k == "iban", _iban(m, key)).when(k == "card", like(_card(d, key))).otherwise(like(_phone(d, key))),
-            lambda v: F.struct(F.when(v.isNotNull(), k).alias("kind"), F.coalesce(v, m).alias("value")),
+            .when(k == "iban", _grouped_iban(m, key)).when(k == "card", like(_card(d, key))).otherwise(like(_phone(m, d, key))),
+            lambda v: _once(
+                F.when(v.isNull() & (k == "iban"), _card_in_iban(m, key)),
+                lambda c: F.struct(F.when(v.isNotNull(), k).when(c.isNotNull(), F.lit("card")).alias("kind"), F.coalesce(v, c, m).alias("value")),
+            ),
         ),
     )
 

@@ -70,6 +70,23 @@ def test_equal_values_link_across_documents_and_keys_differ(spark):
     assert rewrite(spark, ["x 4111111111111111 y"], key="other")[0][0] != a[0]
 
 
+def test_ibans_in_groups_and_international_phones(spark):
+    groups = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"]
+    for v, (t, found), (plain, _) in zip(groups, rewrite(spark, [f"pay {v} OK 1234" for v in groups]), rewrite(spark, [v.replace(" ", "") for v in groups])):
+        new = t[4:-8]
+        assert found == ["iban"] and new != v and new.replace(" ", "") == plain and iban_ok(plain) and [len(x) for x in new.split()] == [len(x) for x in v.split()], t
+    phones = ["+44 20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+49 (30) 1234567", "+45 12 34 56 78", "+4915112345678"]
+    out = rewrite(spark, [f"call {v} 5 times" for v in phones])
+    for v, (t, found) in zip(phones, out):
+        assert found == ["phone"] and shape(t) == shape(f"call {v} 5 times") and t.endswith(" 5 times") and v not in t and t[5:7] == v[:2], t
+    digits = [re.sub("[^0-9]", "", t[:-7]) for t, _ in out]
+    assert digits[0] == digits[1]
+    [(t, found)] = rewrite(spark, ["DE12 4111 1111 1111 1111 00"])  # no IBAN, but a card
+    assert found == ["card"] and luhn(t[5:24]) and "4111 1111 1111 1111" not in t and t[:5] == "DE12 " and t[24:] == " 00"
+    left = ["DE88 3704 0044 0532 0130 00", "+1234567", "+12 345", "a +1.5 b"]
+    assert rewrite(spark, left) == [(t, []) for t in left]
+
+
 def test_what_does_not_validate_is_left_alone(spark):
     texts = ["4111111111111112", "300.1.2.3", "1.2.3.4.5", "1981-02-29", "31/12/1999", "000-12-3456", "666-12-3456", "DE88370400440532013000", "12345", "x4111111111111111", "a@b", "v 3.0", "CC BY-NC 4.0", prose(200, 1)]
     assert rewrite(spark, texts) == [(t, []) for t in texts]
