@@ -29,7 +29,7 @@ SEQUENCE = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 SHARD = 16_000  # pieces packed together
-PASSES = 4  # sweeps of the local search
+PASSES = 4  # quick sweeps of the local search, before those that go on until nothing changes
 CACHE_WORDS = 250_000  # words in each of the two generations of a worker's cache
 TAIL = "#$%&()*+,-./:;<=>?@[]^_`{|}~!\""  # ASCII marks that end a word (no apostrophe: contractions are split differently)
 
@@ -188,7 +188,14 @@ def best_fit(sizes: np.ndarray, capacity: int) -> Bins:
 
 
 def local_search(bins: Bins, lengths: np.ndarray, passes: int = PASSES) -> list[list[int]]:
-    """Raises the sum of squared fills until a sweep changes nothing, at most ``passes`` sweeps.
+    """Raises the sum of squared fills until no step does: quick sweeps first, then ``settle``."""
+    quick_sweeps(bins, lengths, passes)
+    settle(bins, lengths)
+    return [x for x in bins.items if x]
+
+
+def quick_sweeps(bins: Bins, lengths: np.ndarray, passes: int) -> None:
+    """At most ``passes`` sweeps that look at the likeliest partners only.
 
     Taking ``x`` tokens into a bin of fill f from one of fill g <= f adds 2x(f - g + x) to the sum, so every step that
     fills a fuller bin further is a gain.  A sweep runs from the fullest open bin down; partners are pieces of emptier bins.
@@ -271,7 +278,129 @@ def local_search(bins: Bins, lengths: np.ndarray, passes: int = PASSES) -> list[
                 changed = True
         if not changed:
             break
-    return [x for x in items if x]
+
+
+def settle(bins: Bins, lengths: np.ndarray) -> None:
+    """Steps between all open bins until none fills a bin or raises the sum of squared fills.  It ends, as every step raises
+    (full bins, sum of squares) and full bins stay."""
+    cap, items, fill = bins.capacity, bins.items, bins.fill
+    open_ = {b for b in range(len(fill)) if 0 < fill[b] < cap}
+    changed = True
+    while changed:
+        changed = False
+        for b in sorted(open_, key=lambda b: (-fill[b], b)):
+            while b in open_:
+                step = _step(b, items, fill, lengths, cap, open_)
+                if not step:
+                    break
+                for p, source, to in step:
+                    items[source].remove(p)
+                    fill[source] -= int(lengths[p])
+                    items[to].append(p)
+                    fill[to] += int(lengths[p])
+                open_ -= {x for _, source, to in step for x in (source, to) if not 0 < fill[x] < cap}
+                changed = True
+
+
+class Others:
+    """The pieces of the open bins but one, sorted by size and then by their bin's fill."""
+
+    def __init__(self, b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, open_: set[int]):
+        homes = [h for h in open_ if h != b]
+        pieces = np.array([p for h in homes for p in items[h]], np.int64)
+        home = np.repeat(np.array(homes, np.int64), [len(items[h]) for h in homes])
+        fills = np.array([fill[h] for h in homes], np.int64).repeat([len(items[h]) for h in homes])
+        sizes = lengths[pieces].astype(np.int64)
+        order = np.lexsort((home, fills, sizes))
+        self.cap, self.pieces, self.home, self.fills, self.sizes = cap, pieces[order], home[order], fills[order], sizes[order]
+        self.keys = self.sizes * (cap + 1) + self.fills
+        self.starts = np.searchsorted(self.sizes, np.arange(cap + 2))
+
+    def emptiest(self) -> np.ndarray:
+        """Fill of the emptiest bin that holds a piece of each size; a large number where there is none."""
+        at = np.minimum(self.starts[:-1], len(self.sizes) - 1)
+        return np.where(self.starts[:-1] < self.starts[1:], self.fills[at], 1 << 40)
+
+    def fullest(self, piece: int) -> np.ndarray:
+        """Place of the piece of each size in the fullest bin that takes one of size ``piece`` for it; -1 where there is none."""
+        size = np.arange(self.cap + 1)
+        most = np.clip(self.cap - piece + size, 0, self.cap)
+        at = np.searchsorted(self.keys, size * (self.cap + 1) + most, "right") - 1
+        return np.where((at >= self.starts[:-1]) & (self.cap - piece + size >= 0), at, -1)
+
+    def take(self, size: int) -> tuple[int, int]:
+        at = self.starts[size]
+        return int(self.pieces[at]), int(self.home[at])
+
+
+def _step(b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, open_: set[int]) -> list[tuple[int, int, int]]:
+    """(piece, from, to) of one step for bin ``b``: a move, one for one, or two for one; empty if there is none."""
+    if len(open_) < 2:
+        return []
+    f, room, others = fill[b], cap - fill[b], Others(b, items, fill, lengths, cap, open_)
+    emptiest, size = others.emptiest(), np.arange(cap + 1)
+    good = np.flatnonzero(emptiest[: room + 1] < f + size[: room + 1])
+    if len(good):
+        q, h = others.take(int(good[-1]))
+        return [(q, h, b)]
+    mine = sorted({int(lengths[p]): p for p in items[b]}.items())
+    for s, p in mine:
+        high = min(cap, s + room)
+        good = np.flatnonzero(emptiest[s + 1 : high + 1] < f + size[1 : high + 1 - s])
+        if len(good):
+            q, h = others.take(int(good[-1]) + s + 1)
+            return [(q, h, b), (p, b, h)]
+    twos = _pairs(others, items, fill, lengths, cap, b, open_)
+    least = 2 * int(others.sizes[0])
+    leave = np.where(emptiest < cap, size * size - 2 * emptiest * size, -(1 << 50))  # change of the squares where x leaves
+    for s, p in mine:
+        at = others.fullest(s)
+        gy = np.where(size > s, np.minimum(emptiest, cap), np.where(at >= 0, others.fills[at], 0))
+        turn = np.where(at >= 0, 2 * gy * (s - size) + (s - size) ** 2, -(1 << 50))  # where p takes the place of y
+        for want in range(s + room, max(s, least - 1), -1):
+            d = want - s
+            gain = 2 * f * d + d * d
+            if want in twos and (d == room or twos[want][0] < f + d):
+                _, h, x, y = twos[want]
+                return [(x, h, b), (y, h, b), (p, b, h)]
+            total = leave[1:want] + turn[want - 1 : 0 : -1] + gain
+            for t in np.flatnonzero(total > (-(1 << 45) if d == room else 0)).tolist():
+                found = _apart(others, 1 + t, want - 1 - t, s, f, d, cap)
+                if found:
+                    (x, hx), (y, hy) = found
+                    return [(x, hx, b), (y, hy, b), (p, b, hy)]
+    return []
+
+
+def _pairs(others: Others, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, b: int, open_: set[int]) -> dict[int, tuple[int, int, int, int]]:
+    """For each sum of two pieces of one bin: (fill, bin, piece, piece) of the emptiest such bin."""
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for h in open_:
+        if h != b and len(items[h]) > 1:
+            by_size = sorted(items[h], key=lambda p: lengths[p])
+            for i, x in enumerate(by_size):
+                for y in by_size[:i]:
+                    n = int(lengths[x]) + int(lengths[y])
+                    if n not in out or (fill[h], h) < out[n][:2]:
+                        out[n] = (fill[h], h, x, y)
+    return out
+
+
+def _apart(others: Others, x: int, y: int, s: int, f: int, d: int, cap: int) -> tuple | None:
+    """Pieces of sizes x and y in two bins, of which y's takes a piece of size s for it, with a gain (or a full bin)."""
+    xs, ys = range(others.starts[x], others.starts[x + 1]), range(others.starts[y], others.starts[y + 1])
+    ys = ys if y > s else reversed(ys)  # those with the largest gain first
+    for j in ys:
+        gy = int(others.fills[j])
+        if gy - y + s > cap:
+            continue
+        for i in xs:
+            if others.home[i] != others.home[j]:
+                gx = int(others.fills[i])
+                if f + d == cap or 2 * f * d + d * d + x * x - 2 * gx * x + 2 * gy * (s - y) + (s - y) ** 2 > 0:
+                    return (int(others.pieces[i]), int(others.home[i])), (int(others.pieces[j]), int(others.home[j]))
+                break  # the emptiest one of another bin; fuller ones gain less
+    return None
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:

@@ -74,5 +74,34 @@ def test_local_search_beats_best_fit():
     assert len(P.pack(np.array([600, 600, 424, 424, 512, 512]), 1024)) == 3
 
 
+def test_no_step_is_left():
+    cap = 40
+    r = np.random.default_rng(2)
+    for low, high, n in ((5, 25, 60), (1, 39, 80), (8, 16, 70), (12, 19, 60), (3, 9, 60)):
+        sizes = r.integers(low, high, n)
+        bins = P.pack(sizes, cap)
+        assert sorted(x for b in bins for x in b) == list(range(n)) and all(sizes[b].sum() <= cap for b in bins)
+        held = [[int(sizes[x]) for x in b] for b in bins if sizes[b].sum() < cap]
+
+        def better(change):
+            new = {i: sum(held[i]) + v for i, v in change.items()}
+            return max(new.values()) <= cap and (cap in new.values() or sum(v * v for v in new.values()) > sum(sum(held[i]) ** 2 for i in new))
+
+        def add(*pairs):
+            out = {}
+            for i, v in pairs:
+                out[i] = out.get(i, 0) + v
+            return out
+
+        for i, mine in enumerate(held):
+            rest = [(j, v) for j, other in enumerate(held) if j != i for v in other]
+            for a, (j, x) in enumerate(rest):
+                assert not better(add((i, x), (j, -x)))
+                for p in mine:
+                    assert x <= p or not better(add((i, x - p), (j, p - x)))
+                    for c, (k, y) in enumerate(rest):
+                        assert a == c or x + y <= p or not better(add((i, x + y - p), (j, -x), (k, p - y))), (low, high)
+
+
 def test_empty_table(spark):
     assert P.pack_documents(empty_docs(spark)).collect() == []
