@@ -294,7 +294,7 @@ def manifest_incremental(spark, sf):
     """SRC-9: lines per file; after more files have landed beside files of the same names, only those are counted."""
     path = scratch_path(spark, "manifest")
     rec = scored_records(spark, sf)
-    land = lambda cond: rec.filter(cond).coalesce(1).write.mode("append").partitionBy("category").json(path)
+    land = lambda cond: rec.filter(cond).write.mode("append").partitionBy("category").json(path)
     read = lambda: RD.read_reviews_jsonl(spark, path, scored=True).select("_metadata")
     land(F.col("review_id") % 3 != 0)
     known = materialise(RD.line_manifest(read()), "manifest-known")
@@ -422,7 +422,7 @@ def file_status_partitioned(spark, sf):
     schema = scored_records(spark, sf).schema
     src = scratch_path(spark, "part-status-src")
     rec = scored_records(spark, sf)
-    land = lambda cond: rec.filter(cond).coalesce(1).write.mode("append").partitionBy("category").json(src)
+    land = lambda cond: rec.filter(cond).write.mode("append").partitionBy("category").json(src)
     dst, ck, st = scratch_path(spark, "part-status-dst"), scratch_path(spark, "part-status-ckpt"), scratch_path(spark, "part-status")
     land(F.col("review_id") % 2 == 0)
     stream_ingest(spark, src, dst, ck, status=st, schema=schema, max_files=1)
