@@ -1,4 +1,4 @@
-"""Queries do the whole job: landing in many tasks."""
+"""Queries do the whole job: landing in many tasks, the full forest."""
 
 import glob
 import re
@@ -7,6 +7,7 @@ import pytest
 from conftest import SF_SMALL
 
 from starlens.plans import io as IO
+from starlens.plans import ml as ML
 
 
 @pytest.mark.parametrize("query, folder", [("manifest_incremental", "manifest"), ("file_status_partitioned", "part-status-src")])
@@ -23,3 +24,17 @@ def test_reviews_land_in_many_tasks(spark, monkeypatch, query, folder):
     assert n == records(spark, SF_SMALL).count()
     files = glob.glob(re.sub("^file:/*", "/", paths[folder]) + "/category=*/part-*")
     assert len({re.search(r"part-(\d+)", f)[1] for f in files}) == 3
+
+
+def test_rf_check_fits_the_whole_forest(spark, monkeypatch):
+    class Asked(Exception):
+        pass
+
+    def fit(train, target, features, seed=42, trees=100, depth=15):
+        raise Asked(trees, depth)
+
+    monkeypatch.setattr(ML, "_numeric_products", lambda spark, sf: (None, None))
+    monkeypatch.setattr(ML.M, "fit_forest", fit)
+    with pytest.raises(Asked) as asked:
+        ML.rf_check(spark, SF_SMALL)
+    assert asked.value.args == (100, 15)
