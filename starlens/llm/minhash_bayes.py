@@ -267,11 +267,12 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sets_of(texts: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """(row, shingles) of the texts whose row is in ``rows`` (row)."""
+    """(row, shingles) of the texts whose row is in ``rows`` (row); planned alike at every size, as the rows grow with the texts."""
     schema = pa.schema([("row", pa.int64()), ("shingles", pa.binary())])
     hashes = WordHashes()
     body = arrow_rows(lambda row, text: {"row": row, "shingles": shingle_set(text, shingle, hashes).tobytes()}, schema)
-    return materialise(texts.select("row", "text").join(rows, "row", "left_semi").mapInArrow(body, "row long, shingles binary"), "minhash-sets")
+    wanted = texts.select("row", "text").join(rows.distinct().hint("merge"), "row", "left_semi")
+    return materialise(wanted.mapInArrow(body, "row long, shingles binary"), "minhash-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -345,17 +346,20 @@ def class_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int
     found = materialise(bucket_forests(members, percent), "minhash-forests")
     pairs = found.where("kind = 0").select("a", "b")
     cells = found.where("kind = 1").select("key", "a", "score")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("row"))
     if not members.where("blocks > 1").isEmpty():
-        cut = members.where("blocks > 1").select("key").distinct()
-        pairs = pairs.unionByName(star_pairs(members, cells.join(cut, "key", "left_semi"), percent))
+        cut = members.where("blocks > 1")
+        pairs = pairs.unionByName(star_pairs(members, cells.join(cut.select("key").distinct(), "key", "left_semi"), percent))
+        needed = needed.unionByName(cut.select(F.col("cid").alias("row")))  # their pairs between blocks are still to be looked at
     pairs = materialise(pairs.distinct(), "minhash-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    links = materialise(verified(pairs, sets_of(texts, needed, shingle), percent), "minhash-links")
+    sets = sets_of(texts, needed, shingle)
+    links = materialise(verified(pairs, sets, percent), "minhash-links")
     roots = materialise(components(links), "minhash-roots")
-    left = materialise(open_cells(members, roots, cells.select("key").distinct(), max(1, block // 2)), "minhash-cells")
+    # a member without a set has no surviving pair in its bucket
+    having = members.join(sets.select(F.col("row").alias("cid")), "cid", "left_semi")
+    left = materialise(open_cells(having, roots, cells.select("key").distinct(), max(1, block // 2)), "minhash-cells")
     if left.isEmpty():
         return roots
-    sets = sets_of(texts, left.select(F.col("cid").alias("row")).distinct(), shingle)
     more = materialise(cell_links(left, sets, percent), "minhash-links")
     return materialise(components(links.unionByName(more)), "minhash-roots") if not more.isEmpty() else roots
 
