@@ -4,7 +4,8 @@ Documents are tokenised in place (tokens never move); a longer document is cut i
 Pieces below full length are dealt into shards by a hash of the id, some thousands of pieces each, and packed per
 shard: best fit by falling length, then local search between underfull bins.  A step exchanges one piece for one, two for one, or moves a
 piece, whenever that raises the sum of squared fills; full bins are settled, and bins that lose their last piece
-disappear.  What stays underfull in each shard meets in a second round with that of other shards.
+disappear.  What stays underfull in each shard meets that of other shards in a second round of smaller groups, and what is not nearly full then in a
+third; both end their search early where fewer bins can't hold their pieces.
 
 Only (id, length, checksums) is shuffled.  A shard's size does not depend on sources or copies, so no key is hot.
 
@@ -187,10 +188,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> Bins:
     return bins
 
 
-def local_search(bins: Bins, lengths: np.ndarray, passes: int = PASSES) -> list[list[int]]:
-    """Raises the sum of squared fills until no step does: quick sweeps first, then ``settle``."""
-    quick_sweeps(bins, lengths, passes)
-    settle(bins, lengths)
+def local_search(bins: Bins, lengths: np.ndarray, passes: int = PASSES, enough: int = 0) -> list[list[int]]:
+    """Raises the sum of squared fills until no step does: quick sweeps first, then ``settle``.  It stops at ``enough`` bins."""
+    if len(bins.items) > enough:
+        quick_sweeps(bins, lengths, passes)
+        settle(bins, lengths, enough)
     return [x for x in bins.items if x]
 
 
@@ -280,64 +282,148 @@ def quick_sweeps(bins: Bins, lengths: np.ndarray, passes: int) -> None:
             break
 
 
-def settle(bins: Bins, lengths: np.ndarray) -> None:
+def settle(bins: Bins, lengths: np.ndarray, enough: int = 0) -> None:
     """Steps between all open bins until none fills a bin or raises the sum of squared fills.  It ends, as every step raises
-    (full bins, sum of squares) and full bins stay."""
+    (full bins, sum of squares) and full bins stay; or once there are no more than ``enough`` bins."""
     cap, items, fill = bins.capacity, bins.items, bins.fill
     open_ = {b for b in range(len(fill)) if 0 < fill[b] < cap}
+    left = sum(f > 0 for f in fill)
+    others = Others(items, fill, lengths, cap, open_)
     changed = True
-    while changed:
+    while changed and left > enough:
         changed = False
         for b in sorted(open_, key=lambda b: (-fill[b], b)):
-            while b in open_:
-                step = _step(b, items, fill, lengths, cap, open_)
+            if b not in open_:
+                continue
+            others.drop(b)
+            while b in open_ and left > enough:
+                step = _step(b, items, fill, lengths, cap, others)
                 if not step:
                     break
+                touched = {x for _, source, to in step for x in (source, to)}
+                for h in touched - {b}:
+                    others.drop(h)
                 for p, source, to in step:
                     items[source].remove(p)
                     fill[source] -= int(lengths[p])
                     items[to].append(p)
                     fill[to] += int(lengths[p])
-                open_ -= {x for _, source, to in step for x in (source, to) if not 0 < fill[x] < cap}
+                gone = {x for x in touched if not 0 < fill[x] < cap}
+                left -= sum(fill[x] == 0 for x in gone)
+                open_ -= gone
+                for h in touched - {b} - gone:
+                    others.put(h)
                 changed = True
+            if b in open_:
+                others.put(b)
+
+
+FILL, HOME = 42, 28  # a key is size, fill and bin in one number: its size begins at bit FILL, its fill at bit HOME
 
 
 class Others:
-    """The pieces of the open bins but one, sorted by size and then by their bin's fill."""
-
-    def __init__(self, b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, open_: set[int]):
-        homes = [h for h in open_ if h != b]
-        pieces = np.array([p for h in homes for p in items[h]], np.int64)
-        home = np.repeat(np.array(homes, np.int64), [len(items[h]) for h in homes])
-        fills = np.array([fill[h] for h in homes], np.int64).repeat([len(items[h]) for h in homes])
-        sizes = lengths[pieces].astype(np.int64)
-        order = np.lexsort((home, fills, sizes))
-        self.cap, self.pieces, self.home, self.fills, self.sizes = cap, pieces[order], home[order], fills[order], sizes[order]
-        self.keys = self.sizes * (cap + 1) + self.fills
-        self.starts = np.searchsorted(self.sizes, np.arange(cap + 2))
+    """The pieces of the open bins but those taken out, sorted by size, fill of their bin and bin; the sums of two pieces of one bin likewise.
+
+    A step changes two or three bins, so their entries are taken out and put back in place; nothing is sorted anew.
+    """
+
+    def __init__(self, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, open_: set[int]):
+        self.items, self.fill, self.lengths, self.cap = items, fill, lengths, cap
+        none = np.zeros(0, np.int64)
+        found = [self._entries(h) for h in sorted(open_)]
+        singles, pieces, sums, firsts, seconds = (np.concatenate([none, *x]) for x in (zip(*found) if found else [()] * 5))
+        order = np.argsort(singles, kind="stable")
+        self.keys, self.pieces = singles[order], pieces[order]
+        order = np.argsort(sums, kind="stable")
+        self.sums, self.firsts, self.seconds = sums[order], firsts[order], seconds[order]
+        self._view()
+
+    def _entries(self, h: int) -> tuple[np.ndarray, ...]:
+        """Keys and pieces of a bin, and keys and pieces of its pairs."""
+        p = np.array(self.items[h], np.int64)
+        size = self.lengths[p].astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        p, size = p[order], size[order]
+        low = (self.fill[h] << HOME) | h
+        i, j = np.triu_indices(len(p), 1)
+        total = size[i] + size[j]
+        order = np.argsort(total, kind="stable")
+        return (size << FILL) | low, p, (total[order] << FILL) | low, p[i][order], p[j][order]
+
+    @staticmethod
+    def _runs(keys: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        mine = np.unique(mine)
+        return np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right"))] or [np.zeros(0, np.int64)])
+
+    def drop(self, h: int) -> None:
+        singles, _, sums, _, _ = self._entries(h)
+        at = self._runs(self.keys, singles)
+        self.keys, self.pieces = np.delete(self.keys, at), np.delete(self.pieces, at)
+        if len(sums):
+            at = self._runs(self.sums, sums)
+            self.sums, self.firsts, self.seconds = np.delete(self.sums, at), np.delete(self.firsts, at), np.delete(self.seconds, at)
+        self._view()
+
+    def put(self, h: int) -> None:
+        singles, pieces, sums, firsts, seconds = self._entries(h)
+        at = np.searchsorted(self.keys, singles)
+        self.keys, self.pieces = np.insert(self.keys, at, singles), np.insert(self.pieces, at, pieces)
+        if len(sums):
+            at = np.searchsorted(self.sums, sums)
+            self.sums, self.firsts, self.seconds = np.insert(self.sums, at, sums), np.insert(self.firsts, at, firsts), np.insert(self.seconds, at, seconds)
+        self._view()
+
+    def _view(self) -> None:
+        self._starts = self._emptiest = None
+
+    def home(self, at: int) -> int:
+        return int(self.keys[at]) & ((1 << HOME) - 1)
+
+    def fill_at(self, at) -> np.ndarray:
+        return (self.keys[at] >> HOME) & ((1 << FILL - HOME) - 1)
+
+    @property
+    def starts(self) -> np.ndarray:
+        """Place of the first piece of each size."""
+        if self._starts is None:
+            self._starts = np.searchsorted(self.keys, np.arange(self.cap + 2, dtype=np.int64) << FILL)
+        return self._starts
+
+    def least(self) -> int:
+        return int(self.keys[0]) >> FILL
 
     def emptiest(self) -> np.ndarray:
         """Fill of the emptiest bin that holds a piece of each size; a large number where there is none."""
-        at = np.minimum(self.starts[:-1], len(self.sizes) - 1)
-        return np.where(self.starts[:-1] < self.starts[1:], self.fills[at], 1 << 40)
+        if self._emptiest is None:
+            at = np.minimum(self.starts[:-1], len(self.keys) - 1)
+            self._emptiest = np.where(self.starts[:-1] < self.starts[1:], self.fill_at(at), 1 << 40)
+        return self._emptiest
 
     def fullest(self, piece: int) -> np.ndarray:
         """Place of the piece of each size in the fullest bin that takes one of size ``piece`` for it; -1 where there is none."""
-        size = np.arange(self.cap + 1)
+        size = np.arange(self.cap + 1, dtype=np.int64)
         most = np.clip(self.cap - piece + size, 0, self.cap)
-        at = np.searchsorted(self.keys, size * (self.cap + 1) + most, "right") - 1
+        at = np.searchsorted(self.keys, (size << FILL) | (most << HOME) | ((1 << HOME) - 1), "right") - 1
         return np.where((at >= self.starts[:-1]) & (self.cap - piece + size >= 0), at, -1)
 
     def take(self, size: int) -> tuple[int, int]:
         at = self.starts[size]
-        return int(self.pieces[at]), int(self.home[at])
+        return int(self.pieces[at]), self.home(at)
 
+    def pair(self, total: int) -> tuple[int, int, int, int] | None:
+        """(fill, bin, piece, piece) of the emptiest bin with two pieces of this sum."""
+        at = int(np.searchsorted(self.sums, total << FILL))
+        if at == len(self.sums) or int(self.sums[at]) >> FILL != total:
+            return None
+        key = int(self.sums[at])
+        return key >> HOME & ((1 << FILL - HOME) - 1), key & ((1 << HOME) - 1), int(self.firsts[at]), int(self.seconds[at])
 
-def _step(b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, open_: set[int]) -> list[tuple[int, int, int]]:
+
+def _step(b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, others: Others) -> list[tuple[int, int, int]]:
     """(piece, from, to) of one step for bin ``b``: a move, one for one, or two for one; empty if there is none."""
-    if len(open_) < 2:
+    if not len(others.keys):
         return []
-    f, room, others = fill[b], cap - fill[b], Others(b, items, fill, lengths, cap, open_)
+    f, room = fill[b], cap - fill[b]
     emptiest, size = others.emptiest(), np.arange(cap + 1)
     good = np.flatnonzero(emptiest[: room + 1] < f + size[: room + 1])
     if len(good):
@@ -350,18 +436,20 @@ def _step(b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray,
         if len(good):
             q, h = others.take(int(good[-1]) + s + 1)
             return [(q, h, b), (p, b, h)]
-    twos = _pairs(others, items, fill, lengths, cap, b, open_)
-    least = 2 * int(others.sizes[0])
+    least = 2 * others.least()
     leave = np.where(emptiest < cap, size * size - 2 * emptiest * size, -(1 << 50))  # change of the squares where x leaves
     for s, p in mine:
+        if s + room < least:
+            continue
         at = others.fullest(s)
-        gy = np.where(size > s, np.minimum(emptiest, cap), np.where(at >= 0, others.fills[at], 0))
+        gy = np.where(size > s, np.minimum(emptiest, cap), np.where(at >= 0, others.fill_at(at), 0))
         turn = np.where(at >= 0, 2 * gy * (s - size) + (s - size) ** 2, -(1 << 50))  # where p takes the place of y
         for want in range(s + room, max(s, least - 1), -1):
             d = want - s
             gain = 2 * f * d + d * d
-            if want in twos and (d == room or twos[want][0] < f + d):
-                _, h, x, y = twos[want]
+            two = others.pair(want)
+            if two and (d == room or two[0] < f + d):
+                _, h, x, y = two
                 return [(x, h, b), (y, h, b), (p, b, h)]
             total = leave[1:want] + turn[want - 1 : 0 : -1] + gain
             for t in np.flatnonzero(total > (-(1 << 45) if d == room else 0)).tolist():
@@ -372,53 +460,40 @@ def _step(b: int, items: list[list[int]], fill: list[int], lengths: np.ndarray,
     return []
 
 
-def _pairs(others: Others, items: list[list[int]], fill: list[int], lengths: np.ndarray, cap: int, b: int, open_: set[int]) -> dict[int, tuple[int, int, int, int]]:
-    """For each sum of two pieces of one bin: (fill, bin, piece, piece) of the emptiest such bin."""
-    out: dict[int, tuple[int, int, int, int]] = {}
-    for h in open_:
-        if h != b and len(items[h]) > 1:
-            by_size = sorted(items[h], key=lambda p: lengths[p])
-            for i, x in enumerate(by_size):
-                for y in by_size[:i]:
-                    n = int(lengths[x]) + int(lengths[y])
-                    if n not in out or (fill[h], h) < out[n][:2]:
-                        out[n] = (fill[h], h, x, y)
-    return out
-
-
 def _apart(others: Others, x: int, y: int, s: int, f: int, d: int, cap: int) -> tuple | None:
     """Pieces of sizes x and y in two bins, of which y's takes a piece of size s for it, with a gain (or a full bin)."""
     xs, ys = range(others.starts[x], others.starts[x + 1]), range(others.starts[y], others.starts[y + 1])
     ys = ys if y > s else reversed(ys)  # those with the largest gain first
     for j in ys:
-        gy = int(others.fills[j])
+        gy = int(others.fill_at(j))
         if gy - y + s > cap:
             continue
         for i in xs:
-            if others.home[i] != others.home[j]:
-                gx = int(others.fills[i])
+            if others.home(i) != others.home(j):
+                gx = int(others.fill_at(i))
                 if f + d == cap or 2 * f * d + d * d + x * x - 2 * gx * x + 2 * gy * (s - y) + (s - y) ** 2 > 0:
-                    return (int(others.pieces[i]), int(others.home[i])), (int(others.pieces[j]), int(others.home[j]))
+                    return (int(others.pieces[i]), others.home(i)), (int(others.pieces[j]), others.home(j))
                 break  # the emptiest one of another bin; fuller ones gain less
     return None
 
 
-def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins (lists of positions in ``sizes``) of at most ``capacity``."""
-    return local_search(best_fit(sizes, capacity), sizes) if len(sizes) else []
+def pack(sizes: np.ndarray, capacity: int, to_bound: bool = False) -> list[list[int]]:
+    """Bins (lists of positions in ``sizes``) of at most ``capacity``; ``to_bound`` ends the search once fewer bins can't hold the pieces."""
+    enough = -(-int(sizes.sum()) // capacity) if to_bound else 0
+    return local_search(best_fit(sizes, capacity), sizes, enough=enough) if len(sizes) else []
 
 
-def _packed(rows: DataFrame, group: str, capacity: int, settle_only_full: bool) -> DataFrame:
-    """Packs each group's pieces: (unit, size) rows gain bin and offset; bin is null where the bin stays underfull and is passed on."""
+def _packed(rows: DataFrame, group: str, capacity: int, settled: int) -> DataFrame:
+    """Packs each group's pieces: (unit, size) rows gain bin and offset; bin is null where the bin holds less than ``settled`` and is passed on."""
     schema = "unit long, size int, shard long, bin long, offset int"
 
     def body(key, part):
         order = np.lexsort((part.column("unit").to_numpy(),))
         units, sizes = part.column("unit").to_numpy()[order], part.column("size").to_numpy()[order]
         out: dict[str, list] = {"unit": [], "size": [], "shard": [], "bin": [], "offset": []}
-        for b, members in enumerate(pack(sizes, capacity)):
+        for b, members in enumerate(pack(sizes, capacity, to_bound=settled < capacity)):
             at = 0
-            open_ = settle_only_full and int(sizes[members].sum()) < capacity
+            open_ = int(sizes[members].sum()) < settled
             for m in sorted(members):
                 out["unit"].append(int(units[m]))
                 out["size"].append(int(sizes[m]))
@@ -437,16 +512,17 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", voc
     first = F.when(F.col("n_tokens") % length == 0, length).otherwise(F.col("n_tokens") % length).cast("int")
     short = t.where(F.col("n_tokens") % length != 0).select("unit", first.alias("size"))
     n = short.count()
-    shards = max(1, round(n / shard))
-    spread = F.pmod(F.xxhash64("unit"), F.lit(shards))
-    one = materialise(_packed(short.withColumn("group", spread).repartition(partitions(t.sparkSession, min(shards, 4096)), "group"), "group", length, True), "pack-shards")
-    open_ = one.where("bin is null").select("unit", "size")
-    # second round: the open pieces of many shards together
-    rest = max(1, round(open_.count() / shard))
-    two = _packed(open_.withColumn("group", F.pmod(F.xxhash64("unit", F.lit(2)), F.lit(rest))).repartition(partitions(t.sparkSession, min(rest, 4096)), "group"), "group", length, False)
-    # a sequence of short pieces is numbered by round, group and bin; a full piece, below zero, by its row of the result
-    two = materialise(two.select("unit", "offset", F.shiftleft("shard", 24).bitwiseOR(F.col("bin")).bitwiseOR(F.lit(1 << 60)).alias("seq")), "pack-rest")
-    placed = one.where("bin is not null").select("unit", "offset", F.shiftleft("shard", 24).bitwiseOR(F.col("bin")).alias("seq")).unionByName(two)
+    placed = None
+    left = short
+    # full bins are settled in the first round, nearly full ones in the second, where groups are smaller, and all in the third
+    for k, (size, settled) in enumerate(((shard, length), (max(1, shard // 4), length - length // 16), (max(1, shard // 4), 0))):
+        groups = max(1, round((n if not k else left.count()) / size))
+        dealt = left.select("unit", "size", F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(groups)).alias("group")).repartition(partitions(t.sparkSession, min(groups, 4096)), "group")
+        done = materialise(_packed(dealt, "group", length, settled), "pack-round")
+        # a sequence of short pieces is numbered by round, group and bin; a full piece, below zero, by its row of the result
+        named = done.where("bin is not null").select("unit", "offset", F.shiftleft("shard", 24).bitwiseOR(F.col("bin")).bitwiseOR(F.lit(k << 60)).alias("seq"))
+        placed = named if placed is None else placed.unionByName(named)
+        left = done.where("bin is null").select("unit", "size")
     e = t.join(placed, "unit", "left").select("id", "seq", "offset", first.alias("first"), F.posexplode("crcs").alias("piece", "ids_crc32"))
     short_one = (F.col("piece") == 0) & F.col("seq").isNotNull()
     return e.select(

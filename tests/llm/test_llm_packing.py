@@ -105,3 +105,28 @@ def test_no_step_is_left():
 
 def test_empty_table(spark):
     assert P.pack_documents(empty_docs(spark)).collect() == []
+
+
+def test_index_in_place_equals_a_new_one():
+    r = np.random.default_rng(4)
+    sizes = r.integers(3, 30, 200)
+    bins = P.best_fit(sizes, 64)
+    open_ = {b for b in range(len(bins.fill)) if 0 < bins.fill[b] < 64}
+    index = P.Others(bins.items, bins.fill, sizes, 64, open_)
+    for h in sorted(open_)[::3]:
+        index.drop(h)
+        new = P.Others(bins.items, bins.fill, sizes, 64, open_ - {h})
+        assert index.keys.tolist() == new.keys.tolist() and index.sums.tolist() == new.sums.tolist()
+        assert index.starts.tolist() == new.starts.tolist() and index.emptiest().tolist() == new.emptiest().tolist()
+        index.put(h)
+    new = P.Others(bins.items, bins.fill, sizes, 64, open_)
+    assert sorted(zip(index.keys, index.pieces)) == sorted(zip(new.keys, new.pieces))
+    assert sorted(zip(index.sums, index.firsts, index.seconds)) == sorted(zip(new.sums, new.firsts, new.seconds))
+
+
+def test_search_ends_at_the_bound_and_beats_best_fit_on_middle_lengths():
+    r = np.random.default_rng(1)
+    sizes = r.integers(200, 400, 1500)
+    assert len(P.pack(sizes, 1024)) < 0.98 * len(P.best_fit(sizes, 1024).items)
+    sizes = r.integers(1, 20, 3000)
+    assert len(P.pack(sizes, 1024, to_bound=True)) == -(-int(sizes.sum()) // 1024)
