@@ -2,8 +2,8 @@
 
 Only ids that have a link take part.  A large star hangs every larger neighbour of a node on the node's smallest
 neighbour, a small star does so with the smaller ones; both keep components whole, and the rounds end when the links are one star
-for each component.  A node's smallest neighbour is an aggregate with a map-side combine; the links of a
-hot node meet it in a join that AQE splits.  Each round is written to the shared folder, which also cuts lineage.
+for each component.  A node's smallest neighbour is an aggregate with a map-side combine, written before it
+meets the links, so that AQE can split the links of a hot node.  Each round is written to the shared folder, which also cuts lineage.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     """Links (u, v), u > v, to the links after one large or small star."""
     if larger:  # seen from every node, its larger neighbours
         sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         hung = links.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
     else:  # seen from the larger node, its smaller neighbours
-        least = links.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(links.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         hung = links.join(least, "u")
         hung = hung.select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
     return hung.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -38,6 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = materialise(_star(_star(now, True), False), "cc-links")
+        now = materialise(_star(materialise(_star(now, True), "cc-links"), False), "cc-links")
     members = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

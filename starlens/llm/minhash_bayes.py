@@ -373,7 +373,7 @@ def near_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     roots = class_links(classes, texts, shingle, percent, block)
     linked = classes.select("digest", "least", "cid").join(roots.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     linked = materialise(linked, "minhash-linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "minhash-least")
     named = materialise(linked.join(least, "root").select("digest", "component_id"), "minhash-named")
     with_words = d.where("n > 0").join(named, "digest").select("id", "n", "component_id")
     return with_words.unionByName(d.where("n = 0").select("id", "n", F.col("id").alias("component_id")))

@@ -175,8 +175,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     roots = materialise(components(links), "simhash-roots")
     linked = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialise(linked, "simhash-linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return d.join(linked.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    least = materialise(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    named = materialise(linked.join(least, "root").select("fp", "component_id"), "simhash-named")
+    return d.join(named, "fp").select("id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
