@@ -107,9 +107,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each repeated as often as the mix takes it (not at all for 0)."""
-    times, one = fresh_name(docs, "mix_repeats"), fresh_name(docs, "mix_id")
-    r = mix(docs, key, text, source, **options).groupBy(F.col("id").alias(one)).agg(F.max("repeats").cast("int").alias(times))
-    j = docs.join(r.where(F.col(times) > 0), F.col(key).eqNullSafe(F.col(one)))
+    times, one, its_source, its_size = (fresh_name(docs, n) for n in ("mix_repeats", "mix_id", "mix_source", "mix_size"))
+    # rows of one id, source and size are taken alike
+    r = mix(docs, key, text, source, **options).groupBy(F.col("id").alias(one), F.col("source").alias(its_source), F.col("size").alias(its_size))
+    r = r.agg(F.max("repeats").cast("int").alias(times))
+    same = F.col(key).eqNullSafe(F.col(one)) & F.col(source).cast("string").eqNullSafe(F.col(its_source)) & (n_words(text) == F.col(its_size))
+    j = docs.join(r.where(F.col(times) > 0), same)
     return j.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -62,6 +62,14 @@ def test_stage_repeats_rows(spark):
     assert {i: got.count(i) for i in want} == want and max(want.values()) == 3
 
 
+def test_stage_takes_rows_that_repeat_an_id_each_by_its_source(spark):
+    texts = [prose(20, i) for i in range(60)]
+    docs = unique_docs(spark, texts, lambda i: "b").unionByName(unique_docs(spark, texts[:30], lambda i: "a"))
+    want = {(g.id, g.source): g.repeats for g in M.mix(docs).collect()}
+    got = [(r.doc_id, r.source) for r in M.mix_documents(docs).collect()]
+    assert {k: got.count(k) for k in want} == want
+
+
 def test_empty_table_and_no_words(spark):
     assert M.mix(empty_docs(spark)).collect() == []
     assert M.mix_documents(empty_docs(spark)).collect() == []
