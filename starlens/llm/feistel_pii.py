@@ -239,7 +239,12 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, out: str = "text", found: str = "private") -> DataFrame:
-    """``docs`` with the rewritten text in ``out`` and the kinds of its values, in order, in ``found``."""
+    """``docs`` with the rewritten text in ``out`` and the kinds of its values, in order, in ``found``.
+
+    A column of ``docs`` that has the name ``found`` already would be lost, so that name is refused.
+    """
+    if found.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {found!r}; name another one for the kinds")
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     mail = F.contains(t, F.lit("@"))
     numbers = t.rlike(NUMBERS)
