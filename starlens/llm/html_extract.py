@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ CLEAR_WORDS = OUTSIDE_WORDS - GENERIC_WORDS
 # words that add nothing to a name, as in "sidebar-left" or "related-posts"
 FILLERS = frozenset(
     "area articles bar block body bottom box buttons col column container div inner item items left links list main page post posts right section site slot "
-    "stories thread top unit wrap wrapper".split()
+    "stories thread top unit wide wrap wrapper".split()
 )
 LAYOUT_WORDS = frozenset("has hide is no show with without".split())  # "no-sidebar" tells of the layout
 KEPT_TAGS = frozenset("html body article main".split())
@@ -97,8 +98,19 @@ def parse(page: str) -> Node:
     """The tree of a page; texts are children of type str, with character references decoded."""
     root = Node("#root")
     at, here, length = 0, root, len(page)
+    # no tag ends behind the last bracket, so the search need not look there, but a comment that never ends begins anywhere
+    ended = length if page.rfind("<!--") > page.rfind("-->") else page.rfind(">") + 1
+    opened: Counter[str] = Counter()  # names from the root down to ``here``: an end tag without a start is known at once
+
+    def up_to(node: Node | None) -> None:
+        """Closes the elements below ``node``."""
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while at < length:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, ended) if at < ended else None
         text = page[at : m.start()] if m else page[at:]
         if not m:
             text = UNENDED.sub("", text)
@@ -116,33 +128,29 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if ends:
-            if name == "p" and not _open(here, "p"):
-                continue
-            up = here
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened[name] > 0:
+                up = here
+                while up.tag != name:
+                    up = up.parent
+                up_to(up.parent)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"] > 0:
             up = here
             while up is not root and up.tag != "p" and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
+                up_to(up.parent)
         if name in IMPLIED:
             closes, barrier = IMPLIED[name]
-            up, last = here, None
-            while up is not root and up.tag not in barrier:
+            up, last, more = here, None, sum(opened[c] for c in closes)
+            while more > 0 and up is not root and up.tag not in barrier:
                 if up.tag in closes:
-                    last = up
+                    last, more = up, more - 1
                 up = up.parent
             if last is not None:
-                here = last.parent
-        if name == "body" or name == "html":
-            same = _open(here, name)
-            if same:
-                continue
+                up_to(last.parent)
+        if name in ("body", "html") and opened[name] > 0:
+            continue
         node = Node(name, attrs, here)
         here.children.append(node)
         if name in VOID or attrs.endswith("/") and name in RAW:
@@ -158,15 +166,10 @@ def parse(page: str) -> Node:
             if close:  # nothing of the head is text
                 at = close.start()
         here = node
+        opened[name] += 1
     return root
 
 
-def _open(node: Node, tag: str) -> Node | None:
-    while node is not None and node.tag != tag:
-        node = node.parent
-    return node
-
-
 def marked_outside(node: Node, most: bool = False, inside: bool = False) -> str:
     """Whether the element says that it is not part of the article: "out", "perhaps" (a word of a longer name says so), "large" (its name
     says so, but it holds most of the page's text) or "".  ``most``: it holds most of the page's text, so that a name such as
@@ -190,9 +193,11 @@ def marked_outside(node: Node, most: bool = False, inside: bool = False) -> str:
     for t in names:
         if len(t) == 1 and t <= OUTSIDE_WORDS and not (inside and t == {"header"}):
             return "out"
+        if t <= {"notice", "notices"} | FILLERS and t & {"notice", "notices"}:
+            return "out"
         if t <= OUTSIDE_WORDS | FILLERS and t & CLEAR_WORDS or t <= {"related"} | FILLERS and "related" in t or len(t & CLEAR_WORDS) > 1:
             return "out"
-    return "perhaps"
+    return "out" if _led_outside(a) else "perhaps"
 
 
 def _names(node: Node, a: dict[str, str] | None = None) -> list[set[str]]:
@@ -201,12 +206,16 @@ def _names(node: Node, a: dict[str, str] | None = None) -> list[set[str]]:
     return [{w.lower() for w in WORD.findall(n) if not w.isdigit()} for n in f"{a.get('class', '')} {a.get('id', '')}".split()]
 
 
-def _ends_outside(node: Node) -> bool:
-    """The last word of a name says what it names: "acme-footer" is a footer, "social-impact" is not."""
-    a = node.attributes()
+def _led_outside(a: dict[str, str]) -> bool:
+    """The first or the last word of a name, fillers aside, says what it names: "acme-footer" is a footer and "promo-card" an advert,
+    "social-impact" is neither."""
     for n in f"{a.get('class', '')} {a.get('id', '')}".split():
         words = [w.lower() for w in WORD.findall(n) if not w.isdigit()]
-        if words and words[-1] in CLEAR_WORDS and words[0] not in LAYOUT_WORDS:
+        while words and words[-1] in FILLERS:
+            words.pop()
+        while words and words[0] in FILLERS:
+            words.pop(0)
+        if words and words[0] not in LAYOUT_WORDS and (words[0] in CLEAR_WORDS or words[-1] in CLEAR_WORDS):
             return True
     return False
 
@@ -278,7 +287,7 @@ def prune(root: Node) -> None:
             if id(c) in holds or id(c) not in points:
                 continue
             linked = link_density(c, size) >= DENSE and points[id(c)] < FEW_POINTS
-            if linked or not inside and (_ends_outside(c) or id(c) not in within):
+            if linked or not inside and id(c) not in within:
                 cut.append(c)
         _cut(cut)
 

@@ -1,3 +1,5 @@
+import time
+
 from llm_cases import prose
 
 from starlens.llm import html_extract as H
@@ -60,6 +62,22 @@ def test_long_parts_beside_the_article_are_cut_by_their_name():
     assert H.extract("<div class=sidebar>" * 20000 + PARA[0]) == PARA[0]
 
 
+def test_clear_names_within_the_article_are_cut():
+    names = "sponsored-content advert-wide site-notice notice-box user-comments-wrap2 reader-comment promo-card cookie-message newsletter-form2 share-tools related-stories-wide comment-body ad-unit"
+    for name in names.split():
+        assert H.extract(page(f"<article><p>{PARA[0]}</p><div class='{name}'><p>{PARA[1]}</p></div><p>{PARA[2]}</p></article>")).split("\n\n") == [PARA[0], PARA[2]], name
+    for name in ("elementor-widget", "related-work", "social-impact", "header-image-caption", "no-sidebar", "with-comments"):
+        assert H.extract(page(f"<article><p>{PARA[0]}</p><div class='{name}'><p>{PARA[1]}</p></div><p>{PARA[2]}</p></article>")).split("\n\n") == PARA[:3], name
+
+
+def test_stray_tags_take_linear_time():
+    began = time.process_time()
+    assert H.extract("<i>" * 100_000 + "</b>" * 100_000 + PARA[0]) == PARA[0]
+    assert H.extract("<div>" * 50_000 + "<li>x" * 50_000).count("x") == 50_000
+    assert H.extract("text" + "<a href='" * 100_000) == "text"
+    assert time.process_time() - began < 30
+
+
 def test_formulas_and_xmp():
     html = page(f"<article><p>{PARA[0]} <math><semantics><mi>x</mi><mo>&lt;</mo><mn>2</mn><annotation>x \\lt 2</annotation></semantics></math> holds</p><xmp>a <b> &amp; c</xmp><p>end</article>")
     assert H.extract(html).split("\n\n") == [PARA[0] + " x<2 holds", "a <b> &amp; c", "end"]
