@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from starlens.functions import features as X
 from starlens.functions.text import word_count
+from starlens.sources.positions import read_csv_split
 from starlens.sources.schema import (
     PROJECTED_REVIEW,
     RAW_REVIEW,
@@ -75,17 +76,20 @@ def with_category(df: DataFrame, pattern: str = SHARD_PATTERN, group: int = 1, n
 
 
 def read_reviews_csv(
-    spark: SparkSession, path: str, schema: T.StructType = PROJECTED_REVIEW, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = PROJECTED_REVIEW, multi_line: bool | str = True
 ) -> DataFrame:
     """CSV with header, quotes doubled, newlines inside fields; pandas NA strings → NULL.
 
-    ``multi_line=True`` (needed when quoted fields may hold newlines) reads each file in one task;
-    ``multi_line=False`` splits large files by byte range, for files known to keep one record per line.
+    ``multi_line=True`` (fields may hold line breaks) finds the records by the parity of the quotes, so a large file is read by many
+    tasks; ``multi_line="whole"`` gives the same rows with one task per file; ``multi_line=False`` is for files known to keep one
+    record per line.
     """
+    if multi_line is True:
+        return normalise_na(read_csv_split(spark, path, schema))
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multi_line)
+        .option("multiLine", bool(multi_line))
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
