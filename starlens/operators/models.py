@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlens.session import materialise
+
 MAX_CENTROID_BYTES = 64 << 20
 DIGITS = 6
 
@@ -25,34 +27,62 @@ def mean_vectors(df: DataFrame, group: str, vec: str) -> DataFrame:
     )
 
 
-def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, label: str, out: str = "cluster") -> DataFrame:
+def _closest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and squared distance of the closest centre of each row; the first one wins a tie."""
+    best, dist = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for i, center in enumerate(centers):
+        d = ((x - center) ** 2).sum(axis=1)
+        nearer = d < dist
+        best[nearer], dist[nearer] = i, d[nearer]
+    return best, dist
+
+
+def nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str, label: str, out: str = "cluster", most_bytes: int = MAX_CENTROID_BYTES) -> DataFrame:
     """Assign each vector to its closest centroid (squared Euclidean; ties → smallest label).
 
-    The centroids are one matrix of at most ``MAX_CENTROID_BYTES`` (k × dimension × 8 bytes, checked before it is fetched), broadcast once
-    and compared with a batch of vectors at a time.
+    Up to ``most_bytes`` (k × dimension × 8 bytes, checked before they are fetched) the centroids are one broadcast matrix, compared with a batch of
+    vectors at a time.  More of them stay distributed, in blocks of that size; see ``_nearest_in_blocks``.
     """
     shape = centroids.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.max(F.size("centroid")), F.lit(0)).alias("d")).first()
-    if 8 * shape["k"] * shape["d"] > MAX_CENTROID_BYTES:
-        raise ValueError(f"{shape['k']} centroids of {shape['d']} dimensions exceed MAX_CENTROID_BYTES = {MAX_CENTROID_BYTES}")
     kind = centroids.schema[label].dataType
     if not shape["k"]:
         return df.withColumn(out, F.lit(None).cast(kind))
+    size = 8 * shape["k"] * shape["d"]
+    if size > most_bytes:
+        return _nearest_in_blocks(df, centroids, vec, label, out, -(-size // most_bytes))
     rows = sorted(centroids.select(label, "centroid").collect(), key=lambda r: r[0])
-    labels = df.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("_i", T.IntegerType()), T.StructField("_l", kind)]))
-    matrix = df.sparkSession.sparkContext.broadcast(np.array([r[1] for r in rows], float))
+    held = df.sparkSession.sparkContext.broadcast((np.array([r[1] for r in rows], float), pd.Series([r[0] for r in rows])))
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(kind)
     def closest(vectors: pd.Series) -> pd.Series:
-        c = matrix.value
-        x = np.array(vectors.tolist(), float).reshape(len(vectors), c.shape[1])
-        best, dist = np.zeros(len(x), np.int32), np.full(len(x), np.inf)
-        for i, center in enumerate(c):  # in label order, so that the smallest label wins a tie
-            d = ((x - center) ** 2).sum(axis=1)
-            nearer = d < dist
-            best[nearer], dist[nearer] = i, d[nearer]
-        return pd.Series(best)
-
-    return df.withColumn("_i", closest(F.col(vec))).join(labels.withColumnRenamed("_l", out), "_i").drop("_i")
+        centers, labels = held.value
+        x = np.stack(vectors.to_list()).astype(float) if len(vectors) else np.zeros((0, centers.shape[1]))
+        return labels.iloc[_closest(x, centers)[0]].reset_index(drop=True)
+
+    return df.withColumn(out, closest(F.col(vec)))
+
+
+def _nearest_in_blocks(df: DataFrame, centroids: DataFrame, vec: str, label: str, out: str, blocks: int) -> DataFrame:
+    """``nearest_centroid`` for any number of centroids: every block of rows meets every block of centroids in a task of its own, which
+    sends on one (distance, label) for each row; a row's smallest one wins.  Neither side is gathered or broadcast."""
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "centroid-rows")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = centroids.schema[label].dataType
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = rows.select("_row", F.col(vec).cast("array<double>").alias("x"), F.pmod(F.xxhash64("_row"), F.lit(parts)).alias("rb")).withColumn("cb", every(blocks))
+    right = centroids.select(F.col(label).alias("l"), F.col("centroid").cast("array<double>").alias("c"), F.pmod(F.xxhash64(F.col(label)), F.lit(blocks)).alias("cb")).withColumn("rb", every(parts))
+
+    def body(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(c):
+            return pd.DataFrame({"_row": [], "d": [], "l": []})
+        c = c.sort_values("l")
+        best, dist = _closest(np.stack(x["x"].to_list()), np.stack(c["c"].to_list()))
+        return pd.DataFrame({"_row": x["_row"].to_numpy(), "d": dist, "l": c["l"].to_numpy()[best]})
+
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("l", kind)])
+    found = left.groupBy("rb", "cb").cogroup(right.groupBy("rb", "cb")).applyInPandas(body, schema)
+    best = found.groupBy("_row").agg(F.min(F.struct("d", "l")).alias("m")).select("_row", F.col("m.l").alias(out))
+    return rows.join(best, "_row", "left").drop("_row")
 
 
 def regression_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:

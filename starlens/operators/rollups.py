@@ -85,32 +85,27 @@ def dataset_overview(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, columns) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear interpolation), max of each column, long form.
 
-    One pass reduces the rows to (column, value, count); quartiles are then found by rank over range-partitioned values, so
-    a column with very many distinct values (a timestamp) is in no single task.
+    Moments and extremes are one aggregate over the plain columns.  For the quartiles the rows are reduced to (column, value, count) and
+    ranked over range-partitioned values, so a column with very many distinct values (a timestamp) is in no single task.
     """
     from starlens.operators.quantiles import exact_quantiles
-    from starlens.session import materialise
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(F.inline(pairs)).where("value is not null and not isnan(value)")
-    counts = materialise(long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "describe-values")
-    v, n = F.col("value"), F.col("n")
-    first = counts.groupBy("column_name").agg(F.sum(n).alias("_n"), (F.sum(n * v) / F.sum(n)).alias("_mu"), F.min(v).alias("min_value"), F.max(v).alias("max_value"))
-    spread = counts.join(first, "column_name").groupBy("column_name", "_n", "_mu", "min_value", "max_value").agg(
-        F.sum(n * (v - F.col("_mu")) * (v - F.col("_mu"))).alias("_ss")
-    )
+
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}  # null stays null
+    moments = {"n": F.count, "_mean": F.avg, "_std": F.stddev_samp, "min_value": F.min, "max_value": F.max}
+    one = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[fn(v).alias(m) for m, fn in moments.items()]).alias(f"_{i}") for i, (c, v) in enumerate(values.items())])
+    first = one.select(F.inline(F.array(*[f"_{i}" for i in range(len(values))])))  # one row a column, those without values too
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), v.alias("value")) for c, v in values.items()])
+    counts = df.select(F.inline(pairs)).where("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     q = exact_quantiles(counts, "column_name", (0.25, 0.5, 0.75)).drop("n")
-    out = spread.join(q, "column_name").select(
+    return first.join(q, "column_name", "left").select(
         "column_name",
-        F.col("_n").alias("n"),
-        F.round("_mu", DIGITS).alias("mean"),
-        F.round(F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - 1)), DIGITS).alias("std"),
+        "n",
+        F.round("_mean", DIGITS).alias("mean"),
+        F.round("_std", DIGITS).alias("std"),
         "min_value",
         *[F.round(F.col("q")[i], DIGITS).alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
         "max_value",
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")  # a column without values has a row too
-    return names.join(out, "column_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def null_counts(df: DataFrame, columns=None) -> DataFrame:

@@ -254,17 +254,23 @@ def union_categories(spark, sf):
 
 @register(
     "schema_check",
-    """SELECT * FROM (VALUES ('rating', 'int', 'int', 'ok'), ('text_word_length', 'int', 'int', 'ok'), ('helpful_vote', 'bigint', 'bigint', 'ok'),
+    with_ctes(REVIEW_TEXTS)
+    + """, n AS (SELECT count(*) AS n FROM review_texts WHERE rating IS NOT NULL)
+  SELECT t.*, CASE WHEN t."column" = 'parent_asin' OR actual IS NOT NULL THEN n END AS n_values FROM n,
+       (VALUES ('rating', 'int', 'int', 'ok'), ('text_word_length', 'int', 'int', 'ok'), ('helpful_vote', 'bigint', 'bigint', 'ok'),
        ('verified_purchase', 'int', 'string', 'type_mismatch'), ('predict_stars', 'int', NULL, 'missing'), ('asin', 'string', 'string', 'ok'),
        ('parent_asin', 'string', 'string', 'ok'), ('user_id', 'string', 'string', 'ok'), ('timestamp', 'bigint', 'bigint', 'ok'),
        ('title', 'string', 'string', 'ok'), ('text', 'string', 'string', 'ok'), ('extra', NULL, 'double', 'unexpected'))
        AS t("column", expected, actual, status)""",
 )
 def schema_check_q(spark, sf):
-    """SRC-7: a projected table with one column of another type, one missing and one too many."""
+    """SRC-7: a projected table as landed, with one column of another type, one missing and one too many, and the values each column holds."""
     p = RD.review_projection(review_texts(spark, sf))
     p = p.withColumn("verified_purchase", F.col("verified_purchase").cast("string")).drop("predict_stars").withColumn("extra", F.lit(0.5))
-    return schema_check(p, PROJECTED_REVIEW)
+    landed = materialise(p, "schema-landed")
+    held = landed.agg(*[F.count(c).alias(c) for c in landed.columns])
+    held = held.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, landed.columns)), F.array(*landed.columns))).alias("column", "n_values"))
+    return schema_check(landed, PROJECTED_REVIEW).join(held, "column", "left")
 
 
 @register(

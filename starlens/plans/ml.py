@@ -225,16 +225,30 @@ def rf_check(spark, sf):
 # ---------------------------------------------------------------- chains
 
 
-@register(
-    "negative_clusters",
-    SENTIMENT_CTES
-    + """ SELECT count(*) AS n_members, count(*) AS n_keys, true AS labels_in_range, true AS keywords_ranked, CAST(0 AS BIGINT) AS n_strays
-  FROM scored JOIN embeddings ON vec_id = review_id WHERE sentiment < 0""",
-)
+def _head_sql(limit: int) -> str:
+    return SENTIMENT_CTES + f""", head AS (SELECT review_id FROM scored WHERE sentiment < 0 ORDER BY review_id LIMIT {limit})
+  SELECT count(*) AS n_members, count(*) AS n_keys, true AS labels_in_range, true AS keywords_ranked, CAST(0 AS BIGINT) AS n_strays
+  FROM head JOIN embeddings ON vec_id = review_id"""
+
+
+SMALL_HEAD = 80  # binds at every size
+
+
+@register("negative_clusters_head", _head_sql(SMALL_HEAD))
+def negative_clusters_head(spark, sf):
+    """The chain of ``negative_clusters`` with a head that binds."""
+    return _negative_clusters(spark, sf, SMALL_HEAD)
+
+
+@register("negative_clusters", _head_sql(NEG_HEAD))
 def negative_clusters(spark, sf):
     """Negative reviews → the first 10,000 by key → their embeddings → clusters → sizes and ten keywords a cluster, as one chain."""
+    return _negative_clusters(spark, sf, NEG_HEAD)
+
+
+def _negative_clusters(spark, sf, limit):
     neg = _sentiment(spark, sf).filter(F.col("sentiment") < 0)
-    head = S.head_n(neg.select("review_id"), NEG_HEAD, "review_id")
+    head = S.head_n(neg.select("review_id"), limit, "review_id")
     e = table(spark, sf, "embeddings")
     vectors = materialise(e.join(head, e.vec_id == head.review_id).select("review_id", "embedding"), "negative-vectors")
     lab = M.embedding_clusters(vectors, "embedding", "review_id")

@@ -125,16 +125,20 @@ def unseen_files(files: DataFrame, manifest: DataFrame, key: str = "file_name")
     return files.join(manifest.select(key), key, "left_anti")
 
 
-def write_version(df: DataFrame, dst: str, version: int) -> None:
-    """A complete result as version N beside earlier ones; the pointer row is written after it, so readers never see part of one."""
-    df.write.mode("overwrite").parquet(f"{dst}/version={version}")
-    df.sparkSession.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{dst}_pointer/version={version}")
+def write_version(df: DataFrame, dst: str, version: int, run: str = "0") -> None:
+    """A complete result as version N of a run beside earlier ones; the pointer row is written after it, so readers never see part of one.
+
+    A fresh checkpoint is another run and starts its versions at 0 again, so the pointer names the run and when it was written.
+    """
+    df.write.mode("overwrite").parquet(f"{dst}/run={run}/version={version}")
+    row = df.sparkSession.range(1).select(F.lit(time.time_ns()).alias("written"))
+    row.write.mode("overwrite").parquet(f"{dst}_pointer/run={run}/version={version}")
 
 
 def read_latest(spark: SparkSession, dst: str) -> DataFrame:
-    """The newest complete version."""
-    newest = spark.read.parquet(f"{dst}_pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{dst}/version={newest}")
+    """The complete version that was written last."""
+    newest = spark.read.schema("written long, run string, version long").parquet(f"{dst}_pointer").orderBy(F.desc("written")).first()
+    return spark.read.parquet(f"{dst}/run={newest['run']}/version={newest['version']}")
 
 
 def stream_monthly_trend(
@@ -173,7 +177,7 @@ def stream_monthly_trend(
     )
     q = (
         agg.writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, batch_id: write_version(batch, dst, batch_id))
+        .foreachBatch(lambda batch, batch_id: write_version(batch, dst, batch_id, run_id(batch.sparkSession, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -89,3 +89,16 @@ def test_head_n_is_the_top_n(spark):
             want = sorted(r["v"] for r in df.orderBy(*keys).limit(n).collect())
             assert sorted(r["v"] for r in S.head_n(df, n, keys).collect()) == want
     assert S.head_n(df.limit(0), 5, "t").count() == 0
+
+
+def test_cuts_by_hash_prefixes_refine_large_buckets(spark):
+    """The same cut rows as by ordering everything, however small a bucket has to be; nulls, ties of strata and empty strata included."""
+    from starlens.operators import sampling as S
+
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3).alias("g"))
+    order = S._hashed(["id"], 42)
+    for strata in ({}, {"_s0": F.col("g")}):
+        for target in (lambda n: F.lit(5), lambda n: F.floor(n * 0.8), lambda n: n, lambda n: F.lit(0)):
+            want = sorted(map(tuple, S.cut_rows(df, strata, order, target).collect()), key=repr)
+            for small in (1, 100_000):
+                assert sorted(map(tuple, S.hashed_cuts(df, strata, order, target, small).collect()), key=repr) == want
