@@ -8,6 +8,7 @@ from starlens.functions import features as X
 from starlens.operators import products as P
 from starlens.operators import sampling as S
 from starlens.operators import sentiment as SE
+from starlens.operators.groupfn import group_apply
 from starlens.plans.fixtures_sql import LEXICON, REVIEW_TEXTS, WS, strip_sql, with_ctes, word_count_sql
 from starlens.plans.registry import register
 from starlens.plans.texts import clean_text_sql
@@ -282,6 +283,23 @@ def head_small_negative(spark, sf):
     return S.head_n(d, HEAD_SMALL, ["sentiment", "review_id"]).select("review_id", F.round("sentiment", 6).alias("sentiment"))
 
 
+def _risk_update(state, rows):
+    """(reviews, negative ones, scored ones, sum of the scores) with more rows."""
+    v = [x for x in rows.column("sentiment").to_pylist() if x is not None]
+    return state[0] + rows.num_rows, state[1] + sum(x < 0 for x in v), state[2] + len(v), state[3] + sum(v)
+
+
+@register("group_function_risk", PRODUCT_CTES + " SELECT asin, reputation_risk FROM stats")
+def group_function_risk(spark, sf):
+    """AGG-20 as a user's own group function: states per task, merged, and finished per product."""
+    feats = P.product_features(_sentiment(spark, sf)).where("asin is not null")
+    risk = group_apply(
+        feats, ["asin"], ["sentiment"], lambda: (0, 0, 0, 0.0), _risk_update, lambda a, b: tuple(x + y for x, y in zip(a, b)),
+        lambda s: {"risk": s[0] / (s[1] + 1) * abs(s[3] / s[2]) if s[2] else None}, "risk double",
+    )
+    return risk.select("asin", F.round("risk", P.DIGITS).alias("reputation_risk"))
+
+
 @register("reputation_risk", PRODUCT_CTES + " SELECT asin, reputation_risk FROM stats")
 def reputation_risk(spark, sf):
     """AGG-20: n / (negatives + 1) · |mean sentiment| per product, from built-in aggregates."""
