@@ -14,7 +14,8 @@ Values that fail validation (a 16-digit number without a Luhn sum, an octet of 3
 Not taken for personal data: slash dates that are no MM/dd/yyyy, ten digits without a separator, and national phone numbers in other groups than 3-3-4.
 
 Each row is rewritten on its own: no shuffle, no state, no key skew.  Defined cases: null text counts as empty; texts of any length
-are read whole; repeated rows get equal results; an empty table gives an empty result.
+are read whole; repeated rows and equal values get equal results; an empty table gives an empty result; other columns pass through, and a
+column that has the name of the output of kinds is refused.
 """
 
 from __future__ import annotations

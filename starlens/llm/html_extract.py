@@ -9,7 +9,7 @@ The text comes out as blocks in page order.
 
 Each page is parsed on its own in an Arrow map: no shuffle.  Defined cases: null or empty html gives the empty text; broken markup
 is read as far as it goes (an unclosed tag or comment at the end is dropped); pages of any length are read whole; repeated
-rows get equal results; an empty table gives an empty result.
+rows get equal results; of containers with equal points the first one found is the best; an empty table gives an empty result; columns other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

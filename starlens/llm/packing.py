@@ -10,7 +10,8 @@ third; both end their search early where fewer bins can't hold their pieces.
 Only (id, length, checksums) is shuffled.  A shard's size does not depend on sources or copies, so no key is hot.
 
 Defined cases: null text counts as empty: one piece, the end mark alone; a text of any length is encoded whole; repeated
-rows are packed each on its own; an empty table gives an empty result.
+rows are packed each on its own; pieces of equal length are taken in the order of their rows; an empty table gives an empty result; columns
+other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

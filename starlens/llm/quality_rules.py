@@ -6,7 +6,7 @@ each document in that order and stops at the first rule that rejects it.  The ve
 order changes the cost only, never the result.
 
 Defined cases: null text counts as the empty text; the empty text has no words and is rejected by ``few_words``;
-repeated rows are judged one by one; an empty table gives an empty result; other columns pass through untouched.
+texts of any length are read whole; repeated rows are judged one by one; rules of equal worth keep their given order; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Spark has no function for match positions; they follow from the texts between ma
 (``regexp_extract_all``), added up in order per row and rule.
 
 Defined cases: null text counts as empty; texts of any length are scanned whole; rows of one id are separate rows; an empty
-table gives an empty result; positions are code points.
+table gives an empty result; positions are code points; spans that begin alike are ordered by kind as listed; columns other than those named
+are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ all its partners.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero, linked like any other; equal fingerprints
 are one class; texts are read whole; a null id takes part in its class, and a class's id is its smallest id that is not null;
-repeated rows are rows of one class; an empty table gives an empty result.
+repeated rows are rows of one class; an empty table gives an empty result; columns other than those named are not read, so their names can't clash, and
+``keep_representatives`` passes them through.
 """
 
 from __future__ import annotations

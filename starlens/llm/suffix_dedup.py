@@ -19,7 +19,8 @@ window in a task.  All of it is exact.
 Documents are shuffled once, by group; the three passes over them share that exchange.
 
 Defined cases: null counts as the empty text; texts below ``LENGTH`` bytes lose nothing; earlier means a smaller id, then (rows of one
-id) an earlier row number, then an earlier start; a null id comes first; an empty table gives an empty result.
+id) an earlier row number, then an earlier start; a null id comes first; texts of any
+length are read whole; an empty table gives an empty result; columns other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 import datetime
 import re
 
+import pytest
 from llm_cases import edge_docs, edge_rows, empty_docs, prose, unique_docs
 from pyspark.sql import functions as F
 
@@ -116,6 +117,14 @@ def test_long_text_with_many_values(spark):
     assert keep(new) == keep(t)
 
 
+def test_a_column_named_as_the_kinds_is_refused(spark):
+    docs = edge_docs(spark).withColumn("Private", F.lit("mine"))
+    with pytest.raises(ValueError, match="private"):
+        P.pseudonymise(docs)
+    out = P.pseudonymise(docs, found="kinds")
+    assert {r.Private for r in out.collect()} == {"mine"} and out.columns == [*docs.columns, "kinds"]
+
+
 def test_main_path_is_native(spark):
     plan = P.pseudonymise(edge_docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
