@@ -287,10 +287,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(arrow_rows(judge, schema), "a long, b long")
 
 
-def open_cells(members: DataFrame, roots: DataFrame, keys: DataFrame, block: int) -> DataFrame:
-    """Members of buckets ``keys`` that still hold several components, dealt to cells: those outside the largest one (left) meet all (right)."""
-    m = members.join(keys, "key", "left_semi").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    m = materialise(m.select("key", "cid", "n", "sig", "root"), "minhash-open")
+def open_cells(members: DataFrame, sets: DataFrame, roots: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """Members of buckets ``keys`` that still hold several components, dealt to cells: those outside the largest one (left) meet all (right).
+
+    Ids alone are moved here: most buckets turn out to be done, and signatures and sets join the cells that are left.
+    """
+    # a member without a set has no surviving pair in its bucket
+    m = members.select("key", "cid").join(keys, "key", "left_semi").join(sets.select(F.col("row").alias("cid")), "cid", "left_semi")
+    m = m.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    m = materialise(m.select("key", "cid", "root"), "minhash-open")
     sizes = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"))
     main = main.where("kinds > 1").select("key", "main", F.ceil((F.col("all") - F.col("in_main")) / block).alias("lb"), F.ceil(F.col("all") / block).alias("rb"))
@@ -299,11 +304,11 @@ def open_cells(members: DataFrame, roots: DataFrame, keys: DataFrame, block: int
     place = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
     left = m.where("out").withColumn("i", place("lb")).withColumn("j", spread("rb")).withColumn("side", F.lit(0))
     right = m.withColumn("j", place("rb")).withColumn("i", spread("lb")).withColumn("side", F.lit(1))
-    columns = ["key", "i", "j", "side", "cid", "n", "root", "out", "sig"]
+    columns = ["key", "i", "j", "side", "cid", "root", "out"]
     return left.select(*columns).unionByName(right.select(*columns))
 
 
-def cell_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def cell_links(cells: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components, found in each cell by verifying its surviving pairs, likeliest first."""
     least = least_matches(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -330,7 +335,8 @@ def cell_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     label[max(a, b)] = min(a, b)
                     yield int(c["cid"][i[k]]), int(c["cid"][j[k]])
 
-    both = cells.join(sets.select(F.col("row").alias("cid"), "shingles"), "cid").select("key", "i", "j", "side", "cid", "n", "root", "out", "sig", "shingles")
+    full = classes.select("cid", "n", "sig").join(sets.select(F.col("row").alias("cid"), "shingles"), "cid")
+    both = cells.join(full, "cid").select("key", "i", "j", "side", "cid", "n", "root", "out", "sig", "shingles")
     p = partitions(cells.sparkSession)
     dealt = both.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cid")
     return dealt.mapInArrow(lambda batches: _emit(rows(batches), schema), "a long, b long")
@@ -355,12 +361,10 @@ def class_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int
     sets = sets_of(texts, needed, shingle)
     links = materialise(verified(pairs, sets, percent), "minhash-links")
     roots = materialise(components(links), "minhash-roots")
-    # a member without a set has no surviving pair in its bucket
-    having = members.join(sets.select(F.col("row").alias("cid")), "cid", "left_semi")
-    left = materialise(open_cells(having, roots, cells.select("key").distinct(), max(1, block // 2)), "minhash-cells")
+    left = materialise(open_cells(members, sets, roots, cells.select("key").distinct(), max(1, block // 2)), "minhash-cells")
     if left.isEmpty():
         return roots
-    more = materialise(cell_links(left, sets, percent), "minhash-links")
+    more = materialise(cell_links(left, classes, sets, percent), "minhash-links")
     return materialise(components(links.unionByName(more)), "minhash-roots") if not more.isEmpty() else roots
 
 
