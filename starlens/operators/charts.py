@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from starlens.operators.quantiles import exact_quantiles
 
 DIGITS = 6
+MOMENTS = 5  # of the offsets in a bin of a binned density
 
 
 def _group_side(stats: DataFrame, name: str) -> DataFrame:
@@ -97,6 +98,47 @@ def kde(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0) ->
     )
 
 
+def kde_binned(df: DataFrame, col: str, by: str, grid: int = 200, cut: float = 3.0, per_h: int = 32) -> DataFrame:
+    """(group, point 0..grid-1, x, density): the density of ``kde`` for columns of many distinct values, in two passes over the rows.
+
+    Values fall into bins of h / ``per_h``; a bin keeps its count and the first ``MOMENTS`` moments of the offsets from its middle, and the kernel is
+    expanded around the middle (its derivatives are Hermite polynomials times the kernel).  An offset is at most u = 1 / (2 * per_h) bandwidths, so
+    the relative truncation is below u^6 / 720 * max|He6| (2e-13 of the kernel's height at 32 bins a bandwidth).  Rows become one row per group and
+    bin by a map-side combine; a bin meets the grid, a row never does.  Bins grow with range / h, not with the rows.
+
+    NaN, infinite and null values and null groups take no part; groups with fewer than 2 values or zero spread emit nothing.
+    """
+    from starlens.session import materialise
+
+    x = F.col(col).cast("double")
+    d = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & F.col(by).isNotNull()).select(by, x.alias("_x"))
+    stats = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    stats = stats.where("_n >= 2 and _sd > 0").withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    stats = stats.withColumn("_g0", F.col("_lo") - cut * F.col("_h"))
+    stats = _group_side(stats.withColumn("_step", (F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / F.lit(grid - 1)), "kde-groups")
+    h, lo = F.col("_h"), F.col("_lo")
+    placed = d.join(stats.select(by, "_lo", "_h"), by).withColumn("_bin", F.floor((F.col("_x") - lo) / h * per_h))
+    placed = placed.select(by, "_bin", ((F.col("_x") - lo) / h - (F.col("_bin") + 0.5) / per_h).alias("_o"))  # offset in bandwidths
+    moments = [F.sum(F.pow("_o", F.lit(k)) if k else F.lit(1.0)).alias(f"_m{k}") for k in range(MOMENTS + 1)]
+    bins = materialise(placed.groupBy(by, "_bin").agg(*moments), "kde-bins").join(stats, by)
+    middle = (F.col("_bin") + 0.5) / per_h  # in bandwidths above _lo
+
+    def contrib(k):
+        z = (F.col("_g0") + k * F.col("_step") - lo) / h - middle
+        # phi(z - o) = phi(z) * sum of He_j(z) * o^j / j!
+        he = [F.lit(1.0), z]
+        for j in range(1, MOMENTS):
+            he.append(z * he[j] - j * he[j - 1])
+        total = F.col("_m0")
+        for j in range(1, MOMENTS + 1):
+            total = total + he[j] * F.col(f"_m{j}") / math.factorial(j)
+        return F.exp(-0.5 * z * z) * total / (math.sqrt(2 * math.pi) * h * F.col("_n"))
+
+    points = bins.select(by, *[c for c in bins.columns if c != by], F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    out = points.groupBy(by, "point").agg(F.sum(contrib(F.col("point"))).alias("density"), F.first("_g0").alias("_g0"), F.first("_step").alias("_step"))
+    return out.select(by, "point", (F.col("_g0") + F.col("point") * F.col("_step")).alias("x"), "density")
+
+
 def box_stats(df: DataFrame, col: str, by: str, whisker: float = 1.5) -> DataFrame:
     """Per group: exact quartiles, whiskers (furthest values within whisker·IQR of the box) and outlier count."""
     from starlens.session import materialise

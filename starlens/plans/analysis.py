@@ -187,6 +187,21 @@ def kde_length_all(spark, sf):
     return C.kde(d, "review_words", _KDE_GROUP, 200)
 
 
+@register(
+    "kde_price",
+    """WITH t AS (SELECT l_returnflag AS grp, CAST(l_extendedprice AS DOUBLE) / 1000 AS x FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL),
+  st AS (SELECT grp, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM t GROUP BY grp),
+  g AS (SELECT grp, k AS point, (lo - 3.0 * h) + k * ((hi - lo + 6.0 * h) / 199) AS gx, h, n FROM st, range(0, 200) r(k) WHERE n >= 2 AND h > 0)
+  SELECT g.grp AS l_returnflag, CAST(point AS INT) AS point, round(gx, 6) AS x,
+         round(sum(exp(-0.5 * ((gx - x) / h) * ((gx - x) / h))) / sqrt(2 * pi()) / any_value(h * n), 6) AS density
+  FROM g JOIN t USING (grp) GROUP BY g.grp, point, gx""",
+)
+def kde_price(spark, sf):
+    """VIZ-2 on a column of many distinct values: density of line prices (thousands) by return flag, from binned moments."""
+    d = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+    return C.kde_binned(d, "price", "l_returnflag", 200).withColumn("x", F.round("x", 6)).withColumn("density", F.round("density", 6))
+
+
 @register(
     "box_rating_diff",
     with_ctes(REVIEW_TEXTS, TEXTS_PREPARED)
