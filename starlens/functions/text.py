@@ -105,13 +105,14 @@ def strip_html(c) -> Column:
     return decode_references(F.when(F.instr(src, "<") > 0, col).otherwise(src))
 
 
-def clean_text(c, abbreviations=ABBREVIATIONS, word_boundary: bool = False) -> Column:
+def clean_text(c, abbreviations=ABBREVIATIONS, word_boundary: bool = False, strip=strip_html) -> Column:
     """strip HTML → drop punctuation (keep word chars and whitespace) → lower → expand abbreviations.
 
     Non-string / null → "".  Abbreviations are replaced as substrings by default (so "lollipop"
-    changes too); ``word_boundary=True`` only replaces whole words.
+    changes too); ``word_boundary=True`` only replaces whole words.  ``strip`` takes the markup off;
+    ``markup.strip_markup`` reads it as the HTML standard does.
     """
-    col = strip_html(F.coalesce(_c(c), F.lit("")))
+    col = strip(F.coalesce(_c(c), F.lit("")))
     col = F.lower(F.regexp_replace(col, NOT_WORD_OR_WS, ""))
     for abbr, full in abbreviations:
         if word_boundary:
