@@ -19,6 +19,7 @@ from starlens.sources.tables import review_texts
 from starlens.streaming.rows import ingest_rows
 
 SHARDS, HEAD, CAP, CHUNK, STOP, BATCH = 8, 100, 60, 50, 40, 200
+TOGETHER = 500  # batches of a trigger, at most
 
 _NUMBERED = with_ctes(
     REVIEW_TEXTS,
@@ -93,11 +94,11 @@ def resume_by_line(spark, sf):
 
 @register("stream_rows", with_ctes(REVIEW_TEXTS) + f" SELECT review_id, CAST((row_number() OVER (ORDER BY review_id) - 1) // {BATCH} AS INT) AS batch_id FROM review_texts")
 def stream_rows(spark, sf):
-    """STR-1: micro-batches of exactly 200 lines but the last; the query stops after two of them and goes on inside the file."""
+    """STR-1: batches of exactly 200 lines but the last, up to 500 of them a trigger; the query stops after two of them and goes on inside the file."""
     src, dst, ck = _land(spark, sf, 1), scratch_path(spark, "rows-dst"), scratch_path(spark, "rows-ckpt")
-    keep = lambda b: b.select(F.get_json_object("value", "$.review_id").cast("long").alias("review_id"))
-    ingest_rows(spark, src, dst, ck, BATCH, keep, batches=2)
-    ingest_rows(spark, src, dst, ck, BATCH, keep)
+    keep = lambda b: b.select(F.get_json_object("value", "$.review_id").cast("long").alias("review_id"), "batch_id")
+    ingest_rows(spark, src, dst, ck, BATCH, keep, batches=2, together=TOGETHER)
+    ingest_rows(spark, src, dst, ck, BATCH, keep, together=TOGETHER)
     return spark.read.parquet(dst).select("review_id", "batch_id")
 
 

@@ -117,3 +117,21 @@ def test_batches_of_exactly_n_lines_go_on_inside_a_file(spark):
     run()
     run()
     assert sorted(r.value for r in out()) == sorted([*lines, "later"])
+
+
+def test_many_batches_go_through_one_trigger(spark):
+    lines = [f"line {i}" for i in range(230)]
+    src = _write({"part-0": lines[:150], "part-1": lines[150:]})
+    top = tempfile.mkdtemp(prefix="starlens-test-")
+    run = lambda **o: R.ingest_rows(spark, src, f"{top}/dst", f"{top}/ck", rows=20, together=5, **o)
+    out = lambda: {r.value: r.batch_id for r in spark.read.parquet(f"{top}/dst").collect()}
+    run(batches=2)
+    assert out() == {x: i // 20 for i, x in enumerate(lines[:40])}
+    run()
+    assert out() == {x: i // 20 for i, x in enumerate(lines)}
+    assert R.last_offset(spark, f"{top}/ck")["batch"] == 12
+    assert len(spark.read.text(f"{top}/ck/commits", wholetext=True).collect()) == 3  # 2 batches, 5, 5
+    with open(f"{src}/part-2", "w") as f:
+        f.write("later\n")
+    run()
+    assert out()["later"] == 12 and len(out()) == 231
