@@ -46,23 +46,25 @@ def _unsure(core: Column) -> Column:
     return core.rlike(r"^(\p{L}\.|[0-9]+\.|.*\.\.)$")
 
 
-def _tokens(texts: DataFrame, text: str) -> DataFrame:
-    """One row per token: its core, its type, and the core before it."""
+def _pairs(texts: DataFrame, text: str) -> DataFrame:
+    """One row per token: as it is written (t), and the one before it (p)."""
     w = texts.select(word_tokens(F.col(text)).alias("w"))
     shifted = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("w")), 1, F.size("w"))
-    t = w.select(F.explode(F.arrays_zip(F.col("w").alias("t"), shifted.alias("p"))).alias("z"))
-    return t.select(_core(F.col("z.t")).alias("core"), _core(F.col("z.p")).alias("before")).withColumn("type", _type(F.col("core")))
+    return w.select(F.inline(F.arrays_zip(F.col("w").alias("t"), shifted.alias("p"))))
 
 
 def type_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(type, n, n_dot, n_lower, n_capital): uses, uses before one period, written small, with a capital inside a sentence."""
-    t = _tokens(texts, text).where(F.col("type").rlike(r"\p{L}"))
-    inside = F.col("before").isNotNull() & ~F.col("before").rlike(r"[.!?:]$")
+    # uses are counted by token as it is written, so that the patterns see each distinct token once
+    inside = F.col("p").isNotNull() & ~F.col("p").rlike(r"[.!?:][\"')\]]*$")
+    t = _pairs(texts, text).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.count_if(inside).alias("c_inside"))
+    t = t.select("c", "c_inside", _core(F.col("t")).alias("core")).withColumn("type", _type(F.col("core"))).where(F.col("type").rlike(r"\p{L}"))
+    uses = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
     return t.groupBy("type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(_one_period(F.col("core"))).alias("n_dot"),
-        F.count_if(F.col("core").rlike(r"^\p{Ll}")).alias("n_lower"),
-        F.count_if(inside & F.col("core").rlike(r"^\p{Lu}")).alias("n_capital"),
+        F.sum("c").alias("n"),
+        uses("c", _one_period(F.col("core"))).alias("n_dot"),
+        uses("c", F.col("core").rlike(r"^\p{Ll}")).alias("n_lower"),
+        uses("c_inside", F.col("core").rlike(r"^\p{Lu}")).alias("n_capital"),
     )
 
 
@@ -98,7 +100,9 @@ def learn_boundaries(texts: DataFrame, text: str = "text") -> DataFrame:
     # types behind a sure boundary: first per (word before, type), so that the abbreviations meet counts and not tokens
     before = F.col("before")
     sure = F.when(before.rlike(r"[!?]$"), F.lit("")).when(before.rlike(r"\.$") & ~_unsure(before), _type(before))
-    behind = _tokens(texts, text).where(F.col("type").rlike(r"\p{L}")).select("type", sure.alias("word")).where("word is not null")
+    ended = _pairs(texts, text).where(F.col("p").rlike(r"[.!?][\"')\]]*$"))  # few tokens follow an end mark: the other patterns see only those
+    behind = ended.select(_core(F.col("t")).alias("core"), _core(F.col("p")).alias("before")).withColumn("type", _type(F.col("core")))
+    behind = behind.where(F.col("type").rlike(r"\p{L}")).select("type", sure.alias("word")).where("word is not null")
     behind = behind.groupBy("word", "type").agg(F.count(F.lit(1)).alias("c"))
     abbreviations = marked.where("is_abbreviation").select(F.col("type").alias("word"))
     after = materialise(behind.join(abbreviations, "word", "left_anti").groupBy("type").agg(F.sum("c").alias("n_after")), "boundary-starters")
@@ -119,7 +123,7 @@ def split_sentences(df: DataFrame, model: DataFrame, key: str = "review_id", tex
     following = F.slice(F.concat(F.col("p"), F.array(F.lit(None).cast("string"))), 2, F.size("p"))
     d = d.select("_key", F.posexplode(F.arrays_zip(F.col("p").alias("piece"), following.alias("next"))).alias("i", "z"))
     word = lambda c, place: F.regexp_extract(c, place, 1)
-    last, first = _core(word(F.col("z.piece"), r"([^\s\x{1C}-\x{1F}\x{85}\p{Z}]+)$")), _core(word(F.col("z.next"), r"^([^\s\x{1C}-\x{1F}\x{85}\p{Z}]+)"))
+    last, first = _core(word(F.col("z.piece"), r"(?<![^\s\x{1C}-\x{1F}\x{85}\p{Z}])([^\s\x{1C}-\x{1F}\x{85}\p{Z}]++)$")), _core(word(F.col("z.next"), r"^([^\s\x{1C}-\x{1F}\x{85}\p{Z}]+)"))
     d = d.select("_key", "i", F.col("z.piece").alias("piece"), last.alias("last"), first.alias("first"), F.col("z.next").isNull().alias("ends"))
     d = d.withColumn("word", _type(F.col("last"))).withColumn("dot", F.col("last").rlike(r"\.$"))
     abbreviations = model.where("is_abbreviation").select(F.col("type").alias("word"), F.lit(True).alias("known"))
