@@ -41,6 +41,7 @@ MISS = 1e-6  # chosen probability of losing a pair at the threshold
 BLOCK = 512  # members of a bucket that are compared with each other in one task
 SEED = 11
 CACHE_WORDS = 200_000
+SIG = "<u2"  # a hash of a signature
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,7 +78,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 512):
         np.minimum(least, (shingles[at : at + 512, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    # 16 mixed bits of each minimum: unequal minima agree once in 65,536, which can only keep a pair for the verification
+    least = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (least >> np.uint64(48)).astype(SIG)
 
 
 def banding(percent: int, miss: float = MISS) -> int:
@@ -148,7 +151,7 @@ def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     out = {}
     for name, c in zip(batch.schema.names, batch.columns):
         if name == "sig":
-            out[name] = np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(len(c), HASHES)
+            out[name] = np.frombuffer(b"".join(c.to_pylist()), SIG).reshape(len(c), HASHES)
         elif pa.types.is_binary(c.type):
             out[name] = np.array([*c.to_pylist(), None], object)[:-1]
         else:
@@ -250,7 +253,7 @@ def star_pairs(members: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     def body(batches):
         for batch in batches:
             c = {n: batch.column(n) for n in batch.schema.names}
-            sig = [np.frombuffer(b"".join(c[x].to_pylist()), "<u4").reshape(batch.num_rows, HASHES) for x in ("sig", "pivot_sig")]
+            sig = [np.frombuffer(b"".join(c[x].to_pylist()), SIG).reshape(batch.num_rows, HASHES) for x in ("sig", "pivot_sig")]
             size = np.concatenate([c["n"].to_numpy(), c["pivot_n"].to_numpy()])
             at = np.arange(batch.num_rows)
             i, _, _ = survivors(np.concatenate(sig), size, at, at + batch.num_rows, percent, least)

@@ -114,3 +114,12 @@ def test_representatives_and_empty_table(spark):
     want = [r.id for r in M.near_sets(docs).collect() if r.id == r.component_id]
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, want))
     assert M.near_sets(empty_docs(spark)).collect() == []
+
+
+def test_signatures_take_two_bytes_a_hash():
+    hashes = M.WordHashes()
+    sets = [M.shingle_set(prose(300, i), 3, hashes) for i in range(40)]
+    sigs = np.stack([M.signature(s) for s in sets])
+    assert len(sigs[0].tobytes()) == 2 * M.HASHES
+    agree = [(sigs[i] == sigs[j]).mean() for i in range(40) for j in range(i) if not len(np.intersect1d(sets[i], sets[j]))]
+    assert not agree or np.mean(agree) < 0.001
