@@ -55,10 +55,10 @@ def _pairs(texts: DataFrame, text: str) -> DataFrame:
 
 def type_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     """(type, n, n_dot, n_lower, n_capital): uses, uses before one period, written small, with a capital inside a sentence."""
-    # uses are counted by token as it is written, so that the patterns see each distinct token once
+    # uses are counted by token as it is written, so that the patterns see each distinct token once; written, or the filter by type would move below the sum
     inside = F.col("p").isNotNull() & ~F.col("p").rlike(r"[.!?:][\"')\]]*$")
     t = _pairs(texts, text).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.count_if(inside).alias("c_inside"))
-    t = t.select("c", "c_inside", _core(F.col("t")).alias("core")).withColumn("type", _type(F.col("core"))).where(F.col("type").rlike(r"\p{L}"))
+    t = materialise(t, "boundary-tokens").select("c", "c_inside", _core(F.col("t")).alias("core")).withColumn("type", _type(F.col("core"))).where(F.col("type").rlike(r"\p{L}"))
     uses = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
     return t.groupBy("type").agg(
         F.sum("c").alias("n"),
