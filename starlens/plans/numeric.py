@@ -9,6 +9,7 @@ from starlens.operators import rollups as R
 from starlens.operators.prepare import prepare_reviews
 from starlens.plans.fixtures_sql import PREPARED, REVIEW_TEXTS, REVIEWS, with_ctes, word_count_sql
 from starlens.plans.registry import register
+from starlens.session import materialise
 from starlens.sources.tables import review_texts, reviews
 
 PRODUCT_MIN, USER_MIN, TOP_K = 20, 5, 10
@@ -300,5 +301,7 @@ def top_product_samples(spark, sf):
     from starlens.operators import sampling as S
 
     df = _prepared(spark, sf)
-    rows = R.rows_of(df, R.mismatch(df, "product_id", PRODUCT_MIN, 1), "product_id", only_misleading=True)
-    return S.sample_n(rows.select("review_id", "predict_stars", "rating"), 5, ["review_id"])
+    # the sample reads its rows three times: the top product and its rows are written once
+    top = materialise(R.mismatch(df, "product_id", PRODUCT_MIN, 1).select("product_id"), "top-product")
+    rows = R.rows_of(df, top, "product_id", only_misleading=True).select("review_id", "predict_stars", "rating")
+    return S.sample_n(materialise(rows, "top-product-rows"), 5, ["review_id"])
