@@ -56,8 +56,8 @@ def _rq2(spark, sf):
     return d, V.term_stats(stats, n, RQ2_MIN_DF, RQ2_MAX_DF, RQ2_FEATURES), n
 
 
-def _rq3(spark, sf):
-    d = review_texts(spark, sf).withColumn("clean_text", clean("text"))
+def _rq3(spark, sf, keep):
+    d = V.counted(review_texts(spark, sf).withColumn("clean_text", clean("text")), "clean_text", [keep])
     stats, n = V.corpus_terms(d, "clean_text")
     return d, V.term_stats(stats, n, RQ3_MIN_DF, RQ3_MAX_DF, None)
 
@@ -98,7 +98,7 @@ def top_terms_per_topic(spark, sf):
 @register("count_matrix", RQ3_CTES + " SELECT review_id, term, tf FROM dt JOIN vocab USING (term)")
 def count_matrix(spark, sf):
     """TXT-3: term counts of cleaned text, 2 ≤ df ≤ 95 %, every such term, long form."""
-    d, vocab = _rq3(spark, sf)
+    d, vocab = _rq3(spark, sf, "review_id")
     return V.count_matrix(V.doc_terms(d, "clean_text", ["review_id"]), vocab).select("review_id", "term", "tf")
 
 
@@ -112,7 +112,7 @@ def count_matrix(spark, sf):
 )
 def cluster_keywords(spark, sf):
     """AGG-22: per cluster (here the given topic), the 10 terms with the largest summed count."""
-    d, vocab = _rq3(spark, sf)
+    d, vocab = _rq3(spark, sf, "topic")
     counts = V.count_matrix(V.doc_terms(d, "clean_text", ["topic"]), vocab)
     return V.cluster_keywords(counts, "topic").select(
         "topic", "term", "term_count", "term_rank"
