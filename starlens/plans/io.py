@@ -340,13 +340,22 @@ def product_stats_csv(spark, sf):
     return spark.read.schema(stats.schema).option("header", True).option("escape", '"').csv(path)
 
 
+LANDED_FILE_BYTES = 256 << 20  # text of a landed file, about
+
+
+def landed_files(rec, most: int = LANDED_FILE_BYTES) -> int:
+    """Files of a landing: four, and more where a file, and the task that writes it, would hold over ``most`` bytes of text."""
+    size = rec.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))).first()[0] or 0
+    return max(4, -(-size // most))
+
+
 def _land_stream_source(spark, sf, cond=None, name="stream-src", path=None):
     rec = scored_records(spark, sf)
     if cond is not None:
         rec = rec.filter(cond)
     path = path or scratch_path(spark, name)
     # several files per landing so that maxFilesPerTrigger cuts real chunks
-    SK.write_scored(rec.repartition(4, "review_id"), path, mode="append")
+    SK.write_scored(rec.repartition(landed_files(rec), "review_id"), path, mode="append")
     return path
 
 
